@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import types as T
 from plumbline.sources.catalog import TABLE_KEY, definitions
+from plumbline.sources.staging import stored
 
 COLUMN_KEY = [*TABLE_KEY, "column_name"]
 
@@ -60,10 +61,10 @@ def changed_tables(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _of_both(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The column definitions of the tables that differ, on both sides."""
+    """The column definitions of the tables that differ, on both sides. They are stored: every kind of change reads them."""
     a, b = definitions(a), definitions(b)
-    changed = changed_tables(a, b)
-    return a.join(changed, TABLE_KEY, "left_semi"), b.join(changed, TABLE_KEY, "left_semi")
+    changed = stored(changed_tables(a, b))
+    return stored(a.join(changed, TABLE_KEY, "left_semi")), stored(b.join(changed, TABLE_KEY, "left_semi"))
 
 
 def column_drops(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -172,7 +173,7 @@ def table_flags(columns: DataFrame, indexes: DataFrame) -> DataFrame:
 
 
 def column_changes(a: DataFrame, b: DataFrame, in_unique: DataFrame | None = None) -> DataFrame:
-    """The changes table of columns: clause (drop column, add column, modify column, move column), member, old, new, first, after,
+    """The changes table of columns (stored): clause (drop column, add column, modify column, move column), member, old, new, first, after,
     cosmetic, supported, in_unique. A column that is modified and moved is one modification with a position."""
     a, b = _of_both(a, b)
     fields = [c for c in b.columns if c not in TABLE_KEY]
@@ -186,7 +187,7 @@ def column_changes(a: DataFrame, b: DataFrame, in_unique: DataFrame | None = Non
     sides = a.select(*COLUMN_KEY, F.struct(*fields).alias("_old")).join(b.select(*COLUMN_KEY, F.struct(*fields).alias("_new")), COLUMN_KEY)
     both = mods.join(moves, COLUMN_KEY, "full_outer").join(sides, COLUMN_KEY)
     changed = both.select(*key, F.when(F.col("new").isNull(), "move column").otherwise("modify column").alias("clause"), F.coalesce("old", "_old").alias("old"), F.coalesce("new", "_new").alias("new"), F.coalesce("first", F.lit(False)).alias("first"), "after", (F.coalesce("cosmetic", F.lit(False)) & F.col("_moved").isNull()).alias("cosmetic"))
-    out = drops.unionByName(adds).unionByName(changed).withColumn("supported", F.lit(True))
+    out = stored(drops.unionByName(adds).unionByName(changed).withColumn("supported", F.lit(True)))
     if in_unique is None:
         return out.withColumn("in_unique", F.lit(False))
     unique = in_unique.select(*TABLE_KEY, F.col("column_name").alias("member"), F.lit(True).alias("in_unique"))
@@ -429,10 +430,11 @@ def verify(a: DataFrame, b: DataFrame, changes: DataFrame) -> DataFrame:
 
     Definitions are applied by joins. Orders are replayed table by table, for tables with a change of order alone.
     """
+    changes = stored(changes)
     fields = [c for c in definitions(b).columns if c not in (*TABLE_KEY, "ordinal")]
     a_, b_ = definitions(a), definitions(b)
     tables = a_.select(*TABLE_KEY).distinct().join(b_.select(*TABLE_KEY).distinct(), TABLE_KEY, "left_semi")
-    a_, b_ = a_.join(tables, TABLE_KEY, "left_semi"), b_.join(tables, TABLE_KEY, "left_semi")
+    a_, b_ = stored(a_.join(tables, TABLE_KEY, "left_semi")), stored(b_.join(tables, TABLE_KEY, "left_semi"))
     touched = changes.select(*TABLE_KEY, F.col("member").alias("column_name"))
     kept = a_.join(touched, COLUMN_KEY, "left_anti").select(*TABLE_KEY, *fields)
     made = changes.where("new is not null").select(*TABLE_KEY, *[F.col(f"new.{f}").alias(f) for f in fields])
@@ -444,6 +446,7 @@ def verify(a: DataFrame, b: DataFrame, changes: DataFrame) -> DataFrame:
     steps = changes.select(*TABLE_KEY, F.col("member").alias("name"), F.lit("change").alias("kind"), F.col("new.ordinal").alias("at"), "first", "after", F.col("clause"))
     flat = lambda s, kind: s.select(*TABLE_KEY, F.col("column_name").alias("name"), F.lit(kind).alias("kind"), rank.alias("at"), F.lit(False).alias("first"), F.lit(None).cast("string").alias("after"), F.lit("").alias("clause"))
     ordered = changes.where("first or after is not null or clause in ('add column', 'drop column', 'move column')").select(*TABLE_KEY).distinct()
+    ordered = stored(ordered)
     rows = steps.unionByName(flat(a_, "old")).unionByName(flat(b_, "new")).join(ordered, TABLE_KEY, "left_semi")
 
     def replay(t: pd.DataFrame) -> pd.DataFrame:
