@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.staging import stored
+
 #: The white space of all word definitions here: space, tab, newline, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a null doc_id inside the operators, so that keys can be compared with plain equality.
 NO_ID = -(2**63)
 
 
+__all__ = ["NO_ID", "WORD", "arrow", "key", "small_batches", "stored", "table", "texts", "unkey"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,23 +33,6 @@ def unkey(col: str) -> Column:
     return F.when(F.col(col) != F.lit(NO_ID), F.col(col))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see. A temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="plumbline-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: later readers neither recompute it nor depend on any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/plumbline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each text of an Arrow column; null becomes empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -56,8 +43,7 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 def small_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of text, so that memory doesn't follow the session's batch size."""
     for batch in batches:
-        i = batch.schema.get_field_index(column)
-        sizes = np.cumsum(np.diff(np.frombuffer(batch.column(i).cast(pa.large_string()).buffers()[1], np.int64, batch.num_rows + 1, batch.column(i).offset * 0)))
+        sizes = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
         start = 0
         while start < batch.num_rows:
             before = int(sizes[start - 1]) if start else 0

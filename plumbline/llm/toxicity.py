@@ -77,12 +77,10 @@ def _table() -> dict[int, str | None]:
 
 
 _TABLE = _table()
-#: Signs that end a word in plain writing aren't letters there.
-_ENDS = str.maketrans({c: " " for c in "!|"})
 
 
 def folded(text: str) -> str:
-    """The folded words, each between single spaces."""
+    """The folded words, each between single spaces. Signs at a word's end aren't letters."""
     words = text.split()
     plain = " ".join([w.rstrip("!|") if w[-1] in "!|" else w for w in words])
     return f" {' '.join(plain.translate(_TABLE).split())} "
@@ -98,10 +96,11 @@ def _terms(text: str) -> set[str]:
     return out
 
 
-def _counted(sample: DataFrame, terms) -> DataFrame:
-    """term, pos and neg: documents of either label with the term. terms: folded text -> set of terms."""
+def _counted(sample: DataFrame, prepared) -> DataFrame:
+    """term, pos and neg: documents of either label with the term. prepared: makes a task's function folded text -> terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = prepared()
         for batch in common.small_batches(batches, "text", 1 << 20):
             counts = (Counter(), Counter())
             for t, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
@@ -196,8 +195,9 @@ def learned(documents: DataFrame, labels: DataFrame, learning: Learning = Learni
     if not n.get(1) or not n.get(0):
         return Lexicon()
     pure = F.col("pos") / n[1] >= learning.purity * (F.col("pos") / n[1] + F.col("neg") / n[0])
-    found = _counted(sample, _terms).where(F.col("pos") >= learning.support).where(pure)
+    found = _counted(sample, lambda: _terms).where(F.col("pos") >= learning.support).where(pure)
     terms = [(r["term"], r["pos"], r["neg"]) for r in found.orderBy(F.desc(F.col("pos") - 2 * F.col("neg")), F.desc(F.length("term")), "term").limit(learning.candidates).collect()]
+    terms += _excused(sample, learning, n)
     number = {t: i for i, (t, _, _) in enumerate(terms)}
     documents_with = _incidence(sample.where("toxic = 1"), number)
     chosen = [terms[i] for i in _cover(documents_with, terms, learning.entries, max(learning.support, round(0.003 * n[1])))]
@@ -209,6 +209,24 @@ def learned(documents: DataFrame, labels: DataFrame, learning: Learning = Learni
     return lexicon
 
 
+def _excused(sample: DataFrame, learning: Learning, n: dict[int, int]) -> list[tuple[str, int, int]]:
+    """Terms that are pure only outside their exception phrases, with their counts there."""
+    share = F.col("pos") / n[1] / (F.col("pos") / n[1] + F.col("neg") / n[0])
+    frequent = _counted(sample, lambda: _terms).where(F.col("pos") >= max(learning.support, round(0.01 * n[1]))).where(share.between(0.6, learning.purity - 1e-9))
+    likely = Lexicon({r["term"]: 1.0 for r in frequent.orderBy(F.desc("pos"), "term").limit(learning.exceptions).collect()})
+    exceptions = _exceptions(sample, likely, learning)
+    if not exceptions:
+        return []
+    weights = likely.weights
+
+    def hits():
+        automata = _automaton(weights, lambda k: k), _automaton(exceptions, lambda k: k)
+        return lambda text: set(_hits(text, *automata))
+
+    found = _counted(sample, hits).where(F.col("pos") >= learning.support).where(share >= learning.purity)
+    return sorted((r["term"], r["pos"], r["neg"]) for r in found.collect())
+
+
 def _incidence(toxic: DataFrame, number: dict[str, int]) -> list[list[int]]:
     """Of each toxic document of the sample the candidates in it (both bounded by the parameters)."""
 
@@ -224,18 +242,22 @@ def _exceptions(sample: DataFrame, lexicon: Lexicon, learning: Learning) -> list
     """An entry's word with a neighbour, where only documents without the label have the two together."""
     weights = dict(lexicon.weights)
 
-    def phrases(text: str) -> set[str]:
+    def phrases():
         automaton = _automaton(weights, lambda k: k)
-        out: set[str] = set()
-        for end, k in automaton.iter(text):
-            a = text.rfind(" ", 0, end - len(k) + 2)
-            b = text.find(" ", end)
-            before, after = text.rfind(" ", 0, a), text.find(" ", b + 1)
-            if before >= 0:
-                out.add(text[before : b + 1])
-            if after >= 0:
-                out.add(text[a : after + 1])
-        return out
+
+        def of(text: str) -> set[str]:
+            out: set[str] = set()
+            for end, k in automaton.iter(text):
+                a = text.rfind(" ", 0, end - len(k) + 2)
+                b = text.find(" ", end)
+                before, after = text.rfind(" ", 0, a), text.find(" ", b + 1)
+                if before >= 0:
+                    out.add(text[before : b + 1])
+                if after >= 0:
+                    out.add(text[a : after + 1])
+            return out
+
+        return of
 
     if not weights:
         return []
