@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import types as T
 from plumbline.sources.catalog import TABLE_KEY, definitions
+from plumbline.sources.shipping import ship
 from plumbline.sources.staging import stored
 
 COLUMN_KEY = [*TABLE_KEY, "column_name"]
@@ -136,6 +137,7 @@ def column_moves(a: DataFrame, b: DataFrame) -> DataFrame:
         stay = longest_increasing(table["old_rank"].tolist())
         return table[[i not in stay for i in range(len(table))]]
 
+    ship(pairs.sparkSession)
     moved = pairs.groupBy(*TABLE_KEY).applyInPandas(moves, pairs.schema).select(*COLUMN_KEY)
     return moved.join(position, COLUMN_KEY).withColumn("first", F.col("after").isNull())
 
@@ -458,6 +460,7 @@ def verify(a: DataFrame, b: DataFrame, changes: DataFrame) -> DataFrame:
         rows = [(t["schema_name"].iloc[0], t["table_name"].iloc[0], n, "order") for n in bad]
         return pd.DataFrame(rows, columns=[*COLUMN_KEY, "problem"], dtype=object)
 
+    ship(rows.sparkSession)
     orders = rows.groupBy(*TABLE_KEY).applyInPandas(replay, "schema_name string, table_name string, column_name string, problem string")
     return left.unionByName(orders)
 
