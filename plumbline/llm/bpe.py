@@ -227,7 +227,7 @@ def encoded(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text"
             made = common.arrow(out, **rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *made.columns], names=[*keep, *out.names])
 
-    return df.mapInArrow(run, kinds)
+    return common.mapped(df, run, kinds)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

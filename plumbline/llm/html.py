@@ -197,7 +197,7 @@ def extracted(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("p
             text = [main_text(t, tree) if t else "" for t in batch.column("_html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], names=[*keep, "text", "n_chars"])
 
-    return df.mapInArrow(run, f"{kinds}text string, n_chars bigint")
+    return common.mapped(df, run, f"{kinds}text string, n_chars bigint")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,7 +120,7 @@ def rules(df: DataFrame, text_col: str = "text", bands: Bands = Bands(), keep: t
             made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds_)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *made], names=[*keep, *_NAMES])
 
-    return df.mapInArrow(run, kinds)
+    return common.mapped(df, run, kinds)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

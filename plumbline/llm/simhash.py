@@ -59,7 +59,7 @@ def fingerprints(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
             fps = np.array([simhash(t, shingle) for t in common.texts(batch.column("_text"))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(fps)], names=[*keep, "fp"])
 
-    return df.mapInArrow(run, kinds)
+    return common.mapped(df, run, kinds)
 
 
 def _mask(positions: tuple[int, ...]) -> int:
@@ -170,7 +170,7 @@ def links(fps: DataFrame, distance: int = 4, list_limit: int = LIST) -> DataFram
     stored_long = common.stored(rows.groupBy("choice", "bytes").count().where(F.col("count") > list_limit).select("choice", "bytes"))
     many = not stored_long.isEmpty()
     short = rows.join(stored_long, ["choice", "bytes"], "left_anti") if many else rows
-    found = short.repartition(n, "choice", "bytes").sortWithinPartitions("choice", "bytes", "fp").mapInArrow(_list_links(distance), "a bigint, b bigint")
+    found = common.mapped(short.repartition(n, "choice", "bytes").sortWithinPartitions("choice", "bytes", "fp"), _list_links(distance), "a bigint, b bigint")
     if many:
         # Between two near fingerprints, equal outside the free positions, lies a value at most `inner` bits from one and
         # `distance - inner` from the other. Whoever lies so around one value is near, so links to the least inner one do.

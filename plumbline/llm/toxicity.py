@@ -108,7 +108,7 @@ def _counted(sample: DataFrame, prepared) -> DataFrame:
             names = list(counts[0].keys() | counts[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([counts[y][n] for n in names], pa.int64()) for y in (1, 0))], names=["term", "pos", "neg"])
 
-    return sample.mapInArrow(run, "term string, pos bigint, neg bigint").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return common.mapped(sample, run, "term string, pos bigint, neg bigint").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def _automaton(keys, value) -> ahocorasick.Automaton | None:
@@ -157,6 +157,16 @@ def _cover(documents: list[list[int]], terms: list[tuple[str, int, int]], most:
     return chosen
 
 
+def _as_frequent(terms: list[tuple[str, int, int]], chosen: list[tuple[str, int, int]], most: int) -> list[tuple[str, int, int]]:
+    """Words that only toxic documents have, at least a quarter as often as the middle one of the chosen entries, though other
+    entries cover their documents: elsewhere they may stand alone."""
+    if not chosen:
+        return []
+    usual = sorted(p for _, p, _ in chosen)[len(chosen) // 2]
+    have = [t for t, _, _ in chosen]
+    return [x for x in terms if x[2] == 0 and x[1] >= usual / 4 and x[0][-1] == " " and not any(x[0].startswith(t) for t in have)][: max(0, most)]
+
+
 def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of a weighted logistic curve with a small ridge, by Newton steps."""
     z = np.stack([x, np.ones_like(x)], axis=1)
@@ -201,6 +211,7 @@ def learned(documents: DataFrame, labels: DataFrame, learning: Learning = Learni
     number = {t: i for i, (t, _, _) in enumerate(terms)}
     documents_with = _incidence(sample.where("toxic = 1"), number)
     chosen = [terms[i] for i in _cover(documents_with, terms, learning.entries, max(learning.support, round(0.003 * n[1])))]
+    chosen += _as_frequent(terms, chosen, learning.entries - len(chosen))
     lexicon = Lexicon({t: math.log((p + 0.5) / n[1] * n[0] / (q + 0.5)) for t, p, q in chosen})
     lexicon.exceptions = _exceptions(sample, lexicon, learning)
     x, y = _evidences(sample, lexicon)
@@ -235,7 +246,7 @@ def _incidence(toxic: DataFrame, number: dict[str, int]) -> list[list[int]]:
             ids = [sorted(number[t] for t in _terms(folded(x)) if t in number) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32()))], names=["ids"])
 
-    return [r["ids"] for r in toxic.select("text").mapInArrow(run, "ids array<int>").collect()]
+    return [r["ids"] for r in common.mapped(toxic.select("text"), run, "ids array<int>").collect()]
 
 
 def _exceptions(sample: DataFrame, lexicon: Lexicon, learning: Learning) -> list[str]:
@@ -287,7 +298,7 @@ def scored(df: DataFrame, lexicon: Lexicon, text_col: str = "text", keep: tuple[
             score = 1 / (1 + np.exp(-np.clip(lex.slope * x + lex.intercept, -50, 50)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(x), pa.array(score)], names=[*keep, "evidence", "score"])
 
-    return df.mapInArrow(run, f"{kinds}evidence double, score double")
+    return common.mapped(df, run, f"{kinds}evidence double, score double")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
