@@ -81,7 +81,7 @@ def neighbours(df: DataFrame) -> DataFrame:
     ids = common.stored(ids.repartitionByRange(n, F.desc("k")).withColumn("part", F.spark_partition_id()))
     within, ends = Window.partitionBy("part").orderBy(F.desc("k")), Window.orderBy("part")
     around = Window.partitionBy(F.lit(0))
-    edge = ids.groupBy("part").agg(F.max("k").alias("first"), F.max(F.struct(-F.col("k"), "size")).getField("size").alias("last_size"), F.min("k").alias("last"))
+    edge = ids.groupBy("part").agg(F.max("k").alias("first"), F.min_by("size", "k").alias("last_size"), F.min("k").alias("last"))
     edge = edge.select(
         "part",
         F.coalesce(F.lead("first").over(ends), F.max("first").over(around)).alias("next_first"),
@@ -110,12 +110,14 @@ def compared(df: DataFrame, samples: int = SAMPLES) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("start", F.lit(1), half))
     both = rows.join(starts, "k").select("k", "next", "text", edited.alias("edited"))
     kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"))))
-    found = common.stored(signatures(both.select("k", kinds.alias("x")).select("k", "x.kind", "x.t"), ["k", "kind"], "t", samples))
     facts = both.select("k", "next", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
-    own = found.where("kind = 0").select("k", F.col("signature").alias("a"))
+    signed = signatures(both.select("k", kinds.alias("x")).select("k", "x.kind", "x.t"), ["k", "kind"], "t", samples)
+    # One plan for both, so that the texts are shuffled once: both sides read the same exchange.
+    found = common.stored(signed.join(facts, "k"))
+    own = found.where("kind = 0").select("k", "next", "n_chars", "edited_sha256", F.col("signature").alias("a"))
     changed = found.where("kind = 1").select("k", F.col("signature").alias("b"))
     following = own.select(F.col("k").alias("next"), F.col("a").alias("c"))
-    out = facts.join(own, "k").join(changed, "k").join(following, "next")
+    out = own.join(changed, "k").join(following, "next")
     return out.select(
         common.unkey("k").alias("doc_id"), "n_chars", "edited_sha256", hexadecimal("a", samples).alias("fingerprint"), hexadecimal("b", samples).alias("edited_fingerprint"),
         likeness("a", "b", samples).alias("near_edited"), likeness("a", "c", samples).alias("near_next"),
