@@ -242,7 +242,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each near-duplicate group the row with the smallest doc_id stays (of repeated rows, one)."""
     firsts = common.stored(near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(common.key().alias("_k")).distinct())
-    kept = docs.withColumn("_k", common.key()).join(firsts, "_k", "left_semi")
+    # By sorted merge at any size: a broadcast of the ids that stay would be a plan for small inputs alone.
+    kept = docs.withColumn("_k", common.key()).join(firsts.hint("merge"), "_k", "left_semi")
     names = docs.columns
     repeated = common.stored(docs.groupBy(common.key().alias("_k")).count().where("count > 1").select("_k"))
     if repeated.isEmpty():
