@@ -185,18 +185,21 @@ def repeated_spans(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     """
     if not 1 <= gram <= window < 1 << SIZE_BITS:
         raise ValueError("need 1 <= gram <= window < 256")
-    rows = df.select("k", "th", "text").mapInArrow(_block_rows(window, gram), _BLOCKS)
+    rows = common.mapped(df.select("k", "th", "text"), _block_rows(window, gram), _BLOCKS)
+    # Each aggregate is stored before rows are joined with it: then both sides of the join are plain shuffles, and adaptive
+    # execution can split the partition of a frequent anchor, block or window.
     anchors = rows.groupBy("g").agg(F.min("k").alias("least"), F.max("k").alias("most"), F.min("b").alias("b0"), F.max("b").alias("b1")).where("least < most")
-    shared = common.stored(rows.join(anchors.select("g", "least", (F.col("b0") != F.col("b1")).alias("varied")), "g"))
+    anchors = common.stored(anchors.select("g", "least", (F.col("b0") != F.col("b1")).alias("varied")))
+    shared = common.stored(rows.join(anchors, "g"))
     alike = shared.where("not varied and k > least").select("k", "th", "at")
     varied = shared.where("varied").select(*"k th at g b".split())
-    first = varied.groupBy("g", "b").agg(F.min("k").alias("least"))
+    first = common.stored(varied.groupBy("g", "b").agg(F.min("k").alias("least")))
     varied = common.stored(varied.join(first, ["g", "b"]))
     inside = varied.where("k > least").select("k", "th", "at")
     # The first document with a block: its windows may still stand in other blocks of the same anchor.
     listed = varied.where("k = least").groupBy("k", "th").agg(F.collect_set(F.struct("at", "g")).alias("listed"))
-    windows = common.stored(df.select("k", "th", "text").join(listed, ["k", "th"]).mapInArrow(_window_rows(window), _BLOCKS))
-    least = windows.groupBy("g", "b").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most")
+    windows = common.stored(common.mapped(df.select("k", "th", "text").join(listed, ["k", "th"]), _window_rows(window), _BLOCKS))
+    least = common.stored(windows.groupBy("g", "b").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most"))
     checked = windows.join(least, ["g", "b"]).where("k > least").select("k", "th", "at")
     return alike.unionByName(inside).unionByName(checked)
 
@@ -242,7 +245,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *made], names=[*names, "n_words", "n_removed", kept])
 
-    return both.mapInArrow(run, f"{kinds}, n_words bigint, n_removed bigint, {kept} string")
+    return common.mapped(both, run, f"{kinds}, n_words bigint, n_removed bigint, {kept} string")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
