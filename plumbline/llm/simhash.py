@@ -219,6 +219,13 @@ def _renamed(edges: DataFrame, parent: DataFrame) -> DataFrame:
     return both.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
+def _rooted(rows: DataFrame, distance: int, order: Column) -> DataFrame:
+    """(fp, least, root), stored: the distinct fingerprints of `rows`, the least `order` of the rows of each, and its component."""
+    distinct = common.stored(rows.groupBy("fp").agg(F.min(order).alias("least")))
+    roots = components(links(distinct.select("fp"), distance))
+    return common.stored(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
     """A row for each input row: doc_id, fp and component_id, the smallest id reachable over links (itself included).
 
@@ -226,9 +233,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component's id is null). Repeated rows each give a row. Other columns of the input are ignored.
     """
     rows = common.stored(fingerprints(df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), shingle=shingle))
-    distinct = common.stored(rows.groupBy("fp").agg(F.min(common.key()).alias("least")))
-    roots = components(links(distinct.select("fp"), distance))
-    rooted = common.stored(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    rooted = _rooted(rows, distance, common.key())
     groups = rooted.groupBy("root").agg(F.min("least").alias("least"))
     named = rooted.select("fp", "root").join(groups, "root").select("fp", common.unkey("least").alias("component_id"))
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -240,13 +245,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each near-duplicate group the row with the smallest doc_id stays (of repeated rows, one)."""
-    firsts = common.stored(near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(common.key().alias("_k")).distinct())
-    # By sorted merge at any size: a broadcast of the ids that stay would be a plan for small inputs alone.
-    kept = docs.withColumn("_k", common.key()).join(firsts.hint("merge"), "_k", "left_semi")
+    """Pipeline stage: of each near-duplicate group one row stays, the least by (doc_id, digest of the text); null ids are least.
+
+    Ids needn't be unique or set: rows of one id with different texts are different rows. Of repeated rows, one stays.
+    """
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    rows = common.stored(fingerprints(docs.select(common.key().alias("_k"), digest.alias("_h"), "text"), keep=("_k", "_h")))
+    groups = _rooted(rows, 4, F.struct("_k", "_h")).groupBy("root").agg(F.min("least").alias("least"))
+    firsts = common.stored(groups.select("least._k", "least._h"))
+    # By sorted merge at any size: a broadcast of the rows that stay would be a plan for small inputs alone.
+    kept = docs.withColumns({"_k": common.key(), "_h": digest}).join(firsts.hint("merge"), ["_k", "_h"], "left_semi")
     names = docs.columns
-    repeated = common.stored(docs.groupBy(common.key().alias("_k")).count().where("count > 1").select("_k"))
+    repeated = common.stored(rows.groupBy("_k", "_h").count().where("count > 1").select("_k", "_h"))
     if repeated.isEmpty():
         return kept.select(*names)
-    one = kept.join(repeated, "_k", "left_semi").groupBy("_k").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
-    return kept.join(repeated, "_k", "left_anti").select(*names).unionByName(one)
+    one = kept.join(repeated, ["_k", "_h"], "left_semi").groupBy("_k", "_h").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
+    return kept.join(repeated, ["_k", "_h"], "left_anti").select(*names).unionByName(one)

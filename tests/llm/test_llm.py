@@ -341,6 +341,21 @@ def test_components_of_chains(spark):
     assert got[1001] == 1000
 
 
+def test_keep_one_of_each_group_whatever_the_ids(spark, odd):
+    """Rows without an id, or with the same one, are different documents if their texts are."""
+    rng = random.Random(8)
+    texts = [words(rng, 60, 5000) for _ in range(6)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (9, texts[1]), (8, texts[4]), (None, texts[5]), (3, texts[5]), (4, texts[4])]]
+    got = simhash.keep_one(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "")
+    assert got.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+    want = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (4, texts[4]), (None, texts[5])]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    # One row of each component of the awkward rows.
+    rows = odd.collect()
+    groups = components_of([slow_simhash(r["text"]) for r in rows], list(range(len(rows))), 4)
+    assert simhash.keep_one(spark, odd, "").count() == len(set(groups))
+
+
 # 7
 
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var a = "</p><p>no";</script></head><body class="page">
