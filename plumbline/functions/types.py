@@ -107,6 +107,8 @@ def plain_charset(name: Column) -> Column:
 PLAIN_FIELDS = ["nullable", "auto_inc", "default_expr", "on_update", "generation_expr", "is_virtual", "comment", "invisible", "compression", "check_clause", "srid"]
 #: Those that only say whether a clause is shown.
 SHOWN_FIELDS = ["show_charset", "show_collation"]
+#: All that identical definitions have in common.
+EQUAL_FIELDS = ["column_name", "column_type", "charset", "collation", *PLAIN_FIELDS, *SHOWN_FIELDS]
 
 
 def _all_equal(a: str, b: str, fields: list[str]) -> Column:
@@ -118,7 +120,7 @@ def _all_equal(a: str, b: str, fields: list[str]) -> Column:
 
 def col_equal(a: str, b: str) -> Column:
     """Whether two column definitions (struct columns named a and b) are identical."""
-    return _all_equal(a, b, ["column_name", "column_type", "charset", "collation", *PLAIN_FIELDS, *SHOWN_FIELDS])
+    return _all_equal(a, b, EQUAL_FIELDS)
 
 
 def col_equiv(a: str, b: str) -> Column:

@@ -42,23 +42,27 @@ def diff_tables(a: DataFrame, b: DataFrame) -> DataFrame:
     return existence(a, b, TABLE_KEY)
 
 
-#: What a table's fingerprint covers, in this order.
+#: What a table's fingerprint covers, in this order: what drift shows, as its SQL does.
 FINGERPRINT = ["ordinal", "column_name", "column_type", "nullable", "charset", "collation", "default_expr", "comment"]
 
 
 def fingerprints(columns: DataFrame) -> DataFrame:
-    """schema_name, table_name and fingerprint: SHA-256 of the table's column definitions in their order.
+    """schema_name, table_name, fingerprint and definition: SHA-256 of the table's column definitions in their order.
 
-    Ordinals count by rank, so gaps in them don't matter. A group is one table wide.
+    `fingerprint` covers FINGERPRINT, `definition` every field that col_equal compares, nulls told from texts: only tables
+    with the same `definition` are identical. Ordinals count by rank, so gaps in them don't matter. A group is one table wide.
     """
-    cols = columns.select(*TABLE_KEY, F.struct("ordinal", F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in FINGERPRINT[1:]]).alias("text")).alias("_c"))
-    return cols.groupBy(*TABLE_KEY).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("_c")), lambda c: c["text"]), "\n"), 256).alias("fingerprint"))
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in FINGERPRINT[1:]])
+    whole = F.to_json(F.struct(*T.EQUAL_FIELDS))  # leaves out nulls
+    hashed = lambda c: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["text"]), "\n"), 256)
+    cols = definitions(columns).select(*TABLE_KEY, F.struct("ordinal", text.alias("text")).alias("_c"), F.struct("ordinal", whole.alias("text")).alias("_d"))
+    return cols.groupBy(*TABLE_KEY).agg(hashed("_c").alias("fingerprint"), hashed("_d").alias("definition"))
 
 
 def changed_tables(a: DataFrame, b: DataFrame) -> DataFrame:
     """Tables on both sides whose definitions aren't identical: the wide joins need to look at no others."""
-    x, y = fingerprints(a), fingerprints(b).withColumnRenamed("fingerprint", "_b")
-    return x.join(y, TABLE_KEY).where("fingerprint <> _b").select(*TABLE_KEY)
+    x, y = (fingerprints(s).select(*TABLE_KEY, F.col("definition").alias(n)) for s, n in ((a, "_a"), (b, "_b")))
+    return x.join(y, TABLE_KEY).where("_a <> _b").select(*TABLE_KEY)
 
 
 def _of_both(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -468,15 +472,21 @@ def verify(a: DataFrame, b: DataFrame, changes: DataFrame) -> DataFrame:
 def drift(columns: DataFrame) -> DataFrame:
     """schema_name, table_name, fingerprint, shards and majority of the shards whose definition of a table isn't the usual one.
 
-    The usual one is what most shards have; of equally frequent ones the least fingerprint. A table's frequent fingerprints
-    are counted before they are ranked, so a window holds the variants of a table, not its shards.
+    The usual one is what most shards have; of equally frequent ones the least fingerprint. Definitions that differ only in
+    fields that the fingerprint doesn't cover are told apart by the hash of the whole definition in its place. A table's
+    variants are counted before they are ranked, so a window holds the variants of a table, not its shards.
     """
     prints = fingerprints(columns)
-    counts = prints.groupBy("table_name", "fingerprint").agg(F.count("*").alias("shards"))
+    variant = ["table_name", "_print", "definition"]
+    prints = prints.withColumnRenamed("fingerprint", "_print")
+    counts = prints.groupBy(*variant).agg(F.count("*").alias("shards"))
+    alone = F.count("*").over(Window.partitionBy("table_name", "_print")) == 1
+    shown = counts.withColumn("fingerprint", F.when(alone, F.col("_print")).otherwise(F.col("definition")))
     order = Window.partitionBy("table_name").orderBy(F.desc("shards"), "fingerprint")
-    usual = counts.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("table_name", F.col("fingerprint").alias("majority"))
-    odd = prints.join(usual, "table_name").where("fingerprint <> majority")
-    return odd.join(counts, ["table_name", "fingerprint"]).select(*TABLE_KEY, "fingerprint", "shards", "majority")
+    ranked = shown.withColumn("_r", F.row_number().over(order))
+    usual = ranked.where("_r = 1").select("table_name", F.col("fingerprint").alias("majority"))
+    odd = ranked.where("_r > 1").join(usual, "table_name")
+    return prints.join(odd, variant).select(*TABLE_KEY, "fingerprint", "shards", "majority")
 
 
 def history(snapshots: DataFrame) -> DataFrame:

@@ -151,6 +151,20 @@ def test_changes_lead_from_one_catalog_to_the_other(spark):
         assert D.verify(a, b, changes.where(F.col("clause") != clause)).count() > 0, clause
 
 
+@pytest.mark.parametrize("field, value", [("auto_inc", True), ("on_update", "CURRENT_TIMESTAMP"), ("generation_expr", "a + 1"), ("is_virtual", True), ("invisible", True), ("compression", "zlib"), ("check_clause", "a > 0"), ("srid", 4326), ("show_charset", True)])
+def test_a_drift_of_one_field_is_seen(spark, field, value):
+    kind = {bool: "boolean", str: "string", int: "int"}[type(value)]
+    schema = f"schema_name string, table_name string, column_name string, ordinal int, column_type string, nullable boolean, {field} {kind}"
+    usual = [(s, "t", c, i, "int(11)", True, None) for s in ("s1", "s2", "s3") for i, c in enumerate("ab")]
+    a, b = spark.createDataFrame([(*r[:6], value) if r[0] == "s2" and r[2] == "a" else r for r in usual], schema), spark.createDataFrame(usual, schema)
+    changes = D.column_changes(a, b)
+    assert [(r["schema_name"], r["member"], r["clause"]) for r in changes.collect()] == [("s2", "a", "modify column")]
+    assert D.unexplained(a, b, changes).count() == 0 and D.unexplained(a, b, changes.limit(0)).count() == 1
+    found = D.drift(a).collect()
+    assert [(r["schema_name"], r["shards"]) for r in found] == [("s2", 1)] and found[0]["fingerprint"] != found[0]["majority"]
+    assert D.drift(b).count() == 0
+
+
 def test_longest_increasing():
     rng = random.Random(1)
     for _ in range(200):
