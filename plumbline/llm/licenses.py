@@ -1,8 +1,12 @@
 """Operator 5: licence scans by sentence rules, in DataFrame functions alone.
 
-A text is cut into sentences, a sentence is normalised (lower case, runs of anything but letters and digits become a space)
-and looked up among the known licence sentences, which gives a sequence of identifiers. A licence is found where the
-identifiers of one of its rules occur in that sequence in the rule's order, with or without others in between.
+A text is cut into sentences and normalised (lower case, runs of anything but letters and digits become a space). The known
+licence sentences in it give a sequence of identifiers. A licence is found where the identifiers of one of its rules occur
+in that sequence in the rule's order, with or without others in between.
+
+Notices are wrapped at any width, stand behind comment marks and have longer sentences than the known ones, so a known
+sentence may go on over ends of lines and sentences. It must begin and end where the text's sentences do if it is shorter than
+`FREE` words (it might be part of another sentence); longer ones count wherever they stand.
 
 Everything happens within a row: no shuffle, and the tables of sentences and rules are constants of the plan.
 """
@@ -68,6 +72,10 @@ RULES: list[tuple[str, tuple[int, ...]]] = [
 #: Licences that contain another one's rule: the contained one isn't reported beside it (fixed values).
 CONTAINS = {"BSD-3-Clause": "BSD-2-Clause"}
 
+#: Known sentences of so many words count wherever they stand.
+FREE = 10
+#: Comment marks that are words: those of sign characters go with the other signs.
+_WORD_COMMENT = r"(?im)^[ \t]*(?:rem|dnl)[ \t]+"
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -78,26 +86,28 @@ class Catalogue:
     contains: dict[str, str] = field(default_factory=lambda: CONTAINS)
 
 
-def sentences(text: Column) -> Column:
-    """Stretches between line ends, and after . ; : ! ? followed by white space."""
-    return F.split(F.regexp_replace(text, r"([.;:!?])[\x20\x09-\x0D]+", "$1\n"), "[\n\r]+")
+def marked(text: Column) -> Column:
+    """The normalised text with " | " between sentences, at its start and at its end.
+
+    Sentences are stretches between line ends, and after . ; : ! ? followed by white space.
+    """
+    plain = F.translate(F.regexp_replace(text, _WORD_COMMENT, ""), _CAPITALS + "|", _SMALL + ",")
+    cut = F.regexp_replace(plain, r"[.;:!?][\x20\x09-\x0D]+|[\n\r]+", "|")
+    spaced = F.regexp_replace(F.regexp_replace(cut, r"[^a-z0-9|]+", " "), r" ?\|[ |]*", " | ")
+    return F.concat(F.lit("| "), F.trim(spaced), F.lit(" |"))
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(sentence, _CAPITALS, _SMALL), "[^a-z0-9]+", " "))
+def _pattern(catalogue: Catalogue) -> str:
+    """Any known sentence in a marked text, the longest first."""
+    whole = {s: r"(?: \|)? ".join(s.split()) for s in catalogue.sentences.values()}
+    return "(?<= )(?:" + "|".join(f"{p}(?= )" if len(s.split()) >= FREE else rf"(?<=\| ){p}(?= \|)" for s, p in sorted(whole.items(), key=lambda x: (-len(x[0]), x[0]))) + ")"
 
 
 def identifiers(text: Column, catalogue: Catalogue) -> Column:
     """Identifiers of the text's known sentences in their order."""
-    by_length: dict[int, list[tuple[int, str]]] = {}
-    for i, s in catalogue.sentences.items():
-        by_length.setdefault(len(s), []).append((i, s))
     known = F.create_map(*[x for i, s in catalogue.sentences.items() for x in (F.lit(s), F.lit(i))])
-    longest, shortest = max(map(len, catalogue.sentences.values())), min(map(len, catalogue.sentences.values()))
-    # Normalising only shortens, so what is too short can't be known; what is long may hold punctuation, so it stays.
-    likely = F.filter(sentences(text), lambda s: F.length(s) >= shortest)
-    plain = F.filter(F.transform(likely, normalised), lambda s: F.length(s).between(shortest, longest))
-    return F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    found = F.regexp_extract_all(marked(text), F.lit(_pattern(catalogue)), F.lit(0))
+    return F.transform(found, lambda s: F.try_element_at(known, F.regexp_replace(s, r" \|", "")))
 
 
 def licences(ids: Column, catalogue: Catalogue) -> Column:

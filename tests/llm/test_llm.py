@@ -238,6 +238,50 @@ def test_licences(spark):
     assert got == {1: "BSD-2-Clause", 2: "", 3: "CC-BY-NC-4.0,MIT", 4: ""}
 
 
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n"
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+)
+GPL = (
+    "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version.\n\n"
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."
+)
+#: Official notices, a line a paragraph.
+NOTICES = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("BSD-2-Clause", BSD + "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."),
+    ("BSD-3-Clause", BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("GPL-2.0-or-later", GPL.format(";", ";", 2)),
+    ("GPL-3.0-or-later", GPL.format(":", ",", 3)),
+    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MIT", "Released under the MIT License."),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+]
+
+
+@pytest.mark.parametrize("mark, width", [("", None), ("", 72), (" * ", 60), ("# ", 40), ("// ", 76), ("REM ", 50), ("dnl ", 30), (";; ", 25)])
+def test_official_notices(spark, mark, width):
+    import textwrap
+
+    rows = []
+    for i, (_, text) in enumerate(NOTICES):
+        lines = [x for line in text.split("\n") for x in (textwrap.wrap(line, width) if width else [line]) or [""]]
+        rows.append((i, "\r\n".join(["package x", "", *(mark + x for x in ("Copyright (c) 2024 Somebody", "", *lines)), "", "int x = 1;"])))
+    got = {r["doc_id"]: r["licences"] for r in licenses.scanned(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(NOTICES)}
+
+
+def test_short_sentences_of_licences_stand_alone(spark):
+    texts = ["They say it was released under the MIT License once", "It isn't licensed under CC BY 4.0, they say", "a licensed under the MIT License", "nothing | licensed under the | MIT license"]
+    got = licenses.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert [r["sentence_ids"] for r in got] == [""] * len(texts)
+
+
 def test_shards_fit(spark, odd):
     rng = random.Random(2)
     rows = [(i if i % 3 else 7, "x" * rng.randrange(200)) for i in range(4000)] + [(9001, "y" * 5000), (None, "z" * 10)]
