@@ -55,6 +55,15 @@ _BAD_WORD = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|sidebar|side|footer|foot|masthead|ad|ads|adv|advert|advertisement|advertising|promo|promotion|sponsor|sponsored|banner|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|"
     r"newsletter|subscribe|subscription|signup|login|search|comment|comments|disqus|respond|reply|replies|related|recommended|share|sharing|social|breadcrumb|breadcrumbs|widget|toolbar|pagination|pager|contentinfo|complementary)(?:$|[\s_-])"
 )
+#: Inside content such a word counts only where it is a whole class, or where all else in a name like related-posts or
+#: ad-slot-1 is such a word or one of these (fixed values): names like side-effects or related-work are of the text.
+_FRAME_WORDS = set(
+    "area article articles author bar block blog body bottom box btn button buttons content container count entry field form frame global group header heading icon icons inline inner input item items js label left link links list main message "
+    "meta mobile module more news outer page panel post posts reading right row section site slot sticky stories story tag tags text thread title top topics unit up view with wp wrap wrapper you your".split()
+)
+#: Words that are the topic of a section as well: as an id inside content, one alone doesn't count.
+_TOPICS = set("navigation menu side foot ad ads promotion sponsor banner cookie cookies consent gdpr notice alert popup modal overlay subscription login signup search comment respond reply replies related share sharing social widget toolbar pagination advertising advertisement pager".split())
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _GOOD_WORD = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|article-body|post-content|entry-content)(?:$|[\s_-])")
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][\w:.-]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^>"'])*+|[^>]*)>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -69,13 +78,32 @@ class Block:
     bad: bool
 
 
+def _bad_inside(kind: str, value: str) -> bool:
+    """Whether a class, id or role marks boilerplate inside content."""
+    for token in value.split():
+        if _BAD_WORD.fullmatch(token):
+            if kind != "id" or token not in _TOPICS:
+                return True
+            continue
+        words = [w for w in re.split("[_-]+", token) if len(w) > 1 and not w.isdigit()]
+        bad = [bool(_BAD_WORD.fullmatch(w)) for w in words]
+        if any(bad) and all(b or w in _FRAME_WORDS for b, w in zip(bad, words, strict=True)):
+            return True
+    return False
+
+
 def _marks(name: str, attrs: str, inside_content: bool) -> tuple[bool, bool]:
-    """Whether an element marks content and boilerplate. A header inside content is the article's own."""
+    """Whether an element marks content and boilerplate. A header inside content is the article's own.
+
+    The id of a heading is made from its text and says nothing.
+    """
     good, bad = name in _CONTENT, name in _BOILERPLATE or (name == "header" and not inside_content)
     if attrs and name not in ("html", "body") and not good:
         for m in _ATTR.finditer(attrs):
-            words = (m[2] or m[3] or m[4] or "").lower()
-            bad = bad or bool(_BAD_WORD.search(words)) or (m[1].lower() in ("class", "id") and not inside_content and "header" in re.split(r"[\s_-]", words))
+            kind, words = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            if kind == "id" and name in _HEADINGS:
+                continue
+            bad = bad or (_bad_inside(kind, words) if inside_content else bool(_BAD_WORD.search(words)) or (kind in ("class", "id") and "header" in re.split(r"[\s_-]", words)))
             good = good or bool(_GOOD_WORD.search(words))
     return good and not bad, bad
 

@@ -419,6 +419,22 @@ def test_main_text(spark):
     assert got[6]["text"] == " ".join(["a b"] * 30_000) and got[6]["n_chars"] == len(got[6]["text"])
 
 
+def test_names_of_the_text_are_not_boilerplate(spark):
+    kept = ['<h2 id="related-work">Related work</h2>', '<h3 id="how-to-search">How to search</h3>', '<h3 id="comments">Comments</h3>', '<section id="side-effects"><p>Some people feel dizzy.</p></section>', '<section id="search"><p>How to look for a thing.</p></section>',
+            '<div class="ad-hoc-networks"><p>Nodes meet each other.</p></div>', '<div class="notice-period"><p>It is a month.</p></div>', '<p class="share-of-voice">Nearly all.</p>', '<div class="alert_levels long">Five of them.</div>', '<section id="social-history"><p>It began early, and went on for a long time.</p></section>']
+    dropped = ['<div class="ad">Buy this</div>', '<section class="comments"><p>A reader says a lot of things here, in many words.</p></section>', '<div class="box related-posts">Other posts</div>', '<div class="search-form">Look for it</div>', '<div id="comments">One reader said so.</div>',
+               '<div id="ad-slot-1">Buy that</div>', '<div class="post__share">Tell others</div>', '<div class="cookie-notice">We use them</div>', '<div role="search">Find</div>', '<div class="newsletter-signup-form">Write to us</div>', '<section id="related-articles"><h3 id="more">More to read</h3></section>', "<aside>An aside</aside>"]
+    pages = [(i, f"<body><nav><a href='/'>Home</a></nav><article><p>The first words of it all are here.</p>{x}<p>The last words of it all are here.</p></article></body>") for i, x in enumerate(kept + dropped)]
+    pages.append((99, "<body><p>" + "word " * 50 + '</p><h2 id="related-work">Related work</h2><p>' + "more " * 50 + "</p></body>"))
+    got = {r["page_id"]: r["text"] for r in html.extracted(spark.createDataFrame(pages, "page_id bigint, html string"), keep=("page_id",)).collect()}
+    import re
+
+    for i, x in enumerate(kept + dropped):
+        inside = re.sub("<[^>]+>", "", x) + " " if i < len(kept) else ""
+        assert got[i] == f"The first words of it all are here. {inside}The last words of it all are here.", x
+    assert "Related work" in got[99]
+
+
 def test_pages_articles(spark, sf_dir):
     import re
     from html import unescape
