@@ -1,8 +1,10 @@
 """Operator 8: quality rules by compression bands.
 
-zstandard ratios (bytes over compressed bytes) of the whole text and of its fixed chunks. Text that repeats itself compresses
-too well, random text too badly; short texts compress less, so the limits depend on the length. One pass over Arrow
-batches, no shuffle.
+zstandard ratios (bytes over compressed bytes) of the whole text and of its fixed chunks. Text that repeats itself, or is full
+of a few signs, compresses too well, random text too badly; short texts compress less, so the limits depend on the length.
+`fitted` draws them from a bounded sample of labelled rows: around the ratio that is usual at a length, the limits leave out at
+most a small share of the good texts and as many of the bad ones as that allows. Scoring is one pass over Arrow batches, no
+shuffle; the limits are all that is sent.
 
 Defined results: a null or empty text has no words, so its base rules fail; its ratio is 1. Rows keep a null doc_id;
 repeated rows each give a row; other columns are ignored.
@@ -12,7 +14,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ class Bands:
     lowest: tuple[float, ...] = (0.0, 0.0, 1.05, 1.2, 1.3, 1.35, 1.4)
     highest: tuple[float, ...] = (2.5, 2.5, 3.0, 3.5, 4.0, 5.0, 6.0)
     chunk: int = 4096
-    share: float = 0.5
+    share: float = 0.34
     level: int = 3
     least_words: int = 10
     most_repeated: float = 0.2
@@ -49,6 +51,69 @@ class Bands:
         return self.lowest[i] <= ratio <= self.highest[i]
 
 
+@dataclass(frozen=True)
+class Fitting:
+    """per_class: labelled rows of each quality in the sample, its only bound. loss: share of the good texts of a length that
+    the limits may leave out. least: good texts that a length needs; where there are fewer, the given bands hold."""
+
+    per_class: int = 5000
+    loss: float = 0.004
+    least: int = 40
+
+
+#: Limits are drawn at this many lengths an octave.
+_STEPS = 4
+
+
+def fit(sizes: np.ndarray, ratios: np.ndarray, good: np.ndarray, bands: Bands = Bands(), fitting: Fitting = Fitting()) -> Bands:
+    """Bands from the sizes and ratios of labelled texts.
+
+    At each length the texts of up to half an octave more or less count, their ratios moved to that length along the line
+    that fits the good ones. The highest limit lies in the middle between the good texts that stay and the first bad one that
+    goes, where bad texts are; else, like the lowest limit, as far from the good ones as these are from their median.
+    """
+    x = np.log2(np.maximum(sizes, 1))
+    grid = np.arange(0, 20 * _STEPS) / _STEPS
+    at, lowest, highest = [], [], []
+    for g in grid:
+        near = np.abs(x - g) <= 0.5
+        mine = near & good
+        if mine.sum() >= fitting.least and (x[mine] >= g).any() and (x[mine] <= g).any():
+            slope = np.polyfit(x[mine], ratios[mine], 1)[0] if np.ptp(x[mine]) > 0.1 else 0.0
+            r = ratios - slope * (x - g)
+            ok, bad = np.sort(r[mine]), np.sort(r[near & ~good])
+            middle = np.median(ok)
+            stay = ok[len(ok) - 1 - int(fitting.loss * len(ok))]
+            above = bad[bad > stay]
+            top = (stay + above[0]) / 2 if len(above) else 2 * stay - middle
+            low, high = 2 * ok[int(fitting.loss * len(ok))] - middle, min(top, 2 * stay - middle)
+        else:
+            i = bisect_right(bands.sizes, 2**g) - 1
+            low, high = bands.lowest[i], bands.highest[i]
+        at.append(0 if g == 0 else int(np.ceil(2 ** (g - 0.5 / _STEPS))))
+        lowest.append(float(low))
+        highest.append(float(high))
+    return replace(bands, sizes=tuple(at), lowest=tuple(lowest), highest=tuple(highest))
+
+
+def fitted(documents: DataFrame, labels: DataFrame, bands: Bands = Bands(), fitting: Fitting = Fitting()) -> Bands:
+    """Bands fitted to documents (doc_id, text) and labels (doc_id, quality 0 or 1) that aren't held out and pass the base rules.
+
+    Of each quality the rows whose MD5 of the id is least. Without labelled rows the given bands stay.
+    """
+    known = labels.where(~common.held_out()).where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    parts = [known.where(F.col("quality") == y).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(fitting.per_class) for y in (0, 1)]
+    chosen = common.stored(parts[0].unionByName(parts[1]))
+    if chosen.isEmpty():
+        return bands
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
+    rows = rules(texts, bands=bands, keep=("quality", "text")).where("not base_failed")
+    got = rows.select(F.octet_length("text").alias("size"), "ratio", "quality").distinct().collect()
+    if not got:
+        return bands
+    return fit(np.array([r["size"] for r in got]), np.array([r["ratio"] for r in got]), np.array([r["quality"] == 1 for r in got]), bands, fitting)
+
+
 def repeated_words(words: list[bytes], window: int) -> int:
     """Words inside windows of consecutive words that occur twice or more, the first occurrence included."""
     n = len(words) - window + 1
@@ -123,14 +188,22 @@ def rules(df: DataFrame, text_col: str = "text", bands: Bands = Bands(), keep: t
     return common.mapped(df, run, kinds)
 
 
+def _bands(spark: SparkSession, sf_dir: str) -> Bands:
+    return fitted(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules(common.table(spark, sf_dir, "documents"))
+    return rules(common.table(spark, sf_dir, "documents"), bands=_bands(spark, sf_dir))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go."""
+    """Pipeline stage: documents that the rules reject go. The limits are those that the labels of `sf_dir` give.
+
+    Rows are judged one by one: null ids, ties and repeated rows stay or go by their texts. All columns stay, whatever their
+    names.
+    """
     names = docs.columns
-    hidden = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(names)])
+    hidden = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)])
     at = names.index("text")
-    kept = rules(hidden, f"_{at}", keep=tuple(hidden.columns)).where("kept")
+    kept = rules(hidden, f"_{at}", _bands(spark, sf_dir), tuple(hidden.columns)).where("kept")
     return kept.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)])

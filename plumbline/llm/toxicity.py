@@ -1,21 +1,25 @@
 """Operator 9: toxicity by a weighted lexicon matched with an Aho-Corasick automaton.
 
 Texts are folded first: case, accents, look-alike letters of other scripts and digits that stand for letters. The lexicon is
-learned from labels: of words and word beginnings that the toxic documents of a bounded sample have and the others hardly
-have, those that cover the most documents not yet covered. An entry weighs its log-odds. Phrases around an entry that only
-documents without the label have are exceptions: an entry doesn't count inside them. The sum of weights over the number of
-words is turned into a probability by a logistic curve, also fitted on the sample.
-
-Learning counts terms in Spark; what reaches the driver is bounded by the parameters of `Learning`. Scoring is one pass over
-Arrow batches with the lexicon as the only broadcast, no shuffle.
+learned from labels of a bounded sample: words and word beginnings that toxic documents have and the others hardly have, or
+that are dense in toxic documents (one in `spread` words or more) though others have one now and then. Chosen are, one after
+the other, those that cover the most documents not yet covered. An entry weighs the logarithm of how much more frequent it
+is among the words of toxic documents. Phrases around an entry that only documents without the label have are exceptions: an
+entry doesn't count inside them. The sum of weights over the number of words is turned into a probability by a logistic
+curve, also fitted on the sample.
+
+Learning counts terms in Spark; what reaches the driver is bounded by the sample. Scoring is one pass over Arrow batches with
+the lexicon as the only broadcast, no shuffle.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -29,17 +33,17 @@ from plumbline.llm import common
 
 @dataclass(frozen=True)
 class Learning:
-    """Bounds of what is learned. per_class: sampled documents of each label. support: toxic documents that an entry must be
-    in. purity: least share of toxic documents among those with an entry (both labels weigh alike). candidates and entries:
-    most terms that are looked at and kept. threshold: the score from which a document is predicted to be toxic.
+    """per_class: sampled documents of each label, the only bound. support: documents that an entry or exception must be in.
+    purity and dense_purity: least share of toxic documents among those that have an entry, and among those where it is dense
+    (both labels weigh alike). spread: dense is one in so many words. threshold: the score from which a document is predicted
+    to be toxic.
     """
 
     per_class: int = 5000
     support: int = 4
     purity: float = 0.95
-    candidates: int = 4000
-    entries: int = 500
-    exceptions: int = 200
+    dense_purity: float = 0.85
+    spread: int = 120
     threshold: float = 0.3
 
 
@@ -51,28 +55,47 @@ class Lexicon:
     intercept: float = -20.0
 
 
-#: Characters that stand for a Latin letter (fixed values): Cyrillic and Greek look-alikes, digits and signs. l and i fold alike.
+#: Characters that stand for a Latin letter (fixed values): Cyrillic, Greek, Armenian and Cherokee look-alikes, digits and signs.
+#: l and i fold alike. Letters that Unicode names or decomposes as Latin ones are found by rule.
 _LOOK_ALIKES = {
-    "а": "a", "в": "b", "с": "c", "е": "e", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x",
-    "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
-    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i", "l": "i", "ı": "i", "ł": "i", "ø": "o", "ß": "ss", "æ": "ae", "œ": "oe",
+    "а": "a", "в": "b", "г": "r", "е": "e", "з": "e", "н": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "п": "n", "р": "p", "с": "c", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ь": "b", "ѡ": "w", "ѵ": "v", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "ӏ": "i",
+    "α": "a", "β": "b", "γ": "y", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ϲ": "c", "ϳ": "j",
+    "ա": "w", "ց": "g", "հ": "h", "յ": "j", "ո": "n", "ս": "u", "ք": "p", "օ": "o", "զ": "q", "ռ": "n",
+    "Ꭰ": "d", "Ꭱ": "r", "Ꭲ": "t", "Ꭺ": "a", "Ꭻ": "j", "Ꭼ": "e", "Ꮃ": "w", "Ꮇ": "m", "Ꮋ": "h", "Ꮐ": "g", "Ꮓ": "z", "Ꮖ": "i", "Ꮞ": "a", "Ꮟ": "b", "Ꮢ": "r", "Ꮤ": "w", "Ꮥ": "s", "Ꮩ": "v", "Ꮪ": "s", "Ꮮ": "i", "Ꮯ": "c", "Ꮲ": "p", "Ꮶ": "k", "Ᏼ": "b",
+    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i", "l": "i", "ı": "i", "ł": "i", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe",
 }
 _LOOK_ALIKE_SIGNS = "@$!|"
+#: Blocks with letters that look Latin, decompose to Latin or are signs: from Latin to punctuation and circled letters, Latin
+#: and Cherokee extensions, presentation and full-width forms, mathematical and enclosed letters (fixed values).
+_RANGES = [(0, 0x3040), (0xA640, 0xABC0), (0xFB00, 0x10000), (0x1D400, 0x1D800), (0x1F100, 0x1F1AA)]
+_NAMED = re.compile(r"LATIN (?:LETTER |SMALL LETTER |CAPITAL LETTER )(?:SMALL CAPITAL |SCRIPT |OPEN |DOTLESS |REVERSED |TURNED )?([A-Z])(?: WITH .*)?$|NEGATIVE (?:CIRCLED|SQUARED) LATIN CAPITAL LETTER ([A-Z])$")
 
 
 def _table() -> dict[int, str | None]:
+    """What each character of the ranges folds to: a letter, a space for signs, nothing for marks and invisible characters."""
     out: dict[int, str | None] = {}
-    for i in range(0x500):
+    for i in (i for a, b in _RANGES for i in range(a, b)):
         c = chr(i)
-        if unicodedata.category(c)[0] in "PSZC":
+        kind = unicodedata.category(c)
+        base = unicodedata.normalize("NFKD", c.lower()).lower()[:1]
+        named = _NAMED.match(unicodedata.name(c, ""))
+        digit = unicodedata.digit(c, None)
+        if kind in ("Mn", "Me", "Cf"):
+            out[i] = None
+        elif c in _LOOK_ALIKE_SIGNS or base in _LOOK_ALIKES:
+            out[i] = _LOOK_ALIKES.get(c) or _LOOK_ALIKES[base]
+        elif c.lower() in _LOOK_ALIKES or c in _LOOK_ALIKES:
+            out[i] = _LOOK_ALIKES.get(c) or _LOOK_ALIKES[c.lower()]
+        elif named:
+            letter = (named[1] or named[2]).lower()
+            out[i] = _LOOK_ALIKES.get(letter, letter)
+        elif digit is not None:
+            out[i] = _LOOK_ALIKES.get(str(digit), str(digit))
+        elif c.isalnum() and base:
+            out[i] = base
+        elif kind[0] in "PSZC":
             out[i] = " "
-        base = unicodedata.normalize("NFKD", c.lower())[:1]
-        if c.isalnum() and base:
-            out[i] = _LOOK_ALIKES.get(c.lower()) or _LOOK_ALIKES.get(base) or base
-    out.update({ord(c): _LOOK_ALIKES[c] for c in _LOOK_ALIKE_SIGNS})
-    out.update({0xFF01 + i: out[0x21 + i] for i in range(94)})  # full-width forms
-    out.update({i: None for i in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, *range(0x300, 0x370))})
-    out.update({i: " " for i in range(0x2010, 0x2028)})
+    out[0xAD] = None
     return out
 
 
@@ -86,29 +109,41 @@ def folded(text: str) -> str:
     return f" {' '.join(plain.translate(_TABLE).split())} "
 
 
-def _terms(text: str) -> set[str]:
-    """Words (" word ") and word beginnings (" wor") of a folded text."""
-    out: set[str] = set()
-    for w in set(text.split()):
+def _terms(text: str) -> Counter:
+    """Words (" word ") and word beginnings (" wor") of a folded text with how often they occur."""
+    out: Counter = Counter()
+    for w, n in Counter(text.split()).items():
         if len(w) > 2:
-            out.add(f" {w} ")
-            out.update(f" {w[:n]}" for n in range(4, min(8, len(w))))
+            out[f" {w} "] += n
+            for i in range(4, min(8, len(w))):
+                out[f" {w[:i]}"] += n
     return out
 
 
-def _counted(sample: DataFrame, prepared) -> DataFrame:
-    """term, pos and neg: documents of either label with the term. prepared: makes a task's function folded text -> terms."""
+_COUNTS = ["pos", "neg", "dense_pos", "dense_neg", "often_pos", "often_neg"]
+
+
+def _counted(sample: DataFrame, prepared: Callable, spread: int) -> DataFrame:
+    """Of each term the documents of either label with it (pos, neg) and where it is dense, and how often these have it.
+
+    prepared: makes a task's function from a folded text to its terms with their numbers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = prepared()
         for batch in common.small_batches(batches, "text", 1 << 20):
-            counts = (Counter(), Counter())
+            counts = {c: Counter() for c in _COUNTS}
             for t, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                counts[y].update(terms(folded(t)))
-            names = list(counts[0].keys() | counts[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([counts[y][n] for n in names], pa.int64()) for y in (1, 0))], names=["term", "pos", "neg"])
+                text, label = folded(t), "pos" if y else "neg"
+                found, size = terms(text), text.count(" ")
+                counts[label].update(found.keys())
+                counts[f"dense_{label}"].update(k for k, n in found.items() if n * spread >= size)
+                counts[f"often_{label}"].update(found)
+            names = list(counts["pos"].keys() | counts["neg"].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([counts[c][n] for n in names], pa.int64()) for c in _COUNTS)], names=["term", *_COUNTS])
 
-    return common.mapped(sample, run, "term string, pos bigint, neg bigint").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    rows = common.mapped(sample, run, "term string, " + ", ".join(f"{c} bigint" for c in _COUNTS))
+    return rows.groupBy("term").agg(*[F.sum(c).alias(c) for c in _COUNTS])
 
 
 def _automaton(keys, value) -> ahocorasick.Automaton | None:
@@ -133,38 +168,58 @@ def _hits(text: str, lexicon: ahocorasick.Automaton | None, exceptions: ahocoras
 
 
 def _evidence(text: str, weights: dict[str, float], lexicon, exceptions) -> float:
-    """Weight of the entries over the number of words, on a logarithmic scale; 0 if there is none."""
+    """Weight of the matches over the number of words, on a logarithmic scale; 0 if there is none."""
     hits = _hits(text, lexicon, exceptions)
-    total = sum(weights[k] * (1 + math.log(n)) for k, n in hits.items())
+    total = sum(weights[k] * n for k, n in hits.items())
     return math.log1p(1000 * max(0.0, total) / (text.count(" ") + 20)) if total else 0.0
 
 
-def _cover(documents: list[list[int]], terms: list[tuple[str, int, int]], most: int, least: int) -> list[int]:
-    """Terms chosen one after the other, each for the most documents that none before it covers; longer terms win ties."""
-    left: list[set[int]] = [set() for _ in terms]
+@dataclass(frozen=True)
+class _Term:
+    """A candidate: documents that it counts in, of either label, and how often the words of either label are it."""
+
+    text: str
+    pos: int
+    neg: int
+    often_pos: int
+    often_neg: int
+    dense: bool
+
+
+def _cover(documents: list[list[int]], terms: list[_Term], least: int, weight: float) -> list[int]:
+    """Terms chosen one after the other, each for the most documents that none before it covers, less the clean ones it is in
+    (each counts as `weight`); longer terms win ties. What a term adds only falls, so the best of a heap is looked at again."""
+    having: list[set[int]] = [set() for _ in terms]
     for d, ids in enumerate(documents):
         for i in ids:
-            left[i].add(d)
+            having[i].add(d)
+    covered: set[int] = set()
+    order = lambda i: (-(len(having[i] - covered) - weight * terms[i].neg), -len(terms[i].text), terms[i].text, i)
+    heap = [order(i) for i in range(len(terms))]
+    heapq.heapify(heap)
     chosen: list[int] = []
-    while len(chosen) < most:
-        best = max(range(len(terms)), key=lambda i: (len(left[i]) - 2 * terms[i][2], len(terms[i][0]), terms[i][0]))
-        if len(left[best]) < least:
+    while heap:
+        i = heapq.heappop(heap)[3]
+        now = order(i)
+        if heap and now > heap[0]:
+            heapq.heappush(heap, now)
+            continue
+        if len(having[i] - covered) >= least and now[0] < 0:
+            chosen.append(i)
+            covered |= having[i]
+        elif now[0] >= 0:
             break
-        chosen.append(best)
-        gone = set(left[best])
-        for s in left:
-            s -= gone
     return chosen
 
 
-def _as_frequent(terms: list[tuple[str, int, int]], chosen: list[tuple[str, int, int]], most: int) -> list[tuple[str, int, int]]:
+def _as_frequent(terms: list[_Term], chosen: list[_Term]) -> list[_Term]:
     """Words that only toxic documents have, at least a quarter as often as the middle one of the chosen entries, though other
     entries cover their documents: elsewhere they may stand alone."""
     if not chosen:
         return []
-    usual = sorted(p for _, p, _ in chosen)[len(chosen) // 2]
-    have = [t for t, _, _ in chosen]
-    return [x for x in terms if x[2] == 0 and x[1] >= usual / 4 and x[0][-1] == " " and not any(x[0].startswith(t) for t in have)][: max(0, most)]
+    usual = sorted(t.pos for t in chosen)[len(chosen) // 2]
+    have = tuple(t.text for t in chosen)
+    return [t for t in terms if t.neg == 0 and t.pos >= usual / 4 and t.text[-1] == " " and not t.text.startswith(have)]
 
 
 def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -184,15 +239,11 @@ def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
 
 def training_rows(labels: DataFrame, learning: Learning) -> DataFrame:
     """doc_id and toxic of the sample: of each label the rows whose MD5 of the id is least, without the held-out rows."""
-    known = labels.where(~held_out()).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = labels.where(~common.held_out()).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     parts = [known.where(F.col("toxic") == y).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(learning.per_class) for y in (0, 1)]
     return parts[0].unionByName(parts[1])
 
 
-def held_out(id_col: str = "doc_id"):
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
-
-
 def learned(documents: DataFrame, labels: DataFrame, learning: Learning = Learning()) -> Lexicon:
     """A lexicon from documents (doc_id, text) and labels (doc_id, toxic). Without toxic rows it has no entries."""
     rows = common.stored(training_rows(labels, learning))
@@ -204,27 +255,32 @@ def learned(documents: DataFrame, labels: DataFrame, learning: Learning = Learni
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not n.get(1) or not n.get(0):
         return Lexicon()
-    pure = F.col("pos") / n[1] >= learning.purity * (F.col("pos") / n[1] + F.col("neg") / n[0])
-    found = _counted(sample, lambda: _terms).where(F.col("pos") >= learning.support).where(pure)
-    terms = [(r["term"], r["pos"], r["neg"]) for r in found.orderBy(F.desc(F.col("pos") - 2 * F.col("neg")), F.desc(F.length("term")), "term").limit(learning.candidates).collect()]
-    terms += _excused(sample, learning, n)
-    number = {t: i for i, (t, _, _) in enumerate(terms)}
-    documents_with = _incidence(sample.where("toxic = 1"), number)
-    chosen = [terms[i] for i in _cover(documents_with, terms, learning.entries, max(learning.support, round(0.003 * n[1])))]
-    chosen += _as_frequent(terms, chosen, learning.entries - len(chosen))
-    lexicon = Lexicon({t: math.log((p + 0.5) / n[1] * n[0] / (q + 0.5)) for t, p, q in chosen})
+    share = lambda a, b: F.col(a) / n[1] / F.greatest(F.col(a) / n[1] + F.col(b) / n[0], F.lit(1e-12))
+    pure = (F.col("pos") >= learning.support) & (share("pos", "neg") >= learning.purity)
+    dense = (F.col("dense_pos") >= learning.support) & (share("dense_pos", "dense_neg") >= learning.dense_purity)
+    found = _counted(sample, lambda: _terms, learning.spread).where(pure | dense).withColumn("pure", pure)
+    terms = [_Term(r["term"], *((r["pos"], r["neg"]) if r["pure"] else (r["dense_pos"], r["dense_neg"])), r["often_pos"], r["often_neg"], not r["pure"]) for r in found.collect()]
+    known = {t.text for t in terms if not t.dense}
+    excused = [t for t in _excused(sample, learning, n) if t.text not in known]
+    terms = [t for t in terms if t.text not in {x.text for x in excused}] + excused
+    documents_with = _incidence(sample.where("toxic = 1"), terms, learning.spread)
+    picked = [terms[i] for i in _cover(documents_with, terms, max(learning.support, round(0.003 * n[1])), 2 * n[1] / n[0])]
+    picked += _as_frequent(terms, picked)
+    words = {r["toxic"]: r["words"] for r in sample.groupBy("toxic").agg(F.sum(F.length("text")).alias("words")).collect()}
+    rate = lambda t: (t.often_pos + 0.5) / max(1, words[1]) / ((t.often_neg + 0.5) / max(1, words[0]))
+    lexicon = Lexicon({t.text: max(0.5, math.log(rate(t))) for t in picked})
     lexicon.exceptions = _exceptions(sample, lexicon, learning)
     x, y = _evidences(sample, lexicon)
-    known = {r["toxic"]: r["count"] for r in labels.where(~held_out()).where("toxic in (0, 1)").groupBy("toxic").count().collect()}
-    lexicon.slope, lexicon.intercept = _curve(x, y, np.where(y == 1, known.get(1, 1) / n[1], known.get(0, 1) / n[0]))
+    counts = {r["toxic"]: r["count"] for r in labels.where(~common.held_out()).where("toxic in (0, 1)").groupBy("toxic").count().collect()}
+    lexicon.slope, lexicon.intercept = _curve(x, y, np.where(y == 1, counts.get(1, 1) / n[1], counts.get(0, 1) / n[0]))
     return lexicon
 
 
-def _excused(sample: DataFrame, learning: Learning, n: dict[int, int]) -> list[tuple[str, int, int]]:
+def _excused(sample: DataFrame, learning: Learning, n: dict[int, int]) -> list[_Term]:
     """Terms that are pure only outside their exception phrases, with their counts there."""
     share = F.col("pos") / n[1] / (F.col("pos") / n[1] + F.col("neg") / n[0])
-    frequent = _counted(sample, lambda: _terms).where(F.col("pos") >= max(learning.support, round(0.01 * n[1]))).where(share.between(0.6, learning.purity - 1e-9))
-    likely = Lexicon({r["term"]: 1.0 for r in frequent.orderBy(F.desc("pos"), "term").limit(learning.exceptions).collect()})
+    frequent = _counted(sample, lambda: _terms, learning.spread).where(F.col("pos") >= max(learning.support, round(0.01 * n[1]))).where(share.between(0.6, learning.purity - 1e-9))
+    likely = Lexicon({r["term"]: 1.0 for r in frequent.collect()})
     exceptions = _exceptions(sample, likely, learning)
     if not exceptions:
         return []
@@ -232,18 +288,24 @@ def _excused(sample: DataFrame, learning: Learning, n: dict[int, int]) -> list[t
 
     def hits():
         automata = _automaton(weights, lambda k: k), _automaton(exceptions, lambda k: k)
-        return lambda text: set(_hits(text, *automata))
+        return lambda text: _hits(text, *automata)
 
-    found = _counted(sample, hits).where(F.col("pos") >= learning.support).where(share >= learning.purity)
-    return sorted((r["term"], r["pos"], r["neg"]) for r in found.collect())
+    found = _counted(sample, hits, learning.spread).where(F.col("pos") >= learning.support).where(share >= learning.purity)
+    return sorted((_Term(r["term"], r["pos"], r["neg"], r["often_pos"], r["often_neg"], False) for r in found.collect()), key=lambda t: t.text)
 
 
-def _incidence(toxic: DataFrame, number: dict[str, int]) -> list[list[int]]:
-    """Of each toxic document of the sample the candidates in it (both bounded by the parameters)."""
+def _incidence(toxic: DataFrame, terms: list[_Term], spread: int) -> list[list[int]]:
+    """Of each toxic document of the sample the candidates that count in it."""
+    number = {t.text: (i, t.dense) for i, t in enumerate(terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [sorted(number[t] for t in _terms(folded(x)) if t in number) for x in batch.column("text").to_pylist()]
+            ids = []
+            for x in batch.column("text").to_pylist():
+                text = folded(x)
+                size = text.count(" ")
+                found = ((number[t], n) for t, n in _terms(text).items() if t in number)
+                ids.append(sorted(i for (i, dense), n in found if not dense or n * spread >= size))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32()))], names=["ids"])
 
     return [r["ids"] for r in common.mapped(toxic.select("text"), run, "ids array<int>").collect()]
@@ -256,24 +318,23 @@ def _exceptions(sample: DataFrame, lexicon: Lexicon, learning: Learning) -> list
     def phrases():
         automaton = _automaton(weights, lambda k: k)
 
-        def of(text: str) -> set[str]:
-            out: set[str] = set()
+        def of(text: str) -> Counter:
+            out: Counter = Counter()
             for end, k in automaton.iter(text):
                 a = text.rfind(" ", 0, end - len(k) + 2)
                 b = text.find(" ", end)
                 before, after = text.rfind(" ", 0, a), text.find(" ", b + 1)
                 if before >= 0:
-                    out.add(text[before : b + 1])
+                    out[text[before : b + 1]] += 1
                 if after >= 0:
-                    out.add(text[a : after + 1])
+                    out[text[a : after + 1]] += 1
             return out
 
         return of
 
     if not weights:
         return []
-    counts = _counted(sample, phrases).where("pos = 0").where(F.col("neg") >= learning.support)
-    return [r["term"] for r in counts.orderBy(F.desc("neg"), "term").limit(learning.exceptions).collect()]
+    return sorted(r["term"] for r in _counted(sample, phrases, learning.spread).where("pos = 0").where(F.col("neg") >= learning.support).collect())
 
 
 def _evidences(sample: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
@@ -305,4 +366,4 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
     learning = Learning()
     out = scored(documents, learned(documents, labels, learning))
-    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= learning.threshold).cast("int").alias("predicted"))
+    return out.select("doc_id", common.held_out().alias("held_out"), "score", (F.col("score") >= learning.threshold).cast("int").alias("predicted"))

@@ -484,10 +484,64 @@ def test_quality_keeps_clean_documents(spark, sf_dir):
     assert all(r["kept"] for r in rows if not r["base_failed"])
 
 
+def slow_kept(text, bands):
+    """Brute force of the verdict: whole text, then its chunks, each against the limits of its length."""
+    import zstandard
+
+    def fits(part):
+        ratio = len(part) / len(zstandard.compress(part, bands.level)) if part else 1.0
+        i = max(i for i, size in enumerate(bands.sizes) if size <= len(part))
+        return bands.lowest[i] <= ratio <= bands.highest[i]
+
+    data = (text or "").encode()
+    parts = [data[i : i + bands.chunk] for i in range(0, len(data), bands.chunk)]
+    if len(parts) > 1 and len(parts[-1]) * 2 < bands.chunk:
+        parts = [*parts[:-2], parts[-2] + parts[-1]]
+    bad = 0 if len(parts) < 2 else len([p for p in parts if not fits(p)])
+    return not slow_quality(text)[5] and fits(data) and bad <= bands.share * len(parts)
+
+
+def test_quality_verdicts(spark, sf_dir, odd):
+    rng = random.Random(16)
+    noise = lambda n: "".join(chr(rng.randrange(33, 127)) for _ in range(n))
+    spam = "".join(f"w{rng.randrange(9)}### " for _ in range(2000))
+    more = [" ".join(noise(7) for _ in range(40)), words(rng, 900, 100_000) + " " + spam[:3000], spam, words(rng, 3000, 100_000) + spam[:4000], words(rng, 9, 9), words(rng, 1400)]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").unionByName(odd.select("text")).unionByName(spark.createDataFrame([(t,) for t in more], "text string"))
+    verdicts = set()
+    tight = quality.Bands(sizes=(0, 500, 4000), lowest=(0.5, 1.2, 1.4), highest=(2.0, 2.3, 2.4))
+    for bands in (quality.Bands(), tight, quality._bands(spark, sf_dir)):
+        for r in quality.rules(docs, bands=bands, keep=("text",)).collect():
+            assert r["kept"] == slow_kept(r["text"], bands)
+            verdicts.add((r["kept"], r["base_failed"], r["bad_chunks"] > 0))
+    assert verdicts >= {(True, False, False), (True, False, True), (False, False, False), (False, False, True), (False, True, False)}
+
+
+def test_fitted_bands_separate(spark):
+    """Texts of signs among clean ones of all lengths: nearly all clean held-out ones stay, nearly all others go."""
+    rng = random.Random(21)
+    syllables = [a + b for a in "bdfgklmnprst" for b in ("a", "e", "i", "o", "u", "an", "el", "ir")]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5)))
+    docs, labels = [], []
+    for i in range(3000):
+        bad = rng.random() < 0.15
+        w = [word() for _ in range(int(20 * 2 ** (rng.random() * 5)))]
+        docs.append((i, " ".join(x + rng.choice(["###", "$$$"]) if bad and rng.random() < 0.9 else x for x in w), "en", "s", 0))
+        labels.append((i, int(not bad), 0))
+    docs, labels = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([*labels, (None, 1, 0), (5, None, None)], "doc_id bigint, quality int, toxic int")
+    bands = quality.fitted(docs, labels)
+    rows = quality.rules(docs, bands=bands).join(labels, "doc_id").where(common.held_out()).where("quality is not null and not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()
+    share = {r["quality"]: r["kept"] for r in rows}
+    assert share[1] > 0.97 and share[0] < 0.1, share
+    assert quality.fitted(docs, labels.limit(0)) == quality.Bands()
+    assert quality.fitted(docs.limit(0), labels) == quality.Bands()
+
+
 # 9
 
 
 def test_folding():
+    for disguised in ("𝓘𝓭𝓲𝓸𝓽", "𝕚𝕕𝕚𝕠𝕥", "ɪᴅɪᴏᴛ", "ⓘⓓⓘⓞⓣ", "ｉｄｉｏｔ", "іԁіоt", "i\u200bdi\u0301ot", "1d10T"):
+        assert toxicity.folded(disguised) == toxicity.folded("idiot"), disguised
     assert toxicity.folded("You 1d10t!! STUPID​, w0rthl3ss") == toxicity.folded("you idiot stupid worthless")
     assert toxicity.folded("Пaр idiοt") .endswith(toxicity.folded("idiot"))
 
@@ -526,6 +580,27 @@ def test_toxicity_on_held_out_rows(spark, tmp_path):
     assert len(wrong) <= 0.02 * len(held), wrong
 
 
+def test_words_that_are_only_dense_in_toxic_documents(spark, tmp_path):
+    """A word beginning that clean documents have now and then: only how dense it is tells."""
+    rng = random.Random(12)
+    docs, labels = [], []
+    for i in range(1500):
+        toxic = rng.random() < 0.15
+        w = words(rng, rng.randrange(60, 600)).split()
+        often = max(1, len(w) // 40) if toxic else int(rng.random() < 0.3 and len(w) > 200)
+        for _ in range(often):
+            w.insert(rng.randrange(len(w)), f"vork{rng.choice(['el', 'ant', 'is', 'ul'])}{rng.randrange(200)}")
+        docs.append((i, " ".join(w), "en", "s", 0))
+        labels.append((i, 1, int(toxic)))
+    spark.createDataFrame(docs, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    truth = {i: y for i, _, y in labels}
+    held = [r for r in toxicity.op9_toxicity(spark, str(tmp_path)).collect() if r["held_out"]]
+    caught = [r["predicted"] for r in held if truth[r["doc_id"]]]
+    assert sum(caught) >= 0.95 * len(caught)
+    assert sum(r["predicted"] for r in held if not truth[r["doc_id"]]) <= 0.03 * len(held)
+
+
 def test_toxicity_without_labels(spark, odd, empty):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert toxicity.learned(odd, labels).weights == {}
