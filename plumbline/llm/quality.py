@@ -78,7 +78,7 @@ def fit(sizes: np.ndarray, ratios: np.ndarray, good: np.ndarray, bands: Bands =
     for g in grid:
         near = np.abs(x - g) <= 0.5
         mine = near & good
-        if mine.sum() >= fitting.least and (x[mine] >= g).any() and (x[mine] <= g).any():
+        if mine.sum() >= fitting.least:
             slope = np.polyfit(x[mine], ratios[mine], 1)[0] if np.ptp(x[mine]) > 0.1 else 0.0
             r = ratios - slope * (x - g)
             ok, bad = np.sort(r[mine]), np.sort(r[near & ~good])

@@ -517,7 +517,8 @@ def test_quality_verdicts(spark, sf_dir, odd):
 
 
 def test_fitted_bands_separate(spark):
-    """Texts of signs among clean ones of all lengths: nearly all clean held-out ones stay, nearly all others go."""
+    """Texts of signs among clean ones of all lengths: nearly all clean held-out ones stay, nearly all others of over 1,000
+    bytes go (the ratios of shorter ones overlap)."""
     rng = random.Random(21)
     syllables = [a + b for a in "bdfgklmnprst" for b in ("a", "e", "i", "o", "u", "an", "el", "ir")]
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5)))
@@ -529,7 +530,7 @@ def test_fitted_bands_separate(spark):
         labels.append((i, int(not bad), 0))
     docs, labels = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([*labels, (None, 1, 0), (5, None, None)], "doc_id bigint, quality int, toxic int")
     bands = quality.fitted(docs, labels)
-    rows = quality.rules(docs, bands=bands).join(labels, "doc_id").where(common.held_out()).where("quality is not null and not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()
+    rows = quality.rules(docs, bands=bands, keep=("doc_id", "text")).join(labels, "doc_id").where(common.held_out()).where("quality = 1 or quality = 0 and octet_length(text) > 1000").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()
     share = {r["quality"]: r["kept"] for r in rows}
     assert share[1] > 0.97 and share[0] < 0.1, share
     assert quality.fitted(docs, labels.limit(0)) == quality.Bands()
