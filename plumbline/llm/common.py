@@ -19,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 NO_ID = -(2**63)
 
 
-__all__ = ["NO_ID", "WORD", "arrow", "held_out", "key", "mapped", "small_batches", "stored", "table", "texts", "unkey"]
+__all__ = ["NO_ID", "WORD", "arrow", "free", "held_out", "key", "mapped", "small_batches", "stored", "table", "texts", "unkey"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,13 @@ def unkey(col: str) -> Column:
     return F.when(F.col(col) != F.lit(NO_ID), F.col(col))
 
 
+def free(names: list[str], *wanted: str) -> list[str]:
+    """A column name for each of `wanted` that none of `names` is, whatever their case."""
+    taken = {n.lower() for n in names}
+    mark = next(m for m in ("_" * i for i in range(1, len(names) + 2)) if not any(f"{m}{w}".lower() in taken for w in wanted))
+    return [f"{mark}{w}" for w in wanted]
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that nothing is learned from: those whose CRC-32 of the id has the remainder 2."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))

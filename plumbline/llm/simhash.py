@@ -1,21 +1,24 @@
 """Operator 6: SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 A fingerprint has 8 byte positions. Two that differ in at most `distance` bits share the byte at 8 - distance positions or
-more: that is the guaranteed minimum of matches. Posting lists of single bytes would each hold about 1/256 of all rows, so
-tallying matches list by list is quadratic. The index therefore holds, for every choice of `8 - distance` positions, the
-bytes there: rows meet in it exactly if their tally of shared positional bytes reaches the minimum. A pair is verified
-(tally again, then differing bits) only under the first choice of positions that it shares.
-
-Equal fingerprints are folded before the index, so copies never make pairs. Within an index list only the links that
-connect something are returned, at most one for each member. Lists over `LIST` members aren't gathered in a task: their
-members meet through all fingerprints half the distance away, where whoever meets is linked, so a minimum suffices.
-Components come from contraction: each node takes its least neighbour, chains are shortened by pointer jumping, links
-are renamed and the smaller graph goes on.
+more: that is the guaranteed minimum of matches, four for a distance of four. The index posts each fingerprint under its
+positional bytes. Lists of single bytes would each hold about 1/256 of all rows, so a posting is made of two positions with
+their bytes; whoever reaches the minimum shares the posting of the first two positions that they share. In each list every pair is
+tallied (shared positional bytes), pairs that reach the minimum are kept and verified by counting differing bits.
+
+A list that is longer than `members` is posted again with each further position: its pairs must share that many positions
+too. When the minimum itself is posted and a list is still longer, it is dealt in blocks, and each pair of blocks is a list of
+its own. No pair is dropped at any size, and no task holds more than about `members` rows of a list.
+
+Equal fingerprints are folded before the index, so copies never make pairs. Of the verified pairs only those go on that
+connect what isn't connected yet in their list, so fewer links than members leave a list. Components come from contraction:
+each node takes its least neighbour, chains are shortened by pointer jumping, links are renamed and the smaller graph goes on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import common
 
-#: Members of an index list that one task compares with each other; longer lists are dealt over tasks.
-LIST = 4096
+#: Members of a list that one task compares with each other.
+MEMBERS = 4096
 #: The bits of each byte value, lowest first.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -70,127 +73,125 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def index(fps: DataFrame, distance: int) -> DataFrame:
-    """(choice, bytes, fp): every fingerprint under every choice of 8 - distance positions."""
-    choices = list(combinations(range(8), 8 - distance))
-    keys = [F.struct(F.lit(i).cast("int").alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(_mask(c)))).alias("bytes")) for i, c in enumerate(choices)]
-    return fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.choice", "k.bytes", "fp")
-
-
-def _near(x: np.ndarray | np.uint64, y: np.ndarray, distance: int) -> np.ndarray:
-    return np.bitwise_count(x ^ y) <= distance
-
-
-def _linked(members: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
-    """Links that connect the members of one list as far as near pairs do: a breadth-first search, one link a member."""
-    rest = members
-    while len(rest) > 1:
-        front, rest = [rest[0]], rest[1:]
-        while front and len(rest):
-            x = front.pop()
-            near = _near(x, rest, distance)
-            if near.any():
-                for y in rest[near].tolist():
-                    yield int(x), y
-                    front.append(np.uint64(y))
-                rest = rest[~near]
-
-
-def _list_links(distance: int):
-    masks = np.array([_mask(c) for c in combinations(range(8), 8 - distance)], np.uint64)
-
-    def links(choice: np.ndarray, key: np.ndarray, fp: np.ndarray) -> tuple[list, list]:
-        """Links within whole lists; arrays are sorted by (choice, key)."""
-        edges = np.flatnonzero(np.concatenate(([True], (choice[1:] != choice[:-1]) | (key[1:] != key[:-1]), [True])))
-        sizes = np.diff(edges)
-        a, b = [], []
-        few = np.repeat(sizes <= 8, sizes)
-        for step in range(1, 8):
-            ok = few[:-step] & few[step:] & (choice[:-step] == choice[step:]) & (key[:-step] == key[step:])
-            i = np.flatnonzero(ok)
-            x, y = fp[i], fp[i + step]
-            near = _near(x, y, distance)
-            i, x, y = i[near], x[near], y[near]
-            if not len(i):
-                continue
-            # Only under the first choice of shared positions: no earlier choice is shared too.
-            shared = (x ^ y)[:, None] & masks[None, :] == 0
-            first = shared.argmax(axis=1) == choice[i]
-            a += x[first].tolist()
-            b += y[first].tolist()
-        for k in np.flatnonzero(sizes > 8):
-            for x, y in _linked(fp[edges[k] : edges[k + 1]], distance):
-                a.append(x)
-                b.append(y)
-        return a, b
+def posted(least: int, n: int) -> list[tuple[int, ...]]:
+    """The choices of n positions that can be the first n of at least `least` shared ones: enough positions follow."""
+    return list(combinations(range(8 - (least - n)), n))
+
+
+def index(fps: DataFrame, choices: list[tuple[int, ...]]) -> DataFrame:
+    """(choice, bytes, fp): every fingerprint under its bytes at each choice of positions; a choice is the mask of its bytes."""
+    masks = F.array(*[F.lit(_signed(_mask(c))) for c in choices])
+    return fps.select("fp", F.explode(masks).alias("choice")).select("choice", F.col("fp").bitwiseAND(F.col("choice")).alias("bytes"), "fp")
+
+
+def tally(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Positional bytes that two arrays of fingerprints share."""
+    return (np.ascontiguousarray(x ^ y).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+
+
+def _connecting(fp: np.ndarray, list_end: np.ndarray, least: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of the same list. Rows are sorted by list; list_end is where each row's list ends.
+
+    Every pair of a list is looked at, those that lie `step` rows apart at a time. root holds a row that each row is connected
+    with: pairs with the same root need no link.
+    """
+    root = np.arange(len(fp))
+    at = np.arange(len(fp))
+    a: list[np.ndarray] = []
+    b: list[np.ndarray] = []
+    step = 0
+    while len(at):
+        step += 1
+        at = at[at + step < list_end[at]]
+        i = at[root[at] != root[at + step]]
+        i = i[tally(fp[i], fp[i + step]) >= least]
+        i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= distance]
+        if len(i):
+            a.append(fp[i])
+            b.append(fp[i + step])
+            high, low = np.maximum(root[i], root[i + step]), np.minimum(root[i], root[i + step])
+            root[high] = low
+            while (root != root[root]).any():
+                root = root[root]
+    none = np.empty(0, np.uint64)
+    return np.concatenate(a) if a else none, np.concatenate(b) if b else none
+
+
+def _list_links(keys: list[str], least: int, distance: int):
+    """Links of whole lists; batches come sorted by `keys`, which name a list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def out(c, k, f):
-            a, b = links(c, k, f)
-            return pa.RecordBatch.from_arrays([pa.array(np.array(v, np.uint64).view(np.int64)) for v in (a, b)], names=["a", "b"])
+        def out(columns: list[np.ndarray]) -> pa.RecordBatch:
+            fp, new = columns[-1].view(np.uint64), np.zeros(len(columns[-1]), bool)
+            for c in columns[:-1]:
+                new[1:] |= c[1:] != c[:-1]
+            ends = np.append(np.flatnonzero(new), len(fp))
+            a, b = _connecting(fp, ends[np.cumsum(new)], least, distance)
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], names=["a", "b"])
 
         for batch in batches:
-            now = [np.asarray(batch.column(n)) for n in ("choice", "bytes", "fp")]
-            now[2] = now[2].view(np.uint64)
+            now = [np.asarray(batch.column(n)) for n in (*keys, "fp")]
             if held:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             if not len(now[0]):
                 continue
-            same = (now[0] == now[0][-1]) & (now[1] == now[1][-1])
+            same = np.logical_and.reduce([c == c[-1] for c in now[:-1]])
             cut = len(same) - int(same.sum())  # the last list may go on in the next batch
             if cut:
-                yield out(*(x[:cut] for x in now))
+                yield out([x[:cut] for x in now])
             held = [x[cut:] for x in now]
         if held and len(held[0]):
-            yield out(*held)
+            yield out(held)
 
     return run
 
 
-def _ball(fp: Column, free: Column, radius: int) -> Column:
-    """All values at most `radius` bits of `free` away from fp, as an array (`free`: array of single-bit values)."""
-    if radius == 0:
-        return F.array(fp)
-    one = F.transform(free, lambda b: fp.bitwiseXOR(b))
-    if radius == 1:
-        return F.concat(F.array(fp), one)
-    two = F.flatten(F.transform(free, lambda b, i: F.transform(F.slice(free, i + 2, F.size(free)), lambda c: fp.bitwiseXOR(b).bitwiseXOR(c))))
-    return F.concat(F.array(fp), one, two)
+def _compared(rows: DataFrame, keys: list[str], least: int, distance: int) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.select(*keys, "fp").repartition(n, *keys).sortWithinPartitions(*keys, "fp")
+    return common.mapped(ordered, _list_links(keys, least, distance), "a bigint, b bigint")
 
 
-def links(fps: DataFrame, distance: int = 4, list_limit: int = LIST) -> DataFrame:
+def links(fps: DataFrame, distance: int = 4, members: int = MEMBERS) -> DataFrame:
     """(a, b): links between different fingerprints of the column `fp` (distinct) that connect whatever near pairs connect."""
-    if not 0 <= distance <= 4:
-        raise ValueError("distance must be 0 to 4")
-    spark = fps.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = index(fps, distance)
-    stored_long = common.stored(rows.groupBy("choice", "bytes").count().where(F.col("count") > list_limit).select("choice", "bytes"))
-    many = not stored_long.isEmpty()
-    short = rows.join(stored_long, ["choice", "bytes"], "left_anti") if many else rows
-    found = common.mapped(short.repartition(n, "choice", "bytes").sortWithinPartitions("choice", "bytes", "fp"), _list_links(distance), "a bigint, b bigint")
-    if many:
-        # Between two near fingerprints, equal outside the free positions, lies a value at most `inner` bits from one and
-        # `distance - inner` from the other. Whoever lies so around one value is near, so links to the least inner one do.
-        inner = distance // 2
-        free = F.element_at(F.array(*[F.array(*[F.lit(_signed(1 << i)) for i in range(64) if not _mask(c) >> i & 1]) for c in combinations(range(8), 8 - distance)]), F.col("choice") + 1)
-        members = rows.join(stored_long, ["choice", "bytes"], "left_semi")
-        least = members.select("fp", F.explode(_ball(F.col("fp"), free, inner)).alias("z")).groupBy("z").agg(F.min("fp").alias("a"))
-        outer = members.select("fp", F.explode(_ball(F.col("fp"), free, distance - inner)).alias("z")).distinct()
-        star = outer.join(least, "z").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
-        found = found.unionByName(star)
-    return found
-
-
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root): the least node (as a signed integer) of the component of each node that has a link."""
+    if not 0 <= distance <= 4 or members < 2:
+        raise ValueError("distance must be 0 to 4, members 2 or more")
+    least, key = 8 - distance, ["choice", "bytes"]
+    n = min(2, least)
+    # The index is wider than its rows are long: it is made in as many tasks as it is read in.
+    rows = index(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"), posted(least, n))
+    found: list[DataFrame] = []
+    while True:
+        long = common.stored(rows.groupBy(*key).agg(F.count("*").alias("size")).where(F.col("size") > members))
+        if long.isEmpty():
+            return reduce(DataFrame.unionByName, [*found, _compared(rows, key, least, distance)])
+        found.append(_compared(rows.join(long, key, "left_anti"), key, least, distance))
+        rest = common.stored(rows.join(long, key))
+        if n == least:
+            break
+        further = F.array(*[F.struct(F.lit(_signed(_mask(c[:-1]))).alias("from"), F.lit(_signed(_mask(c))).alias("to")) for c in posted(least, n + 1)])
+        again = rest.select("fp", "choice", F.explode(further).alias("c")).where("choice = c.from")
+        rows = again.select(F.col("c.to").alias("choice"), F.col("fp").bitwiseAND(F.col("c.to")).alias("bytes"), "fp")
+        n += 1
+    # Blocks of half the members, so that two of them are a list: each member goes to the pairs that its block is in.
+    blocks = F.ceil(F.col("size") * 2 / members).cast("bigint")
+    mine = F.pmod(F.xxhash64("fp"), blocks)
+    dealt = rest.select(*key, "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).where("mine <> other")
+    dealt = dealt.select(*key, F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "fp")
+    found.append(_compared(dealt, [*key, "low", "high"], least, distance))
+    return reduce(DataFrame.unionByName, found)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the least node (as a signed integer) of the component of each node that has a link.
+
+    Each round at least halves the nodes that still have links, so it ends.
+    """
     edges = common.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     steps: list[DataFrame] = []
-    for _ in range(rounds):
-        if edges.isEmpty():
-            break
+    while not edges.isEmpty():
         # Each node that isn't the least around it takes its least neighbour as parent: chains only go down, so no cycles.
         parent = common.stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")))
         while True:
@@ -201,8 +202,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
                 break
         steps.append(parent)
         edges = common.stored(_renamed(edges, parent))
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = steps[0]
@@ -220,10 +219,17 @@ def _renamed(edges: DataFrame, parent: DataFrame) -> DataFrame:
 
 
 def _rooted(rows: DataFrame, distance: int, order: Column) -> DataFrame:
-    """(fp, least, root), stored: the distinct fingerprints of `rows`, the least `order` of the rows of each, and its component."""
+    """(fp, least, first), stored: the distinct fingerprints of `rows`, the least `order` of the rows of each, and of its component.
+
+    Only fingerprints with links are joined by component; the least of a component is stored before, so that the rows of a
+    large component are a plain shuffle.
+    """
     distinct = common.stored(rows.groupBy("fp").agg(F.min(order).alias("least")))
-    roots = components(links(distinct.select("fp"), distance))
-    return common.stored(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    roots = common.stored(components(links(distinct.select("fp"), distance)).withColumnRenamed("node", "fp"))
+    linked = common.stored(roots.join(distinct, "fp"))
+    firsts = common.stored(linked.groupBy("root").agg(F.min("least").alias("first")))
+    named = linked.join(firsts, "root").select("fp", "first")
+    return common.stored(distinct.join(named, "fp", "left").select("fp", "least", F.coalesce("first", "least").alias("first")))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -233,9 +239,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component's id is null). Repeated rows each give a row. Other columns of the input are ignored.
     """
     rows = common.stored(fingerprints(df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), shingle=shingle))
-    rooted = _rooted(rows, distance, common.key())
-    groups = rooted.groupBy("root").agg(F.min("least").alias("least"))
-    named = rooted.select("fp", "root").join(groups, "root").select("fp", common.unkey("least").alias("component_id"))
+    named = _rooted(rows, distance, common.key()).select("fp", common.unkey("first").alias("component_id"))
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -247,17 +251,22 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each near-duplicate group one row stays, the least by (doc_id, digest of the text); null ids are least.
 
-    Ids needn't be unique or set: rows of one id with different texts are different rows. Of repeated rows, one stays.
+    Ids needn't be unique or set: rows of one id with different texts are different rows. Null and empty texts are one group.
+    Of rows with equal id and text (ties) one stays, whichever is first by its other columns. Columns may have any names.
     """
+    names = docs.columns
+    k, h, row = common.free(names, "k", "h", "row")
     digest = F.md5(F.coalesce("text", F.lit("")))
     rows = common.stored(fingerprints(docs.select(common.key().alias("_k"), digest.alias("_h"), "text"), keep=("_k", "_h")))
-    groups = _rooted(rows, 4, F.struct("_k", "_h")).groupBy("root").agg(F.min("least").alias("least"))
-    firsts = common.stored(groups.select("least._k", "least._h"))
+    rooted = _rooted(rows, 4, F.struct("_k", "_h"))
+    firsts = common.stored(rooted.where("least = first").select(F.col("least._k").alias(k), F.col("least._h").alias(h)))
     # By sorted merge at any size: a broadcast of the rows that stay would be a plan for small inputs alone.
-    kept = docs.withColumns({"_k": common.key(), "_h": digest}).join(firsts.hint("merge"), ["_k", "_h"], "left_semi")
-    names = docs.columns
-    repeated = common.stored(rows.groupBy("_k", "_h").count().where("count > 1").select("_k", "_h"))
+    kept = docs.withColumns({k: common.key(), h: digest}).join(firsts.hint("merge"), [k, h], "left_semi")
+    repeated = common.stored(rows.groupBy("_k", "_h").count().where("count > 1").select(F.col("_k").alias(k), F.col("_h").alias(h)))
     if repeated.isEmpty():
-        return kept.select(*names)
-    one = kept.join(repeated, ["_k", "_h"], "left_semi").groupBy("_k", "_h").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
-    return kept.join(repeated, ["_k", "_h"], "left_anti").select(*names).unionByName(one)
+        return kept.select(*[F.col(f"`{c}`") for c in names])
+    # Maps can't be compared: where there are any, the rows' JSON decides which is first.
+    fields = F.struct(*[F.col(f"`{c}`") for c in names])
+    order = F.to_json(fields) if "map<" in docs.select(fields.alias("x")).dtypes[0][1] else fields
+    one = kept.join(repeated, [k, h], "left_semi").groupBy(k, h).agg(F.min_by(fields, order).alias(row)).select(f"{row}.*")
+    return kept.join(repeated, [k, h], "left_anti").select(*[F.col(f"`{c}`") for c in names]).unionByName(one)
