@@ -1,15 +1,20 @@
-"""Operator 2: removal of repeated passages by relative Lempel-Ziv parsing over anchored blocks.
-
-The reference is every document with a smaller id. It is indexed in blocks: of the short word sequences (grams) inside a
-window the one with the least hash is the window's anchor, and a block is a run of windows with one anchor. Anchors depend on
-the words alone, so equal windows have equal anchors wherever they stand. A document is parsed block by block:
-
-1. A block that also stands in an earlier document lies inside a factor: all its windows are repeated.
-2. At a factor's boundary the block differs, though its anchor is in the index. There windows are checked one by one.
-3. A block whose anchor no other document has can't hold a repeated window.
-
-All grouping is by hashes with map-side aggregation: copies of a block or a window fold to their smallest document before
-they are shuffled, and no pair of documents is ever formed. Keys are two 64-bit hashes, 128 bits in all.
+"""Operator 2: removal of repeated passages by relative Lempel-Ziv parsing.
+
+A document is parsed relative to all documents with smaller ids. These are the reference, and it is indexed in blocks: of the
+short word sequences (grams) inside a window the one with the least hash is the window's anchor, and a block is a run of
+windows with one anchor. Anchors depend on the words alone, so equal passages are cut into equal blocks wherever they stand.
+
+1. The index names each block's first place in the reference: the document and the word where it starts.
+2. A document is factored greedily from left to right: a factor begins with a block that the index has in an earlier
+   document, and takes in what follows as long as its source goes on with the same words. A factor is a place, a number of
+   words and the source's place.
+3. At a factor's boundary the next block isn't in the index as a whole, though its anchor may be. There the windows are
+   checked one by one against those of the reference's blocks with the same anchor, and each that is found is a factor's
+   beginning or continuation as well. A block whose anchor no other document has can't hold a repeated window.
+4. Factors have as many words as a window or more; the words that they cover are the document's duplicate spans.
+
+All grouping is by hashes with map-side aggregation: copies of a block or a window fold to their first place before they are
+shuffled, and no pair of documents is ever formed. Keys are two 64-bit hashes, 128 bits in all.
 """
 
 from __future__ import annotations
@@ -177,11 +182,11 @@ def _window_rows(window: int):
     return run
 
 
-def repeated_spans(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(k, th, at): stretches of windows that also start in a document with a smaller key.
+def phrases(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(k, th, at, source, place): stretches of windows that the reference has, each with its first place there.
 
-    df has k (key of the document), th (hash of its text) and text. `at` packs the first window's word index and, in the
-    low SIZE_BITS bits, the number of windows.
+    df has k (key of the document), th (hash of its text) and text. `at` packs the first window's word and, in the low
+    SIZE_BITS bits, the number of windows; source is the key of the first document that has them, place their word in it.
     """
     if not 1 <= gram <= window < 1 << SIZE_BITS:
         raise ValueError("need 1 <= gram <= window < 256")
@@ -189,55 +194,98 @@ def repeated_spans(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     # Each aggregate is stored before rows are joined with it: then both sides of the join are plain shuffles, and adaptive
     # execution can split the partition of a frequent anchor, block or window.
     anchors = rows.groupBy("g").agg(F.min("k").alias("least"), F.max("k").alias("most"), F.min("b").alias("b0"), F.max("b").alias("b1")).where("least < most")
-    anchors = common.stored(anchors.select("g", "least", (F.col("b0") != F.col("b1")).alias("varied")))
+    anchors = common.stored(anchors.select("g", (F.col("b0") != F.col("b1")).alias("varied")))
     shared = common.stored(rows.join(anchors, "g"))
-    alike = shared.where("not varied and k > least").select("k", "th", "at")
-    varied = shared.where("varied").select(*"k th at g b".split())
-    first = common.stored(varied.groupBy("g", "b").agg(F.min("k").alias("least")))
-    varied = common.stored(varied.join(first, ["g", "b"]))
-    inside = varied.where("k > least").select("k", "th", "at")
-    # The first document with a block: its windows may still stand in other blocks of the same anchor.
-    listed = varied.where("k = least").groupBy("k", "th").agg(F.collect_set(F.struct("at", "g")).alias("listed"))
+    place = F.struct("k", F.shiftright("at", SIZE_BITS).alias("word"))
+    index = common.stored(shared.groupBy("g", "b").agg(F.min(place).alias("first")))
+    found = common.stored(shared.join(index, ["g", "b"]))
+    source = [F.col("first.k").alias("source"), F.col("first.word").alias("place")]
+    blocks_ = found.where("k > first.k").select("k", "th", "at", *source)
+    # Blocks that no earlier document has, though others have their anchor: the boundaries of factors, and what lies there.
+    listed = found.where("varied and k = first.k").groupBy("k", "th").agg(F.collect_set(F.struct("at", "g")).alias("listed"))
     windows = common.stored(common.mapped(df.select("k", "th", "text").join(listed, ["k", "th"]), _window_rows(window), _BLOCKS))
-    least = common.stored(windows.groupBy("g", "b").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most"))
-    checked = windows.join(least, ["g", "b"]).where("k > least").select("k", "th", "at")
-    return alike.unionByName(inside).unionByName(checked)
+    least = common.stored(windows.groupBy("g", "b").agg(F.min(place).alias("first"), F.max("k").alias("most")).where("first.k < most").drop("most"))
+    checked = windows.join(least, ["g", "b"]).where("k > first.k").select("k", "th", "at", *source)
+    return blocks_.unionByName(checked)
+
+
+def factored(found: np.ndarray, window: int) -> np.ndarray:
+    """The factors of one document: rows of first word, words, source and place. found: rows of at, source and place.
+
+    From left to right a factor goes on while the next phrase begins where it ends and so does its place in the source.
+    """
+    start, size = found[:, 0] >> SIZE_BITS, found[:, 0] & ((1 << SIZE_BITS) - 1)
+    order = np.argsort(start, kind="stable")
+    start, size, source, place = start[order], size[order], found[order, 1], found[order, 2]
+    goes_on = (start[1:] == start[:-1] + size[:-1]) & (source[1:] == source[:-1]) & (place[1:] == place[:-1] + size[:-1])
+    first = np.flatnonzero(np.concatenate(([True], ~goes_on)))
+    return np.stack([start[first], np.add.reduceat(size, first) + window - 1, source[first], place[first]], axis=1)
 
 
-def _removed(n: int, spans: list[int], window: int) -> np.ndarray:
-    """Which of n words the spans cover."""
-    at = np.array(spans, np.int64)
-    start, size = at >> SIZE_BITS, at & ((1 << SIZE_BITS) - 1)
+def _covered(n: int, factors: np.ndarray, window: int) -> np.ndarray:
+    """Which of n words the factors of `window` words or more cover."""
+    long = factors[factors[:, 1] >= window]
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, start + size + window - 1, -1)
+    np.add.at(edge, long[:, 0], 1)
+    np.add.at(edge, long[:, 0] + long[:, 1], -1)
     return np.cumsum(edge)[:n] > 0
 
 
+_FOUND = ["at", "source", "place"]
+
+
+def parsed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The factors of each document: doc_id, first_word, n_words, source_id, source_word. Documents without one have no row.
+
+    Source is the first document with a phrase, so a factor ends too where an earlier source begins. A null id is the
+    smallest (and a null source_id names it). Rows with one id are one document: they are no source of each other.
+    """
+    keyed = df.select(common.key(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    found = phrases(keyed, window, gram).groupBy("k", "th").agg(F.collect_set(F.struct(*_FOUND)).alias("found"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.empty((0, 5), np.int64)]
+            for k, x in zip(batch.column("k").to_pylist(), batch.column("found"), strict=True):
+                factors = factored(_table(x.values), window)
+                rows.append(np.concatenate((np.full((len(factors), 1), k), factors), axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(rows).T], names=["k", "first_word", "n_words", "source", "source_word"])
+
+    out = common.mapped(found.select("k", "found"), run, "k bigint, first_word bigint, n_words bigint, source bigint, source_word bigint")
+    return out.select(common.unkey("k").alias("doc_id"), "first_word", "n_words", common.unkey("source").alias("source_id"), "source_word")
+
+
+def _table(found: pa.StructArray) -> np.ndarray:
+    return np.stack([found.field(c).to_numpy(zero_copy_only=False) for c in _FOUND], axis=1)
+
+
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, digest: bool = False) -> DataFrame:
     """df with n_words, n_removed and kept_text (or kept_sha256): the words no repeated window covers, joined by one space.
 
     A window is repeated if its words also start, in this order, in a document with a smaller id. Rows with one id are one
     document for this: they don't make each other repeated. A null id is the smallest. Null and empty texts have no words.
     Repeated rows each give a row. Texts without a repeated window are normalised to single spaces too. Columns of df with
-    the names of the new ones are replaced; all others are kept unless `digest`, which keeps the id alone.
+    the names of the new ones are replaced; all others are kept, whatever their names, unless `digest`, which keeps the id
+    alone.
     """
     names = [id_col] if digest else [c for c in df.columns if c not in ("n_words", "n_removed", "kept_text")]
-    keyed = df.select(*names, common.key(id_col).alias("_k"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).withColumn("_th", F.xxhash64("_t"))
-    spans = repeated_spans(keyed.select(F.col("_k").alias("k"), F.col("_th").alias("th"), F.col("_t").alias("text")), window, gram)
-    spans = spans.groupBy(F.col("k").alias("_k"), F.col("th").alias("_th")).agg(F.collect_set("at").alias("_at"))
-    both = keyed.join(spans, ["_k", "_th"], "left").select(*names, "_t", "_at")
+    k, th, t, found = common.free(df.columns, "k", "th", "t", "found")
+    quoted = [F.col(f"`{c}`") for c in names]
+    keyed = df.select(*quoted, common.key(id_col).alias(k), F.coalesce(F.col(text_col), F.lit("")).alias(t)).withColumn(th, F.xxhash64(t))
+    spans = phrases(keyed.select(F.col(k).alias("k"), F.col(th).alias("th"), F.col(t).alias("text")), window, gram)
+    spans = spans.groupBy(F.col("k").alias(k), F.col("th").alias(th)).agg(F.collect_set(F.struct(*_FOUND)).alias(found))
+    both = keyed.join(spans, [k, th], "left").select(*quoted, t, found)
     kept = "kept_sha256" if digest else "kept_text"
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema[:-2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.small_batches(batches, "_t"):
+        for batch in common.small_batches(batches, t):
             n_words, n_removed, out = [], [], []
-            for t, at in zip(common.texts(batch.column("_t")), batch.column("_at").to_pylist(), strict=True):
-                words = t.split()
+            for text, x in zip(common.texts(batch.column(t)), batch.column(found), strict=True):
+                words = text.split()
                 n_words.append(len(words))
-                if at:
-                    gone = _removed(len(words), at, window)
+                if x.is_valid:
+                    gone = _covered(len(words), factored(_table(x.values), window), window)
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 n_removed.append(n_words[-1] - len(words))
                 text = b" ".join(words)
@@ -253,9 +301,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without their repeated words; texts of which nothing is left go. n_chars follows the text."""
-    done = deduplicated(docs)
+    """Pipeline stage: texts without their repeated words; texts of which nothing is left go. n_chars follows the text.
+
+    Null texts and texts without a repeated word stay as they are. Of documents with a shared passage the one with the least
+    id keeps it (null is least); rows with one id, repeated ones too, keep theirs both. Columns may have any names.
+    """
+    names = docs.columns
+    done = deduplicated(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]), f"c{names.index('doc_id')}", f"c{names.index('text')}")
     changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
-    made = {"text": text, "n_chars": F.when(changed, F.length("kept_text").cast("bigint")).otherwise(F.col("n_chars"))}
-    return done.where(~changed | (F.col("kept_text") != "")).select(*[made.get(c, F.col(c)).alias(c) for c in docs.columns])
+    made = {"text": F.when(changed, F.col("kept_text")), "n_chars": F.when(changed, F.length("kept_text").cast("bigint"))}
+    rows = done.where(~changed | (F.col("kept_text") != ""))
+    return rows.select(*[(made[c].otherwise(F.col(f"c{i}")) if c in made else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)])

@@ -173,6 +173,25 @@ def test_substrings(spark, seed, window, gram):
     assert sorted(r["kept_sha256"] for r in digests) == sorted(hashlib.sha256(r["kept_text"].encode()).hexdigest() for r in got)
 
 
+def test_factors_are_of_the_reference(spark):
+    """Each factor has a window's words or more and its words stand at its source's place; together they are what is removed."""
+    rows = passages(random.Random(7), 60) + awkward()
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    texts = defaultdict(list)
+    for i, t, *_ in rows:
+        texts[i].append((t or "").split(" ") if not (t or "").strip() else t.split())
+    order = lambda i: -(2**63) if i is None else i
+    for window, gram in ((50, 12), (20, 7)):
+        factors = substring.parsed(df, window=window, gram=gram).collect()
+        lengths = [f["n_words"] for f in factors]
+        assert min(lengths) >= window and max(lengths) > window
+        for f in factors:
+            assert order(f["source_id"]) < order(f["doc_id"])
+            n, own, source = f["n_words"], f["first_word"], f["source_word"]
+            stretches = [w[own : own + n] for w in texts[f["doc_id"]]]
+            assert any(w[source : source + n] in stretches for w in texts[f["source_id"]])
+
+
 def test_substring_segments(spark, monkeypatch):
     monkeypatch.setattr(substring, "SEGMENT", 64)
     rng = random.Random(9)
