@@ -70,58 +70,61 @@ def hexadecimal(signature: str, samples: int = SAMPLES) -> Column:
 
 
 def neighbours(df: DataFrame) -> DataFrame:
-    """k, next (the document after it in descending order; after the last the first) and for what it is itself next: before
-    and before_size (the largest text length of that document's rows).
+    """Of each different (k, h): next_k, next_h (the one after it in descending order; after the last the first), and of the one
+    that it is itself next of before_k, before_h and before_size (the text length). df has k, h and size, a row for each.
 
     A range partitioning and a window within each range do it; the ranges' ends meet in a table of one row a range.
     """
-    spark = df.sparkSession
-    ids = df.groupBy(common.key().alias("k")).agg(F.max(F.length(F.coalesce("text", F.lit("")))).alias("size"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = common.stored(ids.repartitionByRange(n, F.desc("k")).withColumn("part", F.spark_partition_id()))
-    within, ends = Window.partitionBy("part").orderBy(F.desc("k")), Window.orderBy("part")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.struct("k", "h", "size")
+    rows = common.stored(df.select(at.alias("at")).repartitionByRange(n, F.desc("at")).withColumn("part", F.spark_partition_id()))
+    within, ends = Window.partitionBy("part").orderBy(F.desc("at")), Window.orderBy("part")
     around = Window.partitionBy(F.lit(0))
-    edge = ids.groupBy("part").agg(F.max("k").alias("first"), F.min_by("size", "k").alias("last_size"), F.min("k").alias("last"))
+    edge = rows.groupBy("part").agg(F.max("at").alias("first"), F.min("at").alias("last"))
     edge = edge.select(
         "part",
         F.coalesce(F.lead("first").over(ends), F.max("first").over(around)).alias("next_first"),
         F.coalesce(F.lag("last").over(ends), F.min("last").over(around)).alias("last_before"),
-        F.coalesce(F.lag("last_size").over(ends), F.min_by("last_size", "last").over(around)).alias("size_before"),
     )
-    row = ids.select("k", "part", F.lead("k").over(within).alias("next"), F.lag("k").over(within).alias("before"), F.lag("size").over(within).alias("before_size"))
-    full = row.join(F.broadcast(edge), "part")
-    return full.select("k", F.coalesce("next", "next_first").alias("next"), F.coalesce("before", "last_before").alias("before"), F.coalesce("before_size", "size_before").alias("before_size"))
+    row = rows.select("at", "part", F.lead("at").over(within).alias("next"), F.lag("at").over(within).alias("before"))
+    full = row.join(F.broadcast(edge), "part").select("at", F.coalesce("next", "next_first").alias("next"), F.coalesce("before", "last_before").alias("before"))
+    return full.select("at.k", "at.h", F.col("next.k").alias("next_k"), F.col("next.h").alias("next_h"), F.col("before.k").alias("before_k"), F.col("before.h").alias("before_h"), F.col("before.size").alias("before_size"))
 
 
 def compared(df: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of each document and of its edited text, and how like they are to each other and to the next document.
 
     The edited text has its last half (rounded down, in code points) replaced by as many code points of the next document's
-    start, or all it has; next is by descending doc_id, and after the last comes the first. One row for each doc_id: of rows
-    that repeat an id, the one with the least text counts. A null doc_id is the least id; null texts are empty. Two empty
-    texts are alike (1.0). Other columns are ignored.
+    start, or all it has; next is by descending doc_id, and after the last comes the first. Documents of one id with
+    different texts follow each other by descending XXH64 of the text (Spark's, signed); equal rows are one document here and
+    have the same next one, and each row of the input gives a row. A null doc_id is the least id; null texts are empty. Two
+    empty texts are alike (1.0). Other columns are ignored.
     """
-    around = common.stored(neighbours(df))
-    rows = df.select(common.key().alias("k"), F.coalesce("text", F.lit("")).alias("text")).groupBy("k").agg(F.min("text").alias("text"))
-    rows = rows.join(around, "k")
-    starts = rows.select(F.col("before").alias("k"), F.expr("substring(text, 1, cast(before_size div 2 as int))").alias("start"))
+    key = ["k", "h"]
+    text = F.coalesce("text", F.lit(""))
+    ids = df.select(common.key().alias("k"), F.xxhash64(text).alias("h"), F.length(text).alias("size")).groupBy(*key).agg(F.max("size").alias("size"), F.count("*").alias("rows"))
+    ids = common.stored(ids)
+    around = common.stored(neighbours(ids).join(ids.select(*key, "rows"), key))
+    rows = df.select(common.key().alias("k"), F.xxhash64(text).alias("h"), text.alias("text")).groupBy(*key).agg(F.min("text").alias("text"))
+    rows = rows.join(around, key)
+    starts = rows.select(F.col("before_k").alias("k"), F.col("before_h").alias("h"), F.expr("substring(text, 1, cast(before_size div 2 as int))").alias("start"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("start", F.lit(1), half))
-    both = rows.join(starts, "k").select("k", "next", "text", edited.alias("edited"))
+    both = rows.join(starts, key).select(*key, "next_k", "next_h", "rows", "text", edited.alias("edited"))
     kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"))))
-    facts = both.select("k", "next", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
-    signed = signatures(both.select("k", kinds.alias("x")).select("k", "x.kind", "x.t"), ["k", "kind"], "t", samples)
+    facts = both.select(*key, "next_k", "next_h", "rows", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
+    signed = signatures(both.select(*key, kinds.alias("x")).select(*key, "x.kind", "x.t"), [*key, "kind"], "t", samples)
     # One plan for both, so that the texts are shuffled once: both sides read the same exchange.
-    found = common.stored(signed.join(facts, "k"))
-    own = found.where("kind = 0").select("k", "next", "n_chars", "edited_sha256", F.col("signature").alias("a"))
-    changed = found.where("kind = 1").select("k", F.col("signature").alias("b"))
-    following = own.select(F.col("k").alias("next"), F.col("a").alias("c"))
-    out = own.join(changed, "k").join(following, "next")
+    found = common.stored(signed.join(facts, key))
+    own = found.where("kind = 0").select(*key, "next_k", "next_h", "rows", "n_chars", "edited_sha256", F.col("signature").alias("a"))
+    changed = found.where("kind = 1").select(*key, F.col("signature").alias("b"))
+    following = own.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("a").alias("c"))
+    out = own.join(changed, key).join(following, ["next_k", "next_h"])
     return out.select(
         common.unkey("k").alias("doc_id"), "n_chars", "edited_sha256", hexadecimal("a", samples).alias("fingerprint"), hexadecimal("b", samples).alias("edited_fingerprint"),
-        likeness("a", "b", samples).alias("near_edited"), likeness("a", "c", samples).alias("near_next"),
-    )
+        likeness("a", "b", samples).alias("near_edited"), likeness("a", "c", samples).alias("near_next"), F.explode(F.sequence(F.lit(1).cast("bigint"), "rows")).alias("row"),
+    ).drop("row")
 
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
