@@ -1,9 +1,11 @@
 """Operator 7: main text of web pages from flat text blocks and a decision tree.
 
 A page becomes a flat list of text blocks. A block is described by its number of words and the share of them inside links, the
-same of the block before and after it, and whether it lies in an element that marks content or boilerplate (by tag, or by a
-word of its class, id or role). A small decision tree, grown from the labelled table below, classifies blocks; the text of a
-page is that of its content blocks. One pass over Arrow batches, no shuffle; the tree is all that is sent.
+same of the block before and after it, and one mark: 1 if the nearest element around it that says anything is a content
+element, -1 if it is a boilerplate element (by tag, or by a word of its class, id or role), 0 if none says anything. The
+nearest element decides, so what stands around an article never removes it. A decision tree, grown from the labelled table
+below, classifies blocks; the text of a page is that of its content blocks. One pass over Arrow batches, no shuffle; the tree
+is all that is sent.
 """
 
 from __future__ import annotations
@@ -18,29 +20,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import common
 
-#: Labelled blocks: words, link share, words and link share of the block before and after, in a content element, in a
-#: boilerplate element; 1 if the block is main text. Written by hand from common page layouts.
+#: Labelled blocks: words and link share, of the block itself, of the one before and of the one after, and the mark; 1 if the
+#: block is main text. Written by hand from common page layouts.
 LABELLED: list[tuple[tuple[float, ...], int]] = [
-    # articles inside a content element: paragraphs, headings, one-word paragraphs, lists, a paragraph of links
-    ((60, 0.0, 8, 0.0, 45, 0.0, 1, 0), 1), ((8, 0.0, 9, 0.0, 60, 0.0, 1, 0), 1), ((1, 0.0, 80, 0.0, 70, 0.0, 1, 0), 1), ((2, 0.0, 1, 0.0, 40, 0.0, 1, 0), 1),
-    ((35, 0.1, 50, 0.0, 20, 0.0, 1, 0), 1), ((12, 0.0, 12, 0.0, 12, 0.0, 1, 0), 1), ((90, 0.0, 30, 0.0, 11, 0.3, 1, 0), 1), ((5, 0.0, 1, 1.0, 90, 0.0, 1, 0), 1),
-    ((3, 0.0, 25, 0.0, 9, 0.1, 1, 0), 1), ((1, 0.0, 6, 0.0, 7, 0.2, 1, 0), 1), ((10, 0.4, 70, 0.0, 60, 0.0, 1, 0), 1), ((150, 0.02, 0, 0.0, 0, 0.0, 1, 0), 1),
-    ((4, 1.0, 40, 0.0, 40, 0.0, 1, 0), 1), ((400, 0.0, 5, 0.0, 6, 1.0, 1, 0), 1),
-    # short articles: single blocks, headings before a line or two, lists of links, last lines before the footer
-    ((2, 0.0, 0, 0.0, 0, 0.0, 1, 0), 1), ((3, 0.0, 2, 0.0, 1, 0.0, 1, 0), 1), ((1, 0.0, 1, 0.0, 1, 0.0, 1, 0), 1), ((5, 0.0, 3, 0.0, 4, 0.1, 1, 0), 1), ((2, 1.0, 3, 1.0, 2, 1.0, 1, 0), 1),
-    ((6, 0.5, 2, 1.0, 5, 0.2, 1, 0), 1), ((4, 0.0, 8, 0.0, 6, 0.0, 1, 0), 1), ((9, 0.0, 1, 1.0, 3, 0.0, 1, 0), 1), ((12, 0.0, 5, 1.0, 0, 0.0, 1, 0), 1), ((3, 0.0, 4, 1.0, 2, 0.0, 1, 0), 1),
-    ((10, 0.1, 2, 0.0, 5, 1.0, 1, 0), 1), ((7, 0.0, 9, 0.1, 1, 1.0, 1, 0), 1),
-    # boilerplate inside a content element: comments, share bars, forms, related links
-    ((30, 0.0, 4, 0.0, 25, 0.0, 1, 1), 0), ((3, 1.0, 60, 0.0, 2, 1.0, 1, 1), 0), ((80, 0.0, 3, 0.0, 50, 0.0, 1, 1), 0), ((6, 0.0, 90, 0.0, 40, 0.0, 1, 1), 0), ((12, 0.9, 30, 0.0, 9, 1.0, 1, 1), 0),
-    # boilerplate elsewhere: menus, adverts, notices, sidebars, footers
-    ((1, 1.0, 1, 1.0, 1, 1.0, 0, 1), 0), ((1, 1.0, 0, 0.0, 1, 1.0, 0, 1), 0), ((8, 0.0, 1, 1.0, 9, 0.0, 0, 1), 0), ((25, 0.0, 6, 1.0, 5, 0.0, 0, 1), 0), ((9, 0.1, 70, 0.0, 0, 0.0, 0, 1), 0),
-    ((60, 0.0, 3, 0.0, 40, 0.0, 0, 1), 0), ((40, 0.2, 10, 0.5, 10, 0.5, 0, 1), 0), ((120, 0.0, 30, 0.0, 20, 0.0, 0, 1), 0), ((15, 0.0, 15, 0.0, 0, 0.0, 0, 1), 0), ((7, 0.3, 200, 0.0, 0, 0.0, 0, 1), 0),
-    # pages without marked elements: long blocks with few links are content, as are short ones between such
-    ((60, 0.0, 3, 0.0, 45, 0.0, 0, 0), 1), ((25, 0.05, 60, 0.0, 30, 0.0, 0, 0), 1), ((100, 0.0, 2, 1.0, 3, 1.0, 0, 0), 1), ((18, 0.0, 40, 0.0, 2, 1.0, 0, 0), 1), ((40, 0.2, 25, 0.0, 70, 0.1, 0, 0), 1),
-    ((8, 0.0, 30, 0.0, 45, 0.0, 0, 0), 1), ((3, 0.0, 50, 0.0, 60, 0.0, 0, 0), 1), ((6, 0.0, 90, 0.0, 35, 0.0, 0, 0), 1), ((16, 0.0, 17, 0.0, 18, 0.0, 0, 0), 1),
-    ((5, 0.0, 1, 1.0, 2, 1.0, 0, 0), 0), ((2, 1.0, 2, 1.0, 2, 1.0, 0, 0), 0), ((9, 0.0, 1, 1.0, 6, 0.0, 0, 0), 0), ((4, 0.0, 40, 0.0, 0, 0.0, 0, 0), 0), ((7, 0.2, 60, 0.0, 3, 1.0, 0, 0), 0),
-    ((3, 1.0, 2, 1.0, 60, 0.0, 0, 0), 0), ((10, 0.8, 0, 0.0, 80, 0.0, 0, 0), 0), ((20, 0.9, 6, 1.0, 50, 0.0, 0, 0), 0), ((5, 0.8, 40, 0.0, 45, 0.1, 0, 0), 0), ((1, 1.0, 0, 0.0, 30, 0.0, 0, 0), 0),
-    ((30, 0.9, 5, 1.0, 6, 1.0, 0, 0), 0), ((12, 0.6, 4, 0.5, 4, 1.0, 0, 0), 0), ((6, 0.0, 3, 0.0, 2, 0.0, 0, 0), 0), ((3, 0.0, 0, 0.0, 5, 0.0, 0, 0), 0), ((20, 0.7, 50, 0.0, 10, 0.9, 0, 0), 0),
+    # no marks: paragraphs among others, after a heading, with some links, before lists of links or a footer
+    ((60, 0.0, 3, 0.0, 45, 0.0, 0), 1), ((25, 0.05, 60, 0.0, 30, 0.0, 0), 1), ((100, 0.0, 2, 1.0, 3, 1.0, 0), 1), ((18, 0.0, 40, 0.0, 2, 1.0, 0), 1), ((40, 0.2, 25, 0.0, 70, 0.1, 0), 1),
+    ((55, 0.0, 7, 0.0, 12, 0.0, 0), 1), ((130, 0.0, 8, 0.0, 9, 0.1, 0), 1), ((32, 0.0, 80, 0.0, 10, 0.0, 0), 1), ((24, 0.0, 110, 0.0, 8, 0.3, 0), 1), ((75, 0.1, 14, 0.0, 20, 0.0, 0), 1),
+    ((45, 0.0, 12, 0.0, 0, 0.0, 0), 1), ((90, 0.0, 0, 0.0, 0, 0.0, 0), 1), ((200, 0.03, 5, 0.0, 6, 1.0, 0), 1), ((28, 0.15, 33, 0.0, 41, 0.2, 0), 1), ((60, 0.3, 50, 0.1, 45, 0.0, 0), 1),
+    ((22, 0.0, 21, 0.0, 70, 0.0, 0), 1), ((16, 0.0, 17, 0.0, 18, 0.0, 0), 1), ((35, 0.0, 4, 0.0, 3, 0.0, 0), 1), ((50, 0.0, 10, 0.0, 14, 0.0, 0), 1), ((300, 0.0, 90, 0.0, 11, 0.0, 0), 1),
+    # no marks: headings and short paragraphs before or between paragraphs, a paragraph's last short line
+    ((8, 0.0, 30, 0.0, 45, 0.0, 0), 1), ((3, 0.0, 50, 0.0, 60, 0.0, 0), 1), ((6, 0.0, 90, 0.0, 35, 0.0, 0), 1), ((9, 0.0, 12, 0.0, 60, 0.0, 0), 1), ((7, 0.0, 10, 0.0, 85, 0.0, 0), 1),
+    ((12, 0.0, 15, 0.0, 120, 0.0, 0), 1), ((4, 0.0, 14, 0.0, 40, 0.0, 0), 1), ((1, 0.0, 70, 0.0, 55, 0.0, 0), 1), ((2, 0.0, 40, 0.0, 33, 0.0, 0), 1), ((14, 0.0, 60, 0.0, 25, 0.1, 0), 1),
+    ((5, 0.0, 45, 0.0, 11, 0.0, 0), 1), ((8, 0.0, 70, 0.0, 9, 0.0, 0), 1), ((11, 0.0, 38, 0.0, 7, 0.0, 0), 1), ((6, 0.0, 9, 0.0, 30, 0.0, 0), 1), ((10, 0.0, 8, 0.0, 50, 0.0, 0), 1), ((3, 0.0, 5, 0.0, 90, 0.0, 0), 1),
+    ((13, 0.1, 55, 0.0, 70, 0.0, 0), 1), ((2, 0.0, 6, 0.0, 60, 0.0, 0), 1), ((9, 0.0, 95, 0.0, 16, 0.0, 0), 1), ((4, 0.0, 30, 0.0, 100, 0.0, 0), 1),
+    # no marks: a first paragraph or heading right after a menu
+    ((40, 0.0, 1, 1.0, 0, 0.0, 0), 1), ((55, 0.0, 3, 1.0, 60, 0.0, 0), 1), ((80, 0.05, 2, 1.0, 45, 0.0, 0), 1), ((28, 0.0, 2, 1.0, 70, 0.0, 0), 1), ((9, 0.0, 1, 1.0, 60, 0.0, 0), 1), ((6, 0.0, 1, 1.0, 90, 0.0, 0), 1), ((4, 0.0, 2, 1.0, 45, 0.0, 0), 1), ((120, 0.0, 1, 1.0, 30, 0.0, 0), 1),
+    # no marks: menus, lists of links, lines beside menus, adverts between a menu and a heading, footers
+    ((5, 0.0, 1, 1.0, 2, 1.0, 0), 0), ((2, 1.0, 2, 1.0, 2, 1.0, 0), 0), ((1, 1.0, 1, 1.0, 1, 1.0, 0), 0), ((1, 1.0, 0, 0.0, 1, 1.0, 0), 0), ((1, 1.0, 1, 1.0, 9, 0.0, 0), 0), ((9, 0.0, 1, 1.0, 6, 0.0, 0), 0),
+    ((12, 0.0, 1, 1.0, 10, 0.0, 0), 0), ((7, 0.0, 2, 1.0, 12, 0.0, 0), 0), ((15, 0.0, 1, 1.0, 8, 0.0, 0), 0), ((19, 0.0, 1, 1.0, 4, 0.0, 0), 0), ((5, 0.0, 1, 1.0, 11, 0.0, 0), 0), ((11, 0.0, 3, 1.0, 3, 0.0, 0), 0),
+    ((4, 0.0, 40, 0.0, 0, 0.0, 0), 0), ((9, 0.0, 60, 0.0, 0, 0.0, 0), 0), ((12, 0.0, 110, 0.0, 0, 0.0, 0), 0), ((15, 0.0, 8, 0.0, 0, 0.0, 0), 0), ((7, 0.0, 25, 0.0, 0, 0.0, 0), 0), ((18, 0.0, 5, 0.0, 0, 0.0, 0), 0),
+    ((7, 0.2, 60, 0.0, 3, 1.0, 0), 0), ((3, 1.0, 2, 1.0, 60, 0.0, 0), 0), ((10, 0.8, 0, 0.0, 80, 0.0, 0), 0), ((20, 0.9, 6, 1.0, 50, 0.0, 0), 0), ((5, 0.8, 40, 0.0, 45, 0.1, 0), 0), ((1, 1.0, 0, 0.0, 30, 0.0, 0), 0),
+    ((30, 0.9, 5, 1.0, 6, 1.0, 0), 0), ((12, 0.6, 4, 0.5, 4, 1.0, 0), 0), ((6, 0.0, 3, 0.0, 2, 0.0, 0), 0), ((3, 0.0, 0, 0.0, 5, 0.0, 0), 0), ((20, 0.7, 50, 0.0, 10, 0.9, 0), 0), ((2, 1.0, 70, 0.0, 3, 1.0, 0), 0),
+    ((4, 0.5, 6, 1.0, 2, 1.0, 0), 0), ((2, 0.0, 2, 1.0, 1, 1.0, 0), 0), ((8, 1.0, 8, 1.0, 0, 0.0, 0), 0), ((14, 0.9, 90, 0.0, 16, 1.0, 0), 0), ((6, 0.3, 12, 0.9, 0, 0.0, 0), 0), ((3, 0.0, 4, 1.0, 0, 0.0, 0), 0),
+    # inside a content element: paragraphs, headings, one-word paragraphs, lists, lines of links
+    ((60, 0.0, 8, 0.0, 45, 0.0, 1), 1), ((8, 0.0, 9, 0.0, 60, 0.0, 1), 1), ((1, 0.0, 80, 0.0, 70, 0.0, 1), 1), ((2, 0.0, 1, 0.0, 40, 0.0, 1), 1), ((35, 0.1, 50, 0.0, 20, 0.0, 1), 1), ((12, 0.0, 12, 0.0, 12, 0.0, 1), 1),
+    ((90, 0.0, 30, 0.0, 11, 0.3, 1), 1), ((5, 0.0, 1, 1.0, 90, 0.0, 1), 1), ((3, 0.0, 25, 0.0, 9, 0.1, 1), 1), ((10, 0.4, 70, 0.0, 60, 0.0, 1), 1), ((4, 1.0, 40, 0.0, 40, 0.0, 1), 1), ((2, 1.0, 3, 1.0, 2, 1.0, 1), 1),
+    ((2, 0.0, 0, 0.0, 0, 0.0, 1), 1), ((6, 0.5, 2, 1.0, 5, 0.2, 1), 1), ((9, 0.0, 1, 1.0, 3, 0.0, 1), 1), ((12, 0.0, 5, 1.0, 0, 0.0, 1), 1), ((7, 0.0, 9, 0.1, 1, 1.0, 1), 1), ((400, 0.0, 5, 0.0, 6, 1.0, 1), 1),
+    ((9, 0.0, 1, 1.0, 12, 0.0, 1), 1), ((12, 0.0, 1, 1.0, 18, 0.0, 1), 1), ((8, 0.0, 2, 1.0, 10, 0.0, 1), 1), ((6, 0.0, 1, 1.0, 20, 0.0, 1), 1), ((4, 0.0, 1, 1.0, 5, 0.0, 1), 1), ((15, 0.0, 2, 1.0, 2, 0.0, 1), 1),
+    # inside a boilerplate element: menus, adverts, notices, sidebars, footers, comments, related links
+    ((1, 1.0, 1, 1.0, 1, 1.0, -1), 0), ((8, 0.0, 1, 1.0, 9, 0.0, -1), 0), ((25, 0.0, 6, 1.0, 5, 0.0, -1), 0), ((9, 0.1, 70, 0.0, 0, 0.0, -1), 0), ((60, 0.0, 3, 0.0, 40, 0.0, -1), 0), ((40, 0.2, 10, 0.5, 10, 0.5, -1), 0),
+    ((120, 0.0, 30, 0.0, 20, 0.0, -1), 0), ((30, 0.0, 4, 0.0, 25, 0.0, -1), 0), ((3, 1.0, 60, 0.0, 2, 1.0, -1), 0), ((80, 0.0, 3, 0.0, 50, 0.0, -1), 0), ((6, 0.0, 90, 0.0, 40, 0.0, -1), 0), ((15, 0.0, 15, 0.0, 0, 0.0, -1), 0),
+    ((45, 0.0, 2, 1.0, 60, 0.0, -1), 0), ((70, 0.0, 1, 1.0, 3, 1.0, -1), 0), ((50, 0.0, 60, 0.0, 55, 0.0, -1), 0), ((9, 0.0, 1, 1.0, 60, 0.0, -1), 0),
 ]
 
 #: Tags by role (fixed values).
@@ -55,11 +65,13 @@ _BAD_WORD = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|sidebar|side|footer|foot|masthead|ad|ads|adv|advert|advertisement|advertising|promo|promotion|sponsor|sponsored|banner|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|"
     r"newsletter|subscribe|subscription|signup|login|search|comment|comments|disqus|respond|reply|replies|related|recommended|share|sharing|social|breadcrumb|breadcrumbs|widget|toolbar|pagination|pager|contentinfo|complementary)(?:$|[\s_-])"
 )
+#: Names that begin so say what else the page has, not what the element is: has-sidebar, with-sidebar, no-ads (fixed values).
+_STATES = set("has with no without is not in show hide hidden js".split())
 #: Inside content such a word counts only where it is a whole class, or where all else in a name like related-posts or
 #: ad-slot-1 is such a word or one of these (fixed values): names like side-effects or related-work are of the text.
 _FRAME_WORDS = set(
     "area article articles author bar block blog body bottom box btn button buttons content container count entry field form frame global group header heading icon icons inline inner input item items js label left link links list main message "
-    "meta mobile module more news outer page panel post posts reading right row section site slot sticky stories story tag tags text thread title top topics unit up view with wp wrap wrapper you your".split()
+    "meta mobile module more news outer page panel post posts reading right row section site slot sticky stories story tag tags text thread title top topics unit up view wp wrap wrapper you your".split()
 )
 #: Words that are the topic of a section as well: as an id inside content, one alone doesn't count.
 _TOPICS = set("navigation menu side foot ad ads promotion sponsor banner cookie cookies consent gdpr notice alert popup modal overlay subscription login signup search comment respond reply replies related share sharing social widget toolbar pagination advertising advertisement pager".split())
@@ -74,8 +86,7 @@ class Block:
     text: str
     words: int
     linked: int
-    good: bool
-    bad: bool
+    mark: int
 
 
 def _bad_inside(kind: str, value: str) -> bool:
@@ -92,26 +103,36 @@ def _bad_inside(kind: str, value: str) -> bool:
     return False
 
 
-def _marks(name: str, attrs: str, inside_content: bool) -> tuple[bool, bool]:
-    """Whether an element marks content and boilerplate. A header inside content is the article's own.
+def _tokens(value: str) -> str:
+    """A class, id or role without the names that tell of other elements."""
+    return " ".join(t for t in value.split() if re.split("[_-]", t, maxsplit=1)[0] not in _STATES or not re.search("[_-]", t))
 
-    The id of a heading is made from its text and says nothing.
+
+def _mark(name: str, attrs: str, inside_content: bool) -> int:
+    """1 for an element that marks content, -1 for boilerplate, 0 if it says neither or both.
+
+    Tags come first. A header inside content is the article's own. The id of a heading is made from its text and says nothing.
     """
-    good, bad = name in _CONTENT, name in _BOILERPLATE or (name == "header" and not inside_content)
-    if attrs and name not in ("html", "body") and not good:
-        for m in _ATTR.finditer(attrs):
-            kind, words = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if kind == "id" and name in _HEADINGS:
-                continue
-            bad = bad or (_bad_inside(kind, words) if inside_content else bool(_BAD_WORD.search(words)) or (kind in ("class", "id") and "header" in re.split(r"[\s_-]", words)))
-            good = good or bool(_GOOD_WORD.search(words))
-    return good and not bad, bad
+    if name in _CONTENT:
+        return 1
+    if name in _BOILERPLATE or (name == "header" and not inside_content):
+        return -1
+    if not attrs or name in ("html", "body"):
+        return 0
+    good = bad = False
+    for m in _ATTR.finditer(attrs):
+        kind, words = m[1].lower(), _tokens((m[2] or m[3] or m[4] or "").lower())
+        if kind == "id" and name in _HEADINGS:
+            continue
+        bad = bad or (_bad_inside(kind, words) if inside_content else bool(_BAD_WORD.search(words)) or (kind in ("class", "id") and "header" in re.split(r"[\s_-]", words)))
+        good = good or bool(_GOOD_WORD.search(words))
+    return int(good) - int(bad)
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in their order, markup, scripts, styles and form fields left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # open elements: name, in content, in boilerplate, not to be read
+    stack: list[tuple[str, int, bool]] = []  # open elements: name, the nearest mark, not to be read
     parts: list[tuple[str, bool]] = []
     links = 0
 
@@ -121,10 +142,10 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         if text:
             n = text.count(" ") + 1
-            out.append(Block(text, n, min(n, linked), bool(stack and stack[-1][1]), bool(stack and stack[-1][2])))
+            out.append(Block(text, n, min(n, linked), stack[-1][1] if stack else 0))
 
     def say(text: str) -> None:
-        if text and not (stack and stack[-1][3]):
+        if text and not (stack and stack[-1][2]):
             parts.append((text, links > 0))
 
     at, end = 0, len(page)
@@ -155,10 +176,10 @@ def blocks(page: str) -> list[Block]:
                     parts.append((" ", False))
                 del stack[k:]
         elif name in _BREAKING or name in _UNREAD:
-            _, in_good, in_bad, unread = stack[-1] if stack else ("", False, False, False)
-            good, bad = _marks(name, m["attrs"], in_good)
+            _, around, unread = stack[-1] if stack else ("", 0, False)
+            own = _mark(name, m["attrs"], around == 1)
             if not m["attrs"].endswith("/"):
-                stack.append((name, in_good or good, in_bad or bad, unread or name in _UNREAD))
+                stack.append((name, own or around, unread or name in _UNREAD))
             if name in _RAW:
                 close = re.compile(f"</{name}\\b", re.I).search(page, at)
                 at = close.start() if close else end
@@ -169,13 +190,13 @@ def blocks(page: str) -> list[Block]:
 def features(found: list[Block]) -> list[tuple[float, ...]]:
     pair = [(b.words, b.linked / b.words) for b in found]
     around = [(0, 0.0), *pair, (0, 0.0)]
-    return [(*around[i + 1], *around[i], *around[i + 2], float(b.good), float(b.bad)) for i, b in enumerate(found)]
+    return [(*around[i + 1], *around[i], *around[i + 2], float(b.mark)) for i, b in enumerate(found)]
 
 
 Tree = float | tuple  # a leaf's share of content, or (feature, threshold, tree below, tree above)
 
 
-def grown(rows: list[tuple[tuple[float, ...], int]], depth: int = 6, least: int = 2) -> Tree:
+def grown(rows: list[tuple[tuple[float, ...], int]], depth: int = 8, least: int = 2) -> Tree:
     """A decision tree by Gini impurity: the split with the least weighted impurity, the first feature winning ties."""
     share = sum(y for _, y in rows) / len(rows)
     if depth == 0 or share in (0.0, 1.0) or len(rows) < 2 * least:

@@ -465,6 +465,35 @@ def test_pages_articles(spark, sf_dir):
         assert r["text"] == " ".join(unescape(re.sub(r"<[^>]+>", " ", article)).split())
 
 
+def test_text_without_marks(spark, sf_dir):
+    """Blocks alone tell: all class names are removed, then the tags that say what they hold as well."""
+    import re
+    from html import unescape
+
+    tree = html.grown(html.LABELLED)
+    assert 2 * sum(x[6] == 0 for x, _ in html.LABELLED) >= len(html.LABELLED)
+    named = lambda page: re.sub(r"\s(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page)
+    plain = lambda page: re.sub(r"<(/?)(?:nav|article|footer|aside|header|main)\b", r"<\1div", named(page))
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    for strip in (named, plain):
+        right = found = wanted = 0
+        for page in pages:
+            want = Counter(unescape(re.sub(r"<[^>]+>", " ", re.search(r"<article>(.*?)</article>", page, re.S)[1])).split())
+            got = Counter(html.main_text(strip(page), tree).split())
+            right, found, wanted = right + sum((want & got).values()), found + sum(got.values()), wanted + sum(want.values())
+        assert right / found > 0.9 and right / wanted > 0.9
+
+
+def test_what_is_around_an_article_does_not_remove_it():
+    tree = html.grown(html.LABELLED)
+    for attrs in ('class="layout has-sidebar"', 'class="page with-sidebar"', 'class="content no-sidebar"', 'class="sidebar"', 'id="comments"', 'class="cookie-notice"'):
+        page = f'<body><nav><a href="/">Home</a></nav><div {attrs}><article><h1>Title</h1><p>One two.</p><div class="ad">Buy</div></article></div><footer>End</footer></body>'
+        assert html.main_text(page, tree) == "Title One two.", attrs
+    long = "word " * 40
+    for attrs in ('id="main" class="social-post"', 'class="has-sidebar"', 'class="post share"'):
+        assert html.main_text(f'<body><nav><a href="/">Home</a></nav><div {attrs}><p>{long}</p></div></body>', tree) == long.strip(), attrs
+
+
 # 8
 
 
