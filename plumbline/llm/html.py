@@ -124,8 +124,13 @@ def _mark(name: str, attrs: str, inside_content: bool) -> int:
         kind, words = m[1].lower(), _tokens((m[2] or m[3] or m[4] or "").lower())
         if kind == "id" and name in _HEADINGS:
             continue
-        bad = bad or (_bad_inside(kind, words) if inside_content else bool(_BAD_WORD.search(words)) or (kind in ("class", "id") and "header" in re.split(r"[\s_-]", words)))
-        good = good or bool(_GOOD_WORD.search(words))
+        for token in words.split():
+            b = _bad_inside(kind, token) if inside_content else bool(_BAD_WORD.search(token)) or (kind != "role" and "header" in re.split("[_-]", token))
+            g = bool(_GOOD_WORD.search(token))
+            if g and b:  # the last word says what it is: a social-post is a post, a post__share isn't
+                g = bool(_GOOD_WORD.fullmatch(re.split("[_-]", token)[-1]))
+                b = not g
+            good, bad = good or g, bad or b
     return int(good) - int(bad)
 
 
