@@ -122,15 +122,15 @@ def mixed(df: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
     df has doc_id, source and text. Null sources are a source of their own. Sources without a word aren't used. Repeated rows
     and rows of one source with the same id go together: all or none of them are taken. Null texts have no tokens. Columns
-    of df with the names of the new ones are replaced.
+    of df with the names of the new ones are replaced; all others are kept, whatever their names.
     """
     names = [c for c in df.columns if c not in ("n_tokens", "epoch", "block_rank")]
-    plan = common.stored(planned(common.stored(keyed(df, mix).select("_source", "_tokens", "_order")), mix))
-    rows = keyed(df.select(*names), mix)
+    plan = common.stored(planned(common.stored(keyed(df.select("doc_id", "source", "text"), mix).select("_source", "_tokens", "_order")), mix))
+    rows = keyed(df.select("doc_id", "source", "text", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]), mix)
     counts = plan.select("_source", "n_blocks").distinct()
     dealt = rows.join(F.broadcast(counts) if _few(counts) else counts, "_source").withColumn("_block", block_of("_order", "n_blocks"))
     used = dealt.join(plan.drop("n_blocks"), ["_source", "_block"]).where("cut is null or _order <= cut")
-    return used.select(*names, F.col("_tokens").alias("n_tokens"), "epoch", "block_rank")
+    return used.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("_tokens").alias("n_tokens"), "epoch", "block_rank")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,8 +138,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents as often as the mix uses them."""
-    return mixed(docs).select(*docs.columns)
+    """Pipeline stage: documents as often as the mix uses them, with all their columns, whatever their names.
+
+    Documents without a word and sources without one aren't used. Null sources are a source, null ids an id like any other;
+    repeated rows and ties are taken together.
+    """
+    names = docs.columns
+    hidden = docs.select("doc_id", "source", "text", *[F.col(f"`{c}`").alias(f"u{i}") for i, c in enumerate(names)])
+    return mixed(hidden).select(*[F.col(f"u{i}").alias(c) for i, c in enumerate(names)])
 
 
 #: DuckDB SQL for op4_mixing with the parameters of Mix().

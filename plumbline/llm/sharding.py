@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import common
@@ -116,20 +116,48 @@ def sharded(df: DataFrame, limit: int, size: Column | None = None, id_col: str =
 def _parts(rows: DataFrame, limit: int) -> DataFrame:
     """Rows that share all bits, dealt into parts by size and count: alike rows are folded, then written out in chunks."""
     alike = rows.groupBy("h", "doc_id", "n_bytes").count()
-    fit = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("n_bytes"), F.lit(1)))).cast("bigint")
-    alike = alike.withColumn("fit", fit).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("count") - 1) / COPIES))))
+    alike = alike.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("count") - 1) / COPIES))))
     first = F.col("chunk") * COPIES
     spread = alike.repartition("h", "n_bytes", "chunk").withColumn("i", F.explode(F.sequence(first, F.least(first + COPIES, F.col("count")) - 1)))
-    part = F.floor(F.col("i") / F.col("fit"))
-    shard = F.concat(F.lpad(F.bin("h"), BITS, "0"), F.lit("."), F.col("n_bytes").cast("string"), F.lit("."), part.cast("string"))
-    held = F.least(F.col("fit"), F.col("count") - part * F.col("fit")) * F.col("n_bytes")
-    return spread.select("doc_id", "n_bytes", shard.alias("shard"), F.lit(BITS).cast("bigint").alias("depth"), held.alias("shard_bytes"))
+    part = F.floor(F.col("i") / _fit(limit))
+    held = F.least(_fit(limit), F.col("count") - part * _fit(limit)) * F.col("n_bytes")
+    return spread.select("doc_id", "n_bytes", _part_name("h", "n_bytes", part).alias("shard"), F.lit(BITS).cast("bigint").alias("depth"), held.alias("shard_bytes"))
+
+
+def _fit(limit: int) -> Column:
+    """Rows of n_bytes that a part holds."""
+    return F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("n_bytes"), F.lit(1)))).cast("bigint")
+
+
+def _part_name(h: str, n_bytes: str, part: Column) -> Column:
+    return F.concat(F.lpad(F.bin(h), BITS, "0"), F.lit("."), F.col(n_bytes).cast("string"), F.lit("."), part.cast("string"))
 
 
 def written(df: DataFrame, path: str, limit: int, id_col: str = "doc_id") -> None:
-    """Writes df as Parquet, a folder for each shard (`shard=<bits>`). Ids must be unique."""
-    homes = sharded(df, limit, id_col=id_col).select(F.col("doc_id").alias("_id"), F.concat(F.lit("s"), "shard").alias("shard"))
-    both = df.join(homes, df[id_col].eqNullSafe(homes["_id"])).drop("_id")
+    """Writes df as Parquet, a folder for each shard (`shard=<bits>`), each row once.
+
+    Ids may repeat or be null. Rows of one id go to its shard; where these alone are over the limit, each row has a number
+    among those of its id and size, and the number says which part it goes to. A column named shard is replaced.
+    """
+    names = [c for c in df.columns if c.lower() != "shard"]
+    text = F.col("text") if "text" in df.columns else F.lit("")
+    facts = {"i": F.monotonically_increasing_id(), "id": F.col(f"`{id_col}`").cast("bigint"), "n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint"), "h": hashed(id_col)}
+    # Stored, so that a row has the same number whenever it is read.
+    rows = common.stored(df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], *[v.alias(k) for k, v in facts.items()]))
+    homes = common.stored(sharded(rows.select(F.col("id").alias("doc_id"), "n_bytes"), limit, F.col("n_bytes")).select("doc_id", "shard").distinct())
+    whole = homes.where(~F.col("shard").contains("."))
+    in_parts = homes.where(F.col("shard").contains(".")).select("doc_id").distinct()
+    placed = rows.join(whole, rows["id"].eqNullSafe(whole["doc_id"])).drop("doc_id")
+    over = rows.join(in_parts, rows["id"].eqNullSafe(in_parts["doc_id"]), "left_semi").withColumn("task", F.shiftrightunsigned("i", 33))
+    # Numbers within a task of the stored table, then each task's offset: no group is gathered whole.
+    alike = ["id", "n_bytes"]
+    offset = F.sum("n").over(Window.partitionBy(*alike).orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    tasks = over.groupBy(*alike, "task").agg(F.count("*").alias("n")).select(F.col("id").alias("id_"), F.col("n_bytes").alias("n_"), F.col("task").alias("task_"), F.coalesce(offset, F.lit(0)).alias("before"))
+    numbered = over.withColumn("rank", F.row_number().over(Window.partitionBy(*alike, "task").orderBy("i")) - 1)
+    numbered = numbered.join(tasks, numbered["id"].eqNullSafe(tasks["id_"]) & (numbered["n_bytes"] == tasks["n_"]) & (numbered["task"] == tasks["task_"]))
+    dealt = numbered.withColumn("shard", _part_name("h", "n_bytes", F.floor((F.col("before") + F.col("rank")) / _fit(limit))))
+    columns = [*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.concat(F.lit("s"), "shard").alias("shard")]
+    both = placed.select(*columns).unionByName(dealt.select(*columns))
     both.repartition("shard").write.partitionBy("shard").parquet(path)
 
 

@@ -371,6 +371,16 @@ def test_shard_files(spark, sf_dir, tmp_path):
     assert back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b")).where("b > 60000").count() == 0
 
 
+def test_shard_files_of_repeated_ids(spark, tmp_path):
+    """Each row once, within the limit, though an id has more bytes than a shard holds."""
+    rows = [(7, f"{i:03d}" * 30) for i in range(40)] + [(7, "x" * 90)] * 5 + [(None, "n" * 50)] * 30 + [(i, "y" * 20) for i in range(100, 160)] + [(9, None), (9, "")]
+    df = spark.createDataFrame([(*r, "u", "v") for r in rows], "doc_id bigint, text string, shard string, i string").repartition(4)
+    sharding.written(df, str(tmp_path / "shards"), 1000)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(((r["doc_id"], r["text"]) for r in back.collect()), key=str) == sorted(rows, key=str)
+    assert back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b")).where("b > 1000").count() == 0
+
+
 # 6
 
 
@@ -704,6 +714,23 @@ def test_toxicity_without_labels(spark, odd, empty):
 # Pipeline
 
 
+STAGES = {"good": quality.good, "keep_one": simhash.keep_one, "without_passages": substring.without_passages, "to_weights": mixing.to_weights}
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_on_awkward_rows(name, spark, odd, empty, sf_dir):
+    """Columns with the names that the stages use inside, among them a map, come through as they are."""
+    more = {c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in [*CLASHES, "_source", "_tokens", "_order", "_block", "_th", "_h", "c0", "u1", "size", "found", "row", "a.b"]}
+    wide = odd.withColumns(more).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    got = STAGES[name](spark, wide, sf_dir)
+    assert got.columns == wide.columns and got.dtypes == wide.dtypes
+    rows = got.collect()
+    plain = STAGES[name](spark, odd.repartition(2), sf_dir).collect()
+    assert sorted((tuple(r[c] for c in odd.columns) for r in rows), key=str) == sorted(map(tuple, plain), key=str)
+    assert all(r["fp"] == f"fp of {'none' if r['doc_id'] is None else r['doc_id']}" and r["m"] == {"k": r["doc_id"]} for r in rows)
+    assert STAGES[name](spark, empty, sf_dir).collect() == []
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage against brute force on its own input; the last against tiktoken."""
     import public_tokenizers
