@@ -329,8 +329,8 @@ UNION ALL SELECT {_KEY}, 'drop column', 'column dropped' FROM a SEMI JOIN t USIN
 UNION ALL SELECT {_KEY}, 'add column', NULL FROM b ANTI JOIN a USING ({_KEY}))"""
 
 
-def _changes(spark, d):
-    a, b = columns(spark, d)
+def _changes(spark, d, cols=None):
+    a, b = cols or columns(spark, d)
     unique = D.in_unique_constraint(*indexes(spark, d))
     return U.unsafe_modify(D.column_changes(a, b, unique))
 
@@ -528,9 +528,9 @@ def fleet_history(spark, d):
 _WORDS = ["value", "text", "label", "role", "source"]
 
 
-def _catalog(spark, d) -> tuple[L.Catalog, L.Options]:
+def _catalog(spark, d, cols=None) -> tuple[L.Catalog, L.Options]:
     keys = X.derived(spark, d, X.ACTUAL_KEYS).withColumns({"columns": F.array("columns"), "parent_columns": F.array("parent_columns")})
-    cat = L.Catalog(tables(spark, d)[1], columns(spark, d)[1], indexes(spark, d)[1], keys, X.derived(spark, d, X.ACTUAL_ROUTINES))
+    cat = L.Catalog(tables(spark, d)[1], columns(spark, d)[1] if cols is None else cols, indexes(spark, d)[1], keys, X.derived(spark, d, X.ACTUAL_ROUTINES))
     severities = {n: "warning" for n in L.rules()} | {"definer": "error", "pk": "error", "nullable": "off"}
     return cat, L.Options(severities, {"charset": ["utf8mb4"], "definer": ["app@%"], "compression": ["none"]}, spark.createDataFrame([(w,) for w in _WORDS], "word string"))
 

@@ -134,21 +134,26 @@ def fill_defaults(df: DataFrame, contract: Contract) -> DataFrame:
 
 def conform_dry_run(df: DataFrame, contract: Contract) -> DataFrame:
     """rows_total, rows_fit and rows_rejected, and a row for each reason (reason NULL: the totals). Nothing is written."""
-    marked = df.select(F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), reasons(df, contract))).alias("reason"), (F.size(reasons(df, contract)) > 0).alias("_bad"))
+    found = df.select(reasons(df, contract).alias("_reasons"))
+    marked = found.select(F.explode(F.concat(F.array(F.lit(None).cast("string")), "_reasons")).alias("reason"), (F.size("_reasons") > 0).alias("_bad"))
     return marked.groupBy("reason").agg(F.count("*").alias("n_rows"), F.count_if("_bad").alias("n_rejected"))
 
 
 def write_conformed(df: DataFrame, contract: Contract, path: str, scheme: Scheme | None = None) -> DataFrame:
     """Writes the rows that fit as Parquet, in a folder for each partition of the scheme; returns the others.
 
-    Rows go to writers by partition and a random number, so that one large partition doesn't make one large task.
+    A partition's rows are dealt to all shuffle partitions by a hash of the row, so that one large partition makes no large task
+    and a row goes the same way if it is computed again. Files then number partitions times tasks at most; adaptive execution
+    joins small tasks.
     """
     fit, rest = conform_split(df, contract)
     if scheme is None:
         fit.write.parquet(path)
     else:
         placed = fit.withColumn("partition_name", route(scheme))
-        placed.repartition("partition_name", F.floor(F.rand(1) * 8)).write.partitionBy("partition_name").parquet(path)
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        deal = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in fit.columns]), F.lit(n))
+        placed.repartition("partition_name", deal).write.partitionBy("partition_name").parquet(path)
     return rest
 
 

@@ -65,6 +65,30 @@ def changed_tables(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, TABLE_KEY).where("_a <> _b").select(*TABLE_KEY)
 
 
+def compared_columns(a: DataFrame, b: DataFrame) -> DataFrame:
+    """What is needed to name each change of the columns of tables on both sides, stored: a row for each column that only one side
+    has or that differs, and for each column of a table whose common columns changed their order.
+
+    TABLE_KEY, column_name, old and new (definitions, null where a side lacks the column), old_rank and new_rank among the
+    common columns, first and after (the place in the wanted order), inside (a column that exists follows there), equal,
+    reordered. Both sides go through one shuffle by table; what follows groups and ranks within it.
+    """
+    a, b = definitions(a), definitions(b)
+    fields = [c for c in b.columns if c not in TABLE_KEY]
+    none = F.lit(None).cast(b.select(F.struct(*fields).alias("s")).schema["s"].dataType)
+    sides = a.select(*COLUMN_KEY, F.struct(*fields).alias("old"), none.alias("new")).unionByName(b.select(*COLUMN_KEY, none.alias("old"), F.struct(*fields).alias("new")))
+    rows = sides.repartition(*TABLE_KEY).groupBy(*COLUMN_KEY).agg(F.max("old").alias("old"), F.max("new").alias("new"))
+    table = Window.partitionBy(*TABLE_KEY)
+    by = lambda side: table.orderBy(F.col(f"{side}.ordinal").asc_nulls_last())
+    common = F.col("old").isNotNull() & F.col("new").isNotNull()
+    rank = lambda side: F.sum(F.col("_common").cast("int")).over(by(side).rowsBetween(Window.unboundedPreceding, 0))
+    there = F.max(F.col("old").isNotNull()).over(table) & F.max(F.col("new").isNotNull()).over(table)
+    rows = rows.withColumn("_common", common).withColumns({"_there": there, "_last": F.max(F.when(F.col("_common"), F.col("new.ordinal"))).over(table), "old_rank": rank("old"), "new_rank": rank("new"), "after": F.lag("column_name").over(by("new"))})
+    rows = rows.withColumn("reordered", F.max(F.col("_common") & (F.col("old_rank") != F.col("new_rank"))).over(table))
+    rows = rows.withColumns({"equal": F.col("_common") & T.col_equal("old", "new"), "first": F.col("after").isNull(), "inside": F.coalesce(F.col("new.ordinal") < F.col("_last"), F.lit(False))})
+    return stored(rows.where(F.col("_there") & (~F.col("equal") | F.col("reordered"))).drop("_there", "_last", "_common"))
+
+
 def _of_both(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The column definitions of the tables that differ, on both sides. They are stored: every kind of change reads them."""
     a, b = definitions(a), definitions(b)
@@ -135,6 +159,11 @@ def column_moves(a: DataFrame, b: DataFrame) -> DataFrame:
     pairs = common_columns(a, b).join(moved_tables(a, b), TABLE_KEY, "left_semi").select(*COLUMN_KEY, "old_rank", "new_rank")
     order = Window.partitionBy(*TABLE_KEY).orderBy("ordinal")
     position = b.select(*COLUMN_KEY, F.lag("column_name").over(order).alias("after"))
+    return _moved(pairs).join(position, COLUMN_KEY).withColumn("first", F.col("after").isNull())
+
+
+def _moved(pairs: DataFrame) -> DataFrame:
+    """COLUMN_KEY of the columns to move. pairs: COLUMN_KEY, old_rank and new_rank of the common columns of each table."""
 
     def moves(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values("new_rank")
@@ -142,8 +171,7 @@ def column_moves(a: DataFrame, b: DataFrame) -> DataFrame:
         return table[[i not in stay for i in range(len(table))]]
 
     ship(pairs.sparkSession)
-    moved = pairs.groupBy(*TABLE_KEY).applyInPandas(moves, pairs.schema).select(*COLUMN_KEY)
-    return moved.join(position, COLUMN_KEY).withColumn("first", F.col("after").isNull())
+    return pairs.groupBy(*TABLE_KEY).applyInPandas(moves, pairs.schema).select(*COLUMN_KEY)
 
 
 def in_unique_constraint(old_indexes: DataFrame, new_indexes: DataFrame) -> DataFrame:
@@ -181,19 +209,15 @@ def table_flags(columns: DataFrame, indexes: DataFrame) -> DataFrame:
 def column_changes(a: DataFrame, b: DataFrame, in_unique: DataFrame | None = None) -> DataFrame:
     """The changes table of columns (stored): clause (drop column, add column, modify column, move column), member, old, new, first, after,
     cosmetic, supported, in_unique. A column that is modified and moved is one modification with a position."""
-    a, b = _of_both(a, b)
-    fields = [c for c in b.columns if c not in TABLE_KEY]
-    kind = b.select(F.struct(*fields).alias("s")).schema["s"].dataType
-    none = F.lit(None).cast(kind)
-    key = [*TABLE_KEY, F.col("column_name").alias("member")]
-    drops = column_drops(a, b).select(*key, F.lit("drop column").alias("clause"), F.struct(*fields).alias("old"), none.alias("new"), F.lit(False).alias("first"), F.lit(None).cast("string").alias("after"), F.lit(False).alias("cosmetic"))
-    adds = column_adds(a, b).select(*key, F.lit("add column").alias("clause"), none.alias("old"), F.struct(*fields).alias("new"), "first", "after", F.lit(False).alias("cosmetic"))
-    mods = column_mods(a, b).select(*COLUMN_KEY, "old", "new", "cosmetic")
-    moves = column_moves(a, b).select(*COLUMN_KEY, "first", "after", F.lit(True).alias("_moved"))
-    sides = a.select(*COLUMN_KEY, F.struct(*fields).alias("_old")).join(b.select(*COLUMN_KEY, F.struct(*fields).alias("_new")), COLUMN_KEY)
-    both = mods.join(moves, COLUMN_KEY, "full_outer").join(sides, COLUMN_KEY)
-    changed = both.select(*key, F.when(F.col("new").isNull(), "move column").otherwise("modify column").alias("clause"), F.coalesce("old", "_old").alias("old"), F.coalesce("new", "_new").alias("new"), F.coalesce("first", F.lit(False)).alias("first"), "after", (F.coalesce("cosmetic", F.lit(False)) & F.col("_moved").isNull()).alias("cosmetic"))
-    out = stored(drops.unionByName(adds).unionByName(changed).withColumn("supported", F.lit(True)))
+    rows = compared_columns(a, b)
+    moved = _moved(rows.where("reordered and old is not null and new is not null").select(*COLUMN_KEY, "old_rank", "new_rank"))
+    rows = rows.join(moved.withColumn("_moved", F.lit(True)), COLUMN_KEY, "left").withColumn("_moved", F.coalesce("_moved", F.lit(False)))
+    rows = rows.where(~F.col("equal") | F.col("_moved"))
+    clause = F.when(F.col("new").isNull(), "drop column").when(F.col("old").isNull(), "add column").when(F.col("equal"), "move column").otherwise("modify column")
+    placed_ = F.when(clause == "add column", F.col("inside")).otherwise(F.col("_moved"))
+    cosmetic = (clause == "modify column") & ~F.col("_moved") & T.col_equiv("old", "new")
+    out = rows.select(*TABLE_KEY, F.col("column_name").alias("member"), clause.alias("clause"), "old", "new", (placed_ & F.col("first")).alias("first"), F.when(placed_, F.col("after")).alias("after"), F.coalesce(cosmetic, F.lit(False)).alias("cosmetic"), F.lit(True).alias("supported"))
+    out = stored(out)
     if in_unique is None:
         return out.withColumn("in_unique", F.lit(False))
     unique = in_unique.select(*TABLE_KEY, F.col("column_name").alias("member"), F.lit(True).alias("in_unique"))
@@ -213,23 +237,37 @@ class Modifiers:
 
 
 def apply_modifiers(changes: DataFrame, mods: Modifiers) -> DataFrame:
-    """Column changes without those that the modifiers let go."""
-    out = changes
+    """Column changes without those that the modifiers let go.
+
+    Under lax comments a change counts as if the comment were the same, so a column that moved and changed nothing but its
+    comment goes under lax comments and lax column order together. What stays keeps the new comment.
+    """
+    old = F.col("old").withField("comment", F.col("new.comment")) if mods.lax_comments else F.col("old")
+    out = changes.withColumn("_old", old)
+    modified, moved, equal = F.col("clause") == "modify column", F.col("first") | F.col("after").isNotNull(), T.col_equal("_old", "new")
+    goes = F.lit(False)
     if mods.lax_comments:
-        same = T.col_equal("old", "_new")
-        out = out.withColumn("_new", F.col("new").withField("comment", F.col("old.comment")))
-        out = out.where(~F.coalesce((F.col("clause") == "modify column") & ~F.col("first") & F.col("after").isNull() & same, F.lit(False))).drop("_new")
+        goes = goes | (modified & ~moved & equal)
     if mods.lax_column_order:
-        out = out.where("clause <> 'move column'")
+        goes = goes | (F.col("clause") == "move column") | (modified & moved & equal)
     if not mods.strict_columns:
-        unmoved = F.lit(True) if mods.lax_column_order else ~F.col("first") & F.col("after").isNull()
-        equivalent = T.col_equiv("old", "new")
-        out = out.where(~F.coalesce((F.col("clause") == "modify column") & unmoved & equivalent, F.lit(False)))
-    return out
+        goes = goes | (modified & (F.lit(True) if mods.lax_column_order else ~moved) & T.col_equiv("_old", "new"))
+    return out.where(~F.coalesce(goes, F.lit(False))).drop("_old")
+
+
+def apply_key_modifiers(changes: DataFrame, mods: Modifiers) -> DataFrame:
+    """Changes of foreign keys and checks (see diff_fks, diff_checks) without the cosmetic ones, unless their kind is strict."""
+    strict = F.when(F.col("clause").endswith("foreign key"), F.lit(mods.strict_keys)).otherwise(F.lit(mods.strict_checks))
+    return changes.where(~F.col("cosmetic") | strict)
+
+
+def apply_table_modifiers(changes: DataFrame, mods: Modifiers) -> DataFrame:
+    """All changes of tables (TABLE_KEY, clause) without those of tables whose only change is their comment, under lax comments."""
+    return changes.join(table_comment_only(changes), TABLE_KEY, "left_anti") if mods.lax_comments else changes
 
 
 def table_comment_only(changes: DataFrame) -> DataFrame:
-    """Tables whose only change is their comment: lax comments let these go."""
+    """Tables whose only change is their comment."""
     return changes.groupBy(*TABLE_KEY).agg(F.count("*").alias("_n"), F.count_if(F.col("clause") == "comment").alias("_c")).where("_n = 1 and _c = 1").select(*TABLE_KEY)
 
 
@@ -245,10 +283,23 @@ def diff_pk(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select(*TABLE_KEY, F.explode(clauses).alias("clause"))
 
 
+#: Attributes that a vector index has where none are given (fixed values).
+VECTOR_DEFAULTS = {"M": "6", "DISTANCE": "euclidean"}
+
+
+def index_attributes() -> Column:
+    """The attributes of an index as sorted NAME=value texts: quotes, case and order aside, defaults of vector indexes filled in."""
+    given = F.transform(F.filter(F.split(F.trim(F.coalesce("attributes", F.lit(""))), r"\s+"), lambda p: p != ""), lambda p: F.regexp_replace(p, "[`'\"]", ""))
+    pairs = F.map_from_entries(F.transform(given, lambda p: F.struct(F.upper(F.substring_index(p, "=", 1)).alias("k"), F.lower(F.regexp_replace(p, "^[^=]*=?", "")).alias("v"))))
+    usual = F.create_map(*[F.lit(x) for kv in VECTOR_DEFAULTS.items() for x in kv])
+    both = F.when(F.upper("index_type") == "VECTOR", F.map_zip_with(usual, pairs, lambda k, u, v: F.coalesce(v, u))).otherwise(pairs)
+    return F.array_sort(F.transform(F.map_entries(both), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+
+
 def signature() -> Column:
     """What makes two indexes do the same, whatever their names, comments and visibility."""
     parts = F.transform("parts", lambda p: F.struct(p["column_name"], p["expression"], p["prefix_length"], p["descending"]))
-    return F.sha2(F.to_json(F.struct("is_unique", "is_primary", "index_type", parts.alias("parts"))), 256)
+    return F.sha2(F.to_json(F.struct("is_unique", "is_primary", "index_type", F.coalesce("parser", F.lit("")).alias("parser"), index_attributes().alias("attributes"), parts.alias("parts"))), 256)
 
 
 def diff_indexes(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -368,11 +419,16 @@ def diff_partitioning(a: DataFrame, b: DataFrame, mode: str = "modify") -> DataF
     return both.select(*TABLE_KEY, clause.alias("clause"), F.coalesce((clause != "modify partitions") | ordered, F.lit(True)).alias("supported")).where("clause is not null")
 
 
-def diff_routines(a: DataFrame, b: DataFrame) -> DataFrame:
+#: What a routine was created under; it counts only where metadata is compared.
+ROUTINE_METADATA = ("sql_mode", "collation")
+
+
+def diff_routines(a: DataFrame, b: DataFrame, mods: Modifiers = Modifiers()) -> DataFrame:
     """clause (create, drop, alter, replace routine) and signature_changed. Security, data access and comment can be altered
-    (but a comment that goes away needs a replacement); all else replaces the routine."""
+    (but a comment that goes away needs a replacement); all else replaces the routine. Under lax comments a comment is no
+    difference by itself; metadata is one only if the modifiers compare it."""
     key = ["schema_name", "routine_type", "routine_name"]
-    facts = [c for c in a.columns if c not in key]
+    facts = [c for c in a.columns if c not in key and (mods.compare_metadata or c not in ROUTINE_METADATA) and not (mods.lax_comments and c == "comment")]
     x, y = a.select(*key, F.struct(*facts).alias("_a")), b.select(*key, F.struct(*facts).alias("_b"))
     soft = [c for c in ("security", "data_access", "comment") if c in facts]
     hard = F.lit(False)
@@ -485,7 +541,8 @@ def drift(columns: DataFrame) -> DataFrame:
     order = Window.partitionBy("table_name").orderBy(F.desc("shards"), "fingerprint")
     ranked = shown.withColumn("_r", F.row_number().over(order))
     usual = ranked.where("_r = 1").select("table_name", F.col("fingerprint").alias("majority"))
-    odd = ranked.where("_r > 1").join(usual, "table_name")
+    # Stored, so that the shards' side of the join below is a plain shuffle that can be split where a variant is frequent.
+    odd = stored(ranked.where("_r > 1").join(usual, "table_name"))
     return prints.join(odd, variant).select(*TABLE_KEY, "fingerprint", "shards", "majority")
 
 

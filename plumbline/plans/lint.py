@@ -1,4 +1,5 @@
-"""Lint rules over a catalog: each rule is a plan from a catalog to annotations, and all of them are one union.
+"""Lint rules over a catalog. A rule about a column or a table by itself is a condition; all of these are decided in one scan of
+the columns and one of the tables. A rule that looks at more is a plan from a catalog to annotations.
 
 Annotations: schema_name, object_type, object_name, rule, member (column, index, key; empty for the object itself). Severities and
 allow-lists are policy, given by the caller.
@@ -8,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import types as T
-from plumbline.plans.diff import COLUMN_KEY, clustered_key
+from plumbline.plans.diff import COLUMN_KEY, clustered_key, index_attributes
 from plumbline.sources.catalog import TABLE_KEY, definitions
 
 
@@ -31,11 +33,13 @@ class Catalog:
 @dataclass
 class Options:
     """severities: rule -> ignore, warning, error (falsy: ignore); rules that aren't named have their default. allow: rule ->
-    allowed values, in any case. reserved: a DataFrame with `word` for the reserved-word rule."""
+    allowed values, in any case. reserved: a DataFrame with `word` for the reserved-word rule. spatial_needs_srid: whether the
+    servers ignore spatial indexes on columns without a reference system, as MySQL does."""
 
     severities: dict[str, str] = field(default_factory=dict)
     allow: dict[str, list[str]] = field(default_factory=dict)
     reserved: DataFrame | None = None
+    spatial_needs_srid: bool = True
 
     def severity(self, name: str) -> str:
         given = str(self.severities.get(name, _RULES[name].severity)).lower()
@@ -51,22 +55,32 @@ class Options:
 
 @dataclass(frozen=True)
 class Rule:
+    """kind: plan (decide gives a DataFrame or None), column or table (decide gives a condition on a row of the scan)."""
+
     name: str
     severity: str
     allow: list[str] | None
-    plan: Callable[[Catalog, Options], DataFrame | None]
+    decide: Callable
+    kind: str = "plan"
 
 
 _RULES: dict[str, Rule] = {}
 
 
-def rule(name: str, severity: str, allow: list[str] | None = None) -> Callable:
-    """Registers a rule with its default severity and, if it has one, the default allow-list. A name can be used once."""
+def rule(name: str, severity: str, allow: list[str] | None = None, kind: str = "plan") -> Callable:
+    """Registers a rule with its default severity and, if it has one, the default allow-list. A name can be used once.
+
+    A plan takes (catalog, options). A rule of kind column or table takes the options and gives a condition: on a column's
+    definition, its type `_t`, and of its table `_table_collation` and `_next_auto_inc` (`_in_table`: whether the table is in the
+    catalog); or on a table's row.
+    """
 
-    def add(f: Callable[[Catalog, Options], DataFrame | None]) -> Callable:
+    def add(f: Callable) -> Callable:
         if name in _RULES:
             raise ValueError(f"a rule named {name} is already registered")
-        _RULES[name] = Rule(name, severity, allow, f)
+        if kind not in ("plan", "column", "table"):
+            raise ValueError(f"no such kind of rule: {kind}")
+        _RULES[name] = Rule(name, severity, allow, f, kind)
         return f
 
     return add
@@ -90,22 +104,28 @@ def _typed(cat: Catalog) -> DataFrame:
     return definitions(cat.columns).withColumn("_t", T.type_struct("column_type"))
 
 
-@rule("auto-inc", "warning", ["int unsigned", "bigint unsigned"])
-def _auto_inc(cat: Catalog, opts: Options) -> DataFrame:
-    cols = _typed(cat).where("auto_inc").join(cat.tables.select(*TABLE_KEY, "next_auto_inc"), TABLE_KEY)
-    used = F.col("next_auto_inc").cast("double") / T.int_range(F.col("_t"))["high"].cast("double")
+@rule("auto-inc", "warning", ["int unsigned", "bigint unsigned"], kind="column")
+def _auto_inc(opts: Options) -> Column:
+    """Of a table with a stored counter: a type that isn't allowed, or a counter over four fifths of the type's range. Of several
+    auto-increment columns the first counts."""
+    used = F.col("_next_auto_inc").cast("double") / T.int_range(F.col("_t"))["high"].cast("double")
     plain = F.concat(F.col("_t.base"), F.when(F.col("_t.unsigned"), " unsigned").otherwise(""))
-    return _on_tables(cols.where(~plain.isin(*opts.allowed("auto-inc")) | (used > 0.8)), "column_name")
+    return F.col("auto_inc") & F.col("_first_auto_inc") & (F.col("_next_auto_inc") > 0) & (~plain.isin(*opts.allowed("auto-inc")) | (used > 0.8))
 
 
-@rule("charset", "warning", ["latin1", "utf8mb4"])
-def _charset(cat: Catalog, opts: Options) -> DataFrame:
+def _charsets(opts: Options) -> list[str]:
     allowed = opts.allowed("charset")
-    if {"utf8", "utf8mb3"} & set(allowed):
-        allowed = [*allowed, "utf8", "utf8mb3"]
-    tables = cat.tables.where(~F.substring_index("table_collation", "_", 1).isin(*allowed))
-    cols = cat.columns.where(~F.col("charset").isin(*allowed)).join(tables.select(*TABLE_KEY), TABLE_KEY, "left_anti")
-    return _on_tables(tables).unionByName(_on_tables(cols.join(cat.tables.select(*TABLE_KEY), TABLE_KEY, "left_semi"), "column_name"))
+    return [*allowed, "utf8", "utf8mb3"] if {"utf8", "utf8mb3"} & set(allowed) else allowed
+
+
+def _bad_table_charset(collation: str, opts: Options) -> Column:
+    return ~F.substring_index(collation, "_", 1).isin(*_charsets(opts))
+
+
+@rule("charset", "warning", ["latin1", "utf8mb4"], kind="column")
+def _charset(opts: Options) -> Column:
+    """Columns of tables that are fine themselves; a table that isn't is said once (see _TABLE_PARTS)."""
+    return F.col("_in_table") & ~F.coalesce(_bad_table_charset("_table_collation", opts), F.lit(False)) & ~F.col("charset").isin(*_charsets(opts))
 
 
 def compression_mode(options: Column) -> Column:
@@ -116,10 +136,10 @@ def compression_mode(options: Column) -> Column:
     return F.when(block.isNotNull() & (block != "0"), F.concat(block, F.lit("kb"))).when(T.row_format(options) == "COMPRESSED", F.lit("8kb")).when(plain.isNotNull() & ~plain.isin("none", "", "0", "off"), F.lit("page")).otherwise(F.lit("none"))
 
 
-@rule("compression", "warning", ["none", "4kb", "8kb"])
-def _compression(cat: Catalog, opts: Options) -> DataFrame:
+@rule("compression", "warning", ["none", "4kb", "8kb"], kind="table")
+def _compression(opts: Options) -> Column:
     mode = compression_mode(T.options_map(F.coalesce("create_options", F.lit(""))))
-    return _on_tables(cat.tables.where(F.lower("engine") == "innodb").where(~mode.isin(*opts.allowed("compression"))))
+    return (F.lower("engine") == "innodb") & ~mode.isin(*opts.allowed("compression"))
 
 
 def user_like(user: Column, pattern: Column) -> Column:
@@ -147,35 +167,45 @@ def _on_routines(found: DataFrame) -> DataFrame:
 WIDTHS = {"tinyint": 4, "smallint": 6, "mediumint": 9, "int": 11, "bigint": 20}
 
 
-@rule("display-width", "warning")
-def _display_width(cat: Catalog, opts: Options) -> DataFrame:
+@rule("display-width", "warning", kind="column")
+def _display_width(opts: Options) -> Column:
     t = F.col("_t")
     default = F.create_map(*[F.lit(v) for kv in WIDTHS.items() for v in kv])[t["base"]] - F.when(t["unsigned"] & (t["base"] != "bigint"), 1).otherwise(0)
-    odd = T.is_integer(t) & (t["size"] > 0) & ~t["zerofill"] & ~((t["base"] == "tinyint") & (t["size"] == 1)) & (t["size"] != default)
-    return _on_tables(_typed(cat).where(odd), "column_name")
+    return T.is_integer(t) & (t["size"] > 0) & ~t["zerofill"] & ~((t["base"] == "tinyint") & (t["size"] == 1)) & (t["size"] != default)
 
 
 @rule("dupe-index", "warning")
 def _dupe_index(cat: Catalog, opts: Options) -> DataFrame | None:
-    """Indexes that another one of the table makes redundant; of two that are alike the later one is reported."""
+    """Indexes that another one of the table makes redundant (of two that are alike the later one is reported), and spatial ones
+    whose column has no reference system."""
     if cat.indexes is None:
         return None
-    facts = lambda n: cat.indexes.select(*TABLE_KEY, F.struct("index_name", "is_primary", "is_unique", "index_type", "invisible", "ordinal", "parts").alias(n))
-    both = facts("a").join(facts("b"), TABLE_KEY).where("a.index_name <> b.index_name")
+    facts = ["index_name", "is_primary", "is_unique", "index_type", "invisible", "ordinal", "parts", "parser"]
+    full = cat.indexes.withColumns({c: F.lit("") for c in ("parser", "attributes") if c not in cat.indexes.columns})
+    side = lambda n: full.select(*TABLE_KEY, F.struct(*facts, index_attributes().alias("attributes")).alias(n))
+    both = side("a").join(side("b"), TABLE_KEY).where("a.index_name <> b.index_name")
     a, b = F.col("a"), F.col("b")
     shape = lambda p: F.struct(p["column_name"], p["expression"], p["prefix_length"], p["descending"])
     same = F.transform(a["parts"], shape) == F.transform(b["parts"], shape)
-    fits = F.forall(F.zip_with(a["parts"], F.slice(b["parts"], 1, F.greatest(F.size(a["parts"]), F.lit(1))), lambda x, y: (x["column_name"] == y["column_name"]) & (x["expression"] == y["expression"]) & (x["descending"] == y["descending"]) & ((y["prefix_length"] == 0) | ((x["prefix_length"] > 0) & (x["prefix_length"] <= y["prefix_length"])))), lambda ok: F.coalesce(ok, F.lit(False)))
+    alike_part = lambda x, y: (x["column_name"] == y["column_name"]) & (x["expression"] == y["expression"]) & (x["descending"] == y["descending"])
+    no_longer = lambda x, y: (y["prefix_length"] == 0) | ((x["prefix_length"] > 0) & (x["prefix_length"] <= y["prefix_length"]))
+    fits = F.forall(F.zip_with(a["parts"], F.slice(b["parts"], 1, F.greatest(F.size(a["parts"]), F.lit(1))), lambda x, y: alike_part(x, y) & no_longer(x, y)), lambda ok: F.coalesce(ok, F.lit(False)))
     starts = (F.size(a["parts"]) <= F.size(b["parts"])) & fits & ((a["index_type"] != "FULLTEXT") | (F.size(a["parts"]) == F.size(b["parts"])))
-    redundant = ~a["is_primary"] & ~(a["is_unique"] & ~b["is_unique"]) & (a["index_type"] == b["index_type"]) & (a["invisible"] | ~b["invisible"]) & F.when(a["is_unique"] & b["is_unique"], same).otherwise(starts)
-    alike = same & (a["is_unique"] == b["is_unique"]) & (a["invisible"] == b["invisible"]) & ~b["is_primary"]
-    found = both.where(redundant).where(~alike | (a["ordinal"] > b["ordinal"]) | ((a["ordinal"] == b["ordinal"]) & (a["index_name"] > b["index_name"])))
-    return _on_tables(found.select(*TABLE_KEY, F.col("a.index_name").alias("index_name")).distinct(), "index_name")
+    same_attributes = a["attributes"] == b["attributes"]
+    shaped = F.when(a["is_unique"] & b["is_unique"], same).when(a["index_type"] == "VECTOR", same & same_attributes).otherwise(starts)
+    kinds = ~a["is_primary"] & ~(a["is_unique"] & ~b["is_unique"]) & (a["index_type"] == b["index_type"]) & a["parser"].eqNullSafe(b["parser"]) & (a["invisible"] | ~b["invisible"])
+    alike = same & same_attributes & (a["is_unique"] == b["is_unique"]) & (a["invisible"] == b["invisible"]) & ~b["is_primary"]
+    found = both.where(kinds & shaped).where(~alike | (a["ordinal"] > b["ordinal"]) | ((a["ordinal"] == b["ordinal"]) & (a["index_name"] > b["index_name"])))
+    names = found.select(*TABLE_KEY, F.col("a.index_name").alias("index_name"))
+    if opts.spatial_needs_srid and "srid" in cat.columns.columns:
+        spatial = full.where("index_type = 'SPATIAL'").select(*TABLE_KEY, "index_name", F.explode("parts.column_name").alias("column_name"))
+        names = names.unionByName(spatial.join(cat.columns.where("srid is null").select(*COLUMN_KEY), COLUMN_KEY, "left_semi").select(*names.columns))
+    return _on_tables(names.distinct(), "index_name")
 
 
-@rule("engine", "warning", ["innodb"])
-def _engine(cat: Catalog, opts: Options) -> DataFrame:
-    return _on_tables(cat.tables.where(~F.lower("engine").isin(*opts.allowed("engine"))))
+@rule("engine", "warning", ["innodb"], kind="table")
+def _engine(opts: Options) -> Column:
+    return ~F.lower("engine").isin(*opts.allowed("engine"))
 
 
 @rule("fk-parent", "warning")
@@ -195,9 +225,9 @@ def _fk_parent(cat: Catalog, opts: Options) -> DataFrame | None:
     return _on_tables(missing, "fk_name")
 
 
-@rule("has-enum", "ignore")
-def _has_enum(cat: Catalog, opts: Options) -> DataFrame:
-    return _on_tables(_typed(cat).where(F.col("_t.base").isin("enum", "set")), "column_name")
+@rule("has-enum", "ignore", kind="column")
+def _has_enum(opts: Options) -> Column:
+    return F.col("_t.base").isin("enum", "set")
 
 
 @rule("has-fk", "ignore")
@@ -207,9 +237,9 @@ def _has_fk(cat: Catalog, opts: Options) -> DataFrame | None:
     return _on_tables(cat.foreign_keys.groupBy(*TABLE_KEY).agg(F.count("*").cast("string").alias("_n")), "_n")
 
 
-@rule("has-float", "ignore")
-def _has_float(cat: Catalog, opts: Options) -> DataFrame:
-    return _on_tables(_typed(cat).where(F.col("_t.base").isin("float", "double")), "column_name")
+@rule("has-float", "ignore", kind="column")
+def _has_float(opts: Options) -> Column:
+    return F.col("_t.base").isin("float", "double")
 
 
 @rule("has-routine", "ignore")
@@ -217,27 +247,27 @@ def _has_routine(cat: Catalog, opts: Options) -> DataFrame | None:
     return None if cat.routines is None else _on_routines(cat.routines)
 
 
-@rule("has-time", "ignore")
-def _has_time(cat: Catalog, opts: Options) -> DataFrame:
-    return _on_tables(_typed(cat).where(F.col("_t.base").isin("timestamp", "datetime", "time")), "column_name")
+@rule("has-time", "ignore", kind="column")
+def _has_time(opts: Options) -> Column:
+    return F.col("_t.base").isin("timestamp", "datetime", "time")
 
 
-@rule("ids", "ignore")
-def _ids(cat: Catalog, opts: Options) -> DataFrame:
+@rule("ids", "ignore", kind="column")
+def _ids(opts: Options) -> Column:
     """Columns named id or ending in _id that aren't bigint unsigned."""
     name = F.lower("column_name")
     big = (F.col("_t.base") == "bigint") & F.col("_t.unsigned")
-    return _on_tables(_typed(cat).where(((name == "id") | name.endswith("_id")) & ~big), "column_name")
+    return ((name == "id") | name.endswith("_id")) & ~big
 
 
-@rule("name-case", "ignore")
-def _name_case(cat: Catalog, opts: Options) -> DataFrame:
-    return _on_tables(cat.tables.where(F.lower("table_name") != F.col("table_name")))
+@rule("name-case", "ignore", kind="table")
+def _name_case(opts: Options) -> Column:
+    return F.lower("table_name") != F.col("table_name")
 
 
-@rule("nullable", "ignore")
-def _nullable(cat: Catalog, opts: Options) -> DataFrame:
-    return _on_tables(cat.columns.where("nullable"), "column_name")
+@rule("nullable", "ignore", kind="column")
+def _nullable(opts: Options) -> Column:
+    return F.col("nullable")
 
 
 @rule("pk", "warning")
@@ -268,25 +298,54 @@ def _reserved_word(cat: Catalog, opts: Options) -> DataFrame | None:
     return _on_tables(tables).unionByName(_on_tables(cols, "column_name"))
 
 
-@rule("zero-date", "warning")
-def _zero_date(cat: Catalog, opts: Options) -> DataFrame:
+@rule("zero-date", "warning", kind="column")
+def _zero_date(opts: Options) -> Column:
     value = F.regexp_replace(F.coalesce("default_expr", F.lit("")), "'", "")
     zero = value.startswith("0000-") | F.substring(value, 5, 4).isin("-00-") | value.rlike(r"^\d{4}-\d\d-00")
-    return _on_tables(_typed(cat).where(F.col("_t.base").isin("timestamp", "datetime", "date")).where(zero), "column_name")
+    return F.col("_t.base").isin("timestamp", "datetime", "date") & zero
+
+
+#: Rules about columns that say something about tables as well: conditions on a table's row.
+_TABLE_PARTS: dict[str, Callable[[Options], Column]] = {"charset": lambda opts: _bad_table_charset("table_collation", opts)}
+
+
+def _scanned(rows: DataFrame, member: Column, conditions: dict[str, Column], opts: Options) -> DataFrame:
+    """Annotations of all conditions from one scan of the rows."""
+    notes = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(n).alias("rule"), F.lit(opts.severity(n)).alias("severity"))) for n, c in conditions.items()]))
+    found = rows.select("schema_name", F.lit("table").alias("object_type"), F.col("table_name").alias("object_name"), member.alias("member"), F.explode(notes).alias("n"))
+    return found.select("schema_name", "object_type", "object_name", "n.rule", "member", "n.severity")
+
+
+def _of_columns(cat: Catalog, opts: Options, names: list[str]) -> DataFrame:
+    rows = _typed(cat)
+    if {"auto-inc", "charset"} & set(names):
+        tables = cat.tables.select(*TABLE_KEY, F.col("table_collation").alias("_table_collation"), F.col("next_auto_inc").alias("_next_auto_inc"), F.lit(True).alias("_in_table"))
+        rows = rows.join(tables, TABLE_KEY, "left").withColumn("_in_table", F.coalesce("_in_table", F.lit(False)))
+        if "auto-inc" in names:
+            # Auto-increment columns are few; only they are ranked.
+            first = T.first_by(definitions(cat.columns).where("auto_inc"), TABLE_KEY, "ordinal").select(*COLUMN_KEY, F.lit(True).alias("_first_auto_inc"))
+            rows = rows.join(first, COLUMN_KEY, "left").withColumn("_first_auto_inc", F.coalesce("_first_auto_inc", F.lit(False)))
+    return _scanned(rows, F.col("column_name"), {n: _RULES[n].decide(opts) for n in names}, opts)
 
 
 def lint(cat: Catalog, opts: Options | None = None, only: DataFrame | None = None) -> DataFrame:
     """Annotations with rule and severity of all rules that aren't ignored. only: objects (schema_name, object_name) to lint."""
     opts = opts or Options()
-    out = None
-    for name in rules():
-        severity = opts.severity(name)
-        found = _RULES[name].plan(cat, opts) if severity != "ignore" else None
+    active = [n for n in rules() if opts.severity(n) != "ignore"]
+    by_kind = {k: [n for n in active if _RULES[n].kind == k] for k in ("column", "table", "plan")}
+    on_tables = {n: _RULES[n].decide(opts) for n in by_kind["table"]} | {n: f(opts) for n, f in _TABLE_PARTS.items() if n in active}
+    parts = []
+    if by_kind["column"]:
+        parts.append(_of_columns(cat, opts, by_kind["column"]))
+    if on_tables:
+        parts.append(_scanned(cat.tables, F.lit(""), on_tables, opts))
+    for name in by_kind["plan"]:
+        found = _RULES[name].decide(cat, opts)
         if found is not None:
-            part = found.select("schema_name", "object_type", "object_name", F.lit(name).alias("rule"), "member", F.lit(severity).alias("severity"))
-            out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = cat.tables.sparkSession.createDataFrame([], "schema_name string, object_type string, object_name string, rule string, member string, severity string")
+            parts.append(found.select("schema_name", "object_type", "object_name", F.lit(name).alias("rule"), "member", F.lit(opts.severity(name)).alias("severity")))
+    if not parts:
+        parts = [cat.tables.sparkSession.createDataFrame([], "schema_name string, object_type string, object_name string, rule string, member string, severity string")]
+    out = reduce(DataFrame.unionByName, parts)
     if only is not None:
         out = out.join(only.select("schema_name", "object_name").distinct(), ["schema_name", "object_name"], "left_semi")
     return out

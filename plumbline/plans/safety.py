@@ -18,7 +18,7 @@ CONVENIENCE = {
 }
 
 
-def unsafe_reason(old: Column, new: Column, old_charset: Column, new_charset: Column, old_collation: Column | None = None, new_collation: Column | None = None, virtual: Column | None = None, in_unique: Column | None = None, old_srid: Column | None = None, new_srid: Column | None = None, inet4_widens: bool = True) -> Column:
+def unsafe_reason(old: Column, new: Column, old_charset: Column, new_charset: Column, old_collation: Column | None = None, new_collation: Column | None = None, virtual: Column | None = None, in_unique: Column | None = None, old_srid: Column | None = None, new_srid: Column | None = None, inet4_widens: bool = False) -> Column:
     """Why a change of a column is unsafe, NULL if it is safe. old and new are type structs (see types.type_struct).
 
     Reasons: charset, collation, srid, value list, zero padding, lossy. inet4_widens: whether the server turns inet4 into inet6.

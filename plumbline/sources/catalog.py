@@ -64,11 +64,11 @@ def definitions(columns: DataFrame) -> DataFrame:
 
 def load_indexes(parts: DataFrame) -> DataFrame:
     """An index a row, its parts in order. parts: a row each, with index_name, seq, column_name, non_unique, prefix_length, ordinal
-    and, where servers have them, expression, descending, index_type, comment, invisible."""
-    given = {"expression": F.lit(""), "descending": F.lit(False), "index_type": F.lit("BTREE"), "comment": F.lit(""), "invisible": F.lit(False)}
+    and, where servers have them, expression, descending, index_type, comment, invisible, parser, attributes."""
+    given = {"expression": F.lit(""), "descending": F.lit(False), "index_type": F.lit("BTREE"), "comment": F.lit(""), "invisible": F.lit(False), "parser": F.lit(""), "attributes": F.lit("")}
     full = parts.withColumns({c: v for c, v in given.items() if c not in parts.columns})
     part = F.struct("seq", F.coalesce("column_name", F.lit("")).alias("column_name"), "expression", "prefix_length", "descending")
-    facts = [F.min(c).alias(c) for c in ("index_type", "comment", "invisible", "ordinal")]
+    facts = [F.min(c).alias(c) for c in ("index_type", "comment", "invisible", "ordinal", "parser", "attributes")]
     found = full.groupBy(*TABLE_KEY, "index_name").agg(F.sort_array(F.collect_list(part)).alias("parts"), (~F.bool_or("non_unique")).alias("is_unique"), *facts)
     return found.withColumn("is_primary", F.col("index_name") == "PRIMARY")
 
