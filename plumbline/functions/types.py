@@ -42,13 +42,15 @@ def _pick(key: Column, values: dict, kind: str) -> Column:
 def type_struct(text: str | Column) -> Column:
     """The parts of a type's text. Numbers that are absent are 0; vals is null unless the type lists values."""
     text = F.col(text) if isinstance(text, str) else text
-    plain = F.lower(F.regexp_replace(text, _LITERAL, "''"))
+    # Patterns run only where a plain search says that they may match: most types have no literal, sign or number.
+    plain = F.lower(F.when(text.contains("'"), F.regexp_replace(text, _LITERAL, "''")).otherwise(text))
     base = F.regexp_extract(plain, r"^\s*([a-z0-9_]+)", 1)
-    number = lambda i: F.coalesce(F.regexp_extract(plain, r"^\s*[a-z0-9_]+\((\d+)(?:,\s*(\d+))?\)", i).try_cast("int"), F.lit(0))
+    number = lambda i: F.when(plain.contains("("), F.coalesce(F.regexp_extract(plain, r"^\s*[a-z0-9_]+\((\d+)(?:,\s*(\d+))?\)", i).try_cast("int"), F.lit(0))).otherwise(F.lit(0))
+    word = lambda w: plain.contains(w) & plain.rlike(rf"\b{w}\b")
     listed = F.when(base.isin("enum", "set"), enum_values(text))
     return F.struct(
-        base.alias("base"), number(1).alias("size"), number(2).alias("scale"), plain.rlike(r"\bunsigned\b").alias("unsigned"),
-        plain.rlike(r"\bzerofill\b").alias("zerofill"), listed.alias("vals"), text.alias("text"),
+        base.alias("base"), number(1).alias("size"), number(2).alias("scale"), word("unsigned").alias("unsigned"),
+        word("zerofill").alias("zerofill"), listed.alias("vals"), text.alias("text"),
     )
 
 

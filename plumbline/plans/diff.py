@@ -6,15 +6,17 @@ Every function takes DataFrames of a whole fleet. Columns go through `definition
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import types as T
 from plumbline.sources.catalog import TABLE_KEY, definitions
-from plumbline.sources.shipping import ship
+from plumbline.sources.shipping import mapped, ship
 from plumbline.sources.staging import stored
 
 COLUMN_KEY = [*TABLE_KEY, "column_name"]
@@ -164,14 +166,19 @@ def column_moves(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def _moved(pairs: DataFrame) -> DataFrame:
     """COLUMN_KEY of the columns to move. pairs: COLUMN_KEY, old_rank and new_rank of the common columns of each table."""
-
-    def moves(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("new_rank")
-        stay = longest_increasing(table["old_rank"].tolist())
-        return table[[i not in stay for i in range(len(table))]]
-
-    ship(pairs.sparkSession)
-    return pairs.groupBy(*TABLE_KEY).applyInPandas(moves, pairs.schema).select(*COLUMN_KEY)
+    column = F.struct("new_rank", "old_rank", "column_name")
+    tables = pairs.groupBy(*TABLE_KEY).agg(F.sort_array(F.collect_list(column)).alias("columns"))
+
+    def moves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = []
+            for columns in batch.column("columns").to_pylist():
+                stay = longest_increasing([c["old_rank"] for c in columns])
+                names.append([c["column_name"] for i, c in enumerate(columns) if i not in stay])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in TABLE_KEY), pa.array(names, pa.list_(pa.string()))], names=[*TABLE_KEY, "names"])
+
+    found = mapped(tables, moves, "schema_name string, table_name string, names array<string>")
+    return found.select(*TABLE_KEY, F.explode("names").alias("column_name"))
 
 
 def in_unique_constraint(old_indexes: DataFrame, new_indexes: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import types as T
 from plumbline.plans.diff import COLUMN_KEY, clustered_key, index_attributes
 from plumbline.sources.catalog import TABLE_KEY, definitions
+from plumbline.sources.staging import once_a_value
 
 
 @dataclass
@@ -72,7 +73,7 @@ def rule(name: str, severity: str, allow: list[str] | None = None, kind: str = "
 
     A plan takes (catalog, options). A rule of kind column or table takes the options and gives a condition: on a column's
     definition, its type `_t`, and of its table `_table_collation` and `_next_auto_inc` (`_in_table`: whether the table is in the
-    catalog); or on a table's row.
+    catalog); or on a table's row, with its `_compression`.
     """
 
     def add(f: Callable) -> Callable:
@@ -101,7 +102,7 @@ def _on_tables(found: DataFrame, member: str | Column = "") -> DataFrame:
 
 
 def _typed(cat: Catalog) -> DataFrame:
-    return definitions(cat.columns).withColumn("_t", T.type_struct("column_type"))
+    return once_a_value(definitions(cat.columns), "column_type", "_t", T.type_struct("column_type"))
 
 
 @rule("auto-inc", "warning", ["int unsigned", "bigint unsigned"], kind="column")
@@ -138,7 +139,7 @@ def compression_mode(options: Column) -> Column:
 
 @rule("compression", "warning", ["none", "4kb", "8kb"], kind="table")
 def _compression(opts: Options) -> Column:
-    mode = compression_mode(T.options_map(F.coalesce("create_options", F.lit(""))))
+    mode = F.col("_compression")
     return (F.lower("engine") == "innodb") & ~mode.isin(*opts.allowed("compression"))
 
 
@@ -312,7 +313,8 @@ _TABLE_PARTS: dict[str, Callable[[Options], Column]] = {"charset": lambda opts:
 def _scanned(rows: DataFrame, member: Column, conditions: dict[str, Column], opts: Options) -> DataFrame:
     """Annotations of all conditions from one scan of the rows."""
     notes = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(n).alias("rule"), F.lit(opts.severity(n)).alias("severity"))) for n, c in conditions.items()]))
-    found = rows.select("schema_name", F.lit("table").alias("object_type"), F.col("table_name").alias("object_name"), member.alias("member"), F.explode(notes).alias("n"))
+    # explode_outer: for explode Spark would put a filter on the array before, and decide every condition twice.
+    found = rows.select("schema_name", F.lit("table").alias("object_type"), F.col("table_name").alias("object_name"), member.alias("member"), F.explode_outer(notes).alias("n")).where("n is not null")
     return found.select("schema_name", "object_type", "object_name", "n.rule", "member", "n.severity")
 
 
@@ -338,7 +340,10 @@ def lint(cat: Catalog, opts: Options | None = None, only: DataFrame | None = Non
     if by_kind["column"]:
         parts.append(_of_columns(cat, opts, by_kind["column"]))
     if on_tables:
-        parts.append(_scanned(cat.tables, F.lit(""), on_tables, opts))
+        tables = cat.tables
+        if "compression" in active:
+            tables = once_a_value(tables, "create_options", "_compression", compression_mode(T.options_map(F.coalesce("create_options", F.lit("")))))
+        parts.append(_scanned(tables, F.lit(""), on_tables, opts))
     for name in by_kind["plan"]:
         found = _RULES[name].decide(cat, opts)
         if found is not None:

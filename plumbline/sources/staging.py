@@ -11,7 +11,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Paths that the open scopes of `scratch` have stored, the innermost last.
 _scopes: list[list[str]] = []
@@ -42,6 +43,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def once_a_value(df: DataFrame, column: str, name: str, made: Column) -> DataFrame:
+    """df with `name`, an expression of one column that is worked out once for each of its values, not once a row.
+
+    The values are stored, so the join knows their size: few are broadcast by Spark's own limit, many are shuffled.
+    """
+    values = stored(df.select(column).distinct().withColumn(name, made)).withColumnRenamed(column, "_value")
+    return df.join(values, F.col(column).eqNullSafe(F.col("_value")), "left").drop("_value")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
