@@ -32,22 +32,87 @@ def test_without_sql(spark, sf_dir, name):
     assert ALL[name](spark, sf_dir).count() > 0
 
 
-#: Pairs of old and new types by whether the change is unsafe.
-UNSAFE = [
-    ("int unsigned", "int"), ("enum('a','b','c')", "set('a','b','c')"), ("decimal(10,5)", "decimal(9,6)"), ("varchar(20)", "varchar(19)"), ("varbinary(256)", "tinyblob"), ("datetime(4)", "datetime(3)"), ("double", "float"),
-    ("binary(5)", "binary(10)"), ("tinyblob", "vector(63)"), ("bigint", "int"), ("int(11)", "decimal(12,0)"), ("enum('a','b')", "enum('b','a')"), ("float", "float(7,2)"), ("text", "json"), ("varchar(10)", "int"), ("decimal(9,4)", "decimal(9,4) unsigned"),
-]
-SAFE = [
-    ("int(10) unsigned", "bigint(20)"), ("enum('a','b','c')", "enum('a','b','c','d')"), ("decimal(9,4)", "decimal(9,5)"), ("varchar(63)", "tinytext"), ("varbinary(255)", "tinyblob"), ("timestamp", "timestamp(5)"), ("float", "double"),
-    ("binary(16)", "uuid"), ("tinyblob", "vector(64)"), ("int(11)", "int"), ("year(4)", "year"), ("tinyint(1)", "tinyint(4)"), ("mediumint unsigned", "int"), ("char(5)", "varchar(5)"), ("float(7,2)", "float"), ("inet4", "inet6"), ("char(39)", "inet6"), ("enum('it''s')", "enum('it''s','x')"),
-]
-
-
-def test_safety_matrix(spark):
-    pairs = [(a, b, True) for a, b in UNSAFE] + [(a, b, False) for a, b in SAFE]
-    df = spark.createDataFrame(pairs, "a string, b string, unsafe boolean")
+def integer_changes(rng):
+    """Any integer type to any other, with and without a display width: unsafe if the new range lacks a value of the old one."""
+    bytes_of = {"tinyint": 1, "smallint": 2, "mediumint": 3, "int": 4, "bigint": 8}
+    spans = {}
+    for name, n in bytes_of.items():
+        spans[name], spans[f"{name} unsigned"] = (-(1 << 8 * n - 1), (1 << 8 * n - 1) - 1), (0, (1 << 8 * n) - 1)
+    written = lambda t: t.replace(" ", f"({rng.randrange(1, 21)}) ") if " " in t and rng.random() < 0.5 else t
+    for old, (low, high) in spans.items():
+        for new, (new_low, new_high) in spans.items():
+            yield written(old), written(new), new_low > low or new_high < high
+
+
+def text_changes(rng):
+    """Strings of four bytes a character, and binary types: unsafe if fewer bytes fit. Padding of fixed binary values is unsafe too."""
+    most = {"tinytext": 255, "text": 65_535, "mediumtext": 16_777_215}
+    lengths = lambda: rng.randrange(1, 120)
+    texts = [(f"{kind}({n})", 4 * n) for kind in ("char", "varchar") for n in (lengths(), lengths(), 63, 64)] + list(most.items())
+    blobs = [(f"varbinary({n})", n) for n in (lengths(), 255, 256, 4 * lengths())] + [(t.replace("text", "blob"), n) for t, n in most.items()]
+    for group in (texts, blobs):
+        for old, n in group:
+            for new, m in group:
+                yield old, new, m < n
+    for n, m in ((4, 9), (20, 20 + lengths())):
+        yield f"binary({n})", f"binary({m})", True
+        yield f"varbinary({n})", f"binary({m})", True
+    for n in (lengths(), lengths()):
+        yield f"vector({n})", f"vector({n + 1})", False
+        yield f"vector({n + 1})", f"vector({n})", True
+
+
+def digit_changes(rng):
+    """Decimals, fractions of seconds and bits: unsafe if a size gets smaller, or a sign is lost."""
+    for _ in range(25):
+        size, scale, size2, scale2 = rng.randrange(6, 30), rng.randrange(6), rng.randrange(6, 30), rng.randrange(6)
+        yield f"decimal({size},{scale})", f"decimal({size2},{scale2})", size2 < size or scale2 < scale
+        yield f"decimal({size},{scale})", f"decimal({size},{scale}) unsigned", True
+    for kind in ("time", "datetime", "timestamp"):
+        for n in range(1, 7):
+            m = rng.randrange(1, 7)
+            yield f"{kind}({n})", f"{kind}({m})", m < n
+    for _ in range(6):
+        n, m = rng.randrange(1, 65), rng.randrange(1, 65)
+        yield f"bit({n})", f"bit({m})", m < n
+
+
+def list_changes(rng):
+    """Value lists: safe if the old list begins the new one. Enums and sets aren't each other."""
+    names = ["red", "green", "it''s", "blue, dark", "x(1)"]
+    listed = lambda kind, x: f"{kind}({','.join(chr(39) + v + chr(39) for v in x)})"
+    for _ in range(15):
+        old = rng.sample(names, rng.randrange(1, 4))
+        new = rng.choice([[*old, "more"], rng.sample(names, len(old)), old[:-1] or ["other"]])
+        for kind in ("enum", "set"):
+            yield listed(kind, old), listed(kind, new), new[: len(old)] != old
+        yield listed("enum", old), listed("set", old), True
+
+
+def other_changes(rng):
+    """Between kinds: unsafe, but for what the library's table of convenient conversions names."""
+    kinds = ["int", "decimal(9,2)", "double", "varchar(40)", "date", "json", "varbinary(99)", "bit(3)"]
+    for old in kinds:
+        for new in kinds:
+            if old != new:
+                yield old, new, True
+    for base, texts in U.CONVENIENCE.items():
+        for text in texts:
+            yield base, text, False
+            yield text, base, False
+    yield from (("inet4", "inet6", True), ("float", "double", False), ("double", "float", True), ("year(4)", "year", False))
+
+
+@pytest.mark.parametrize("changes", [integer_changes, text_changes, digit_changes, list_changes, other_changes])
+def test_safety_matrix(spark, changes):
+    df = spark.createDataFrame(list(changes(random.Random(5))), "a string, b string, unsafe boolean")
     got = df.select("*", U.unsafe_reason(T.type_struct("a"), T.type_struct("b"), F.lit("utf8mb4"), F.lit("utf8mb4")).alias("reason")).collect()
-    assert [(r["a"], r["b"]) for r in got if (r["reason"] is not None) != r["unsafe"]] == []
+    assert [(r["a"], r["b"], r["reason"]) for r in got if (r["reason"] is not None) != r["unsafe"]] == []
+
+
+def test_servers_that_widen_inet4(spark):
+    kinds = T.type_struct(F.lit("inet4")), T.type_struct(F.lit("inet6")), F.lit(None).cast("string"), F.lit(None).cast("string")
+    assert spark.range(1).select(U.unsafe_reason(*kinds), U.unsafe_reason(*kinds, inet4_widens=True)).first()[:] == ("lossy", None)
 
 
 def test_safety_order_of_decisions(spark):
@@ -184,6 +249,81 @@ def test_modifiers(spark):
     assert set(left(lax_column_order=True, strict_columns=True)) == {"b", "c"}
 
 
+def test_comments_of_moved_columns(spark):
+    """A column that moved and changed only its comment stays unless both are lax."""
+    schema = "schema_name string, table_name string, column_name string, ordinal int, column_type string, nullable boolean, comment string"
+    a = spark.createDataFrame([("s", "t", c, i, "int", True, "") for i, c in enumerate("abcd")], schema)
+    b = spark.createDataFrame([("s", "t", c, i, "int", True, "new" if c == "d" else "") for i, c in enumerate("dabc")], schema)
+    changes = D.column_changes(a, b)
+    left = lambda **m: [(r["member"], r["clause"]) for r in D.apply_modifiers(changes, D.Modifiers(**m)).collect()]
+    assert left() == left(lax_comments=True) == left(lax_column_order=True) == [("d", "modify column")]
+    assert left(lax_comments=True, lax_column_order=True) == []
+
+
+def test_strict_keys_checks_and_metadata(spark):
+    key = "schema_name string, table_name string, fk_name string, columns array<string>, parent_schema string, parent_table string, parent_columns array<string>, update_rule string, delete_rule string"
+    a = spark.createDataFrame([("s", "t", "one", ["x"], None, "p", ["id"], "RESTRICT", "RESTRICT"), ("s", "t", "two", ["y"], None, "p", ["id"], "RESTRICT", "CASCADE")], key)
+    b = spark.createDataFrame([("s", "t", "uno", ["x"], None, "p", ["id"], "NO ACTION", "RESTRICT"), ("s", "t", "two", ["y"], None, "p", ["id"], "RESTRICT", "SET NULL")], key)
+    left = lambda x, **m: sorted((r["clause"], r["member"]) for r in D.apply_key_modifiers(x, D.Modifiers(**m)).collect())
+    keys = D.diff_fks(a, b)
+    changed = [("add foreign key", "two"), ("drop foreign key", "two")]
+    assert left(keys) == left(keys, strict_checks=True) == changed and left(keys, strict_keys=True) == sorted([*changed, ("add foreign key", "uno"), ("drop foreign key", "one")])
+    check = "schema_name string, table_name string, check_name string, clause string, enforced boolean"
+    checks = D.diff_checks(spark.createDataFrame([("s", "t", "c1", "x > 0", True)], check), spark.createDataFrame([("s", "t", "c2", "x > 0", True)], check))
+    assert left(checks) == [] and left(checks, strict_checks=True) == [("add check", "c2"), ("drop check", "c1")]
+    routine = "schema_name string, routine_name string, routine_type string, body string, comment string, sql_mode string"
+    old, new = (spark.createDataFrame([("s", "r", "FUNCTION", "x", "", m), ("s", "q", "FUNCTION", "x", c, "A")], routine) for m, c in (("A", ""), ("B", "note")))
+    clauses = lambda **m: sorted((r["routine_name"], r["clause"]) for r in D.diff_routines(old, new, D.Modifiers(**m)).collect())
+    assert clauses() == [("q", "alter routine")] and clauses(compare_metadata=True) == [("q", "alter routine"), ("r", "replace routine")] and clauses(lax_comments=True) == []
+    tables = spark.createDataFrame([("s", "t", "comment"), ("s", "u", "comment"), ("s", "u", "engine")], "schema_name string, table_name string, clause string")
+    assert D.apply_table_modifiers(tables, D.Modifiers()).count() == 3 and {r["table_name"] for r in D.apply_table_modifiers(tables, D.Modifiers(lax_comments=True)).collect()} == {"u"}
+
+
+def test_attributes_of_indexes(spark):
+    schema = "schema_name string, table_name string, index_name string, seq int, column_name string, non_unique boolean, prefix_length int, ordinal int, index_type string, parser string, attributes string"
+    row = lambda name, kind, parser="", attributes="", column="x", i=1: ("s", "t", name, 1, column, True, 0, i, kind, parser, attributes)
+    load = lambda *rows: S.load_indexes(spark.createDataFrame(list(rows), schema))
+    same = D.diff_indexes(load(row("v", "VECTOR"), row("w", "VECTOR", "", "M=8 DISTANCE=cosine")), load(row("v", "VECTOR", "", "`distance`='EUCLIDEAN' m=6"), row("w", "VECTOR", "", "distance=COSINE M=8")))
+    assert same.count() == 0
+    changed = D.diff_indexes(load(row("v", "VECTOR"), row("f", "FULLTEXT")), load(row("v", "VECTOR", "", "M=7"), row("f", "FULLTEXT", "ngram"))).collect()
+    assert sorted((r["clause"], r["member"]) for r in changed) == [("modify index", "f"), ("modify index", "v")]
+    cols = spark.createDataFrame([("s", "t", "x", 1, "geometry", False, None), ("s", "t", "y", 2, "geometry", False, 4326), ("s", "t", "z", 3, "int", False, None)], "schema_name string, table_name string, column_name string, ordinal int, column_type string, nullable boolean, srid int")
+    tables = spark.createDataFrame([("s", "t", "InnoDB", "utf8mb4_bin", "", 0)], "schema_name string, table_name string, engine string, table_collation string, create_options string, next_auto_inc bigint")
+    indexes = load(row("v1", "VECTOR"), row("v2", "VECTOR", "", "M=6", "x", 2), row("v3", "VECTOR", "", "M=9", "x", 3), row("f1", "FULLTEXT"), row("f2", "FULLTEXT", "ngram", "", "x", 2), row("g1", "SPATIAL"), row("g2", "SPATIAL", "", "", "y"))
+    found = lambda **o: {r["member"] for r in L.lint(L.Catalog(tables, cols, indexes), L.Options({n: "off" for n in L.rules() if n != "dupe-index"}, **o)).collect()}
+    assert found() == {"v2", "g1"} and found(spatial_needs_srid=False) == {"v2"}
+
+
+def test_counters_and_nullable_columns(spark):
+    cols = [("s", t, c, i, "tinyint", n, a) for t in ("t", "u") for i, (c, n, a) in enumerate([("b", True, True), ("a", False, True), ("c", True, False)])]
+    cols = spark.createDataFrame(cols, "schema_name string, table_name string, column_name string, ordinal int, column_type string, nullable boolean, auto_inc boolean")
+    tables = spark.createDataFrame([("s", "t", "InnoDB", "utf8mb4_bin", "", 5), ("s", "u", "InnoDB", "utf8mb4_bin", "", None)], "schema_name string, table_name string, engine string, table_collation string, create_options string, next_auto_inc bigint")
+    found = L.ordered(L.lint(L.Catalog(tables, cols), L.Options({n: "warning" if n in ("auto-inc", "nullable") else "off" for n in L.rules()}))).collect()
+    assert [(r["object_name"], r["rule"], r["member"]) for r in found] == [("t", "auto-inc", "b"), ("t", "nullable", "b"), ("t", "nullable", "c"), ("u", "nullable", "b"), ("u", "nullable", "c")]
+
+
+def test_dropped_schemas_and_partitions(spark):
+    rows = [("drop schema", 3, 0, False), ("drop schema", 0, 0, False), ("modify partitions", 0, 2, False), ("modify partitions", 0, 0, False)]
+    got = U.unsafe_objects(spark.createDataFrame(rows, "clause string, n_objects int, n_dropped int, signature_changed boolean")).collect()
+    assert [r["reason_code"] for r in got] == ["schema with objects dropped", None, "partitions dropped", None]
+
+
+def test_scratch_deletes_what_was_stored(spark):
+    import os
+
+    from plumbline.sources.staging import kept, scratch, shared_dir, stored
+
+    there = lambda: set(os.listdir(shared_dir(spark)))
+    before = there()
+    with scratch(spark):
+        stored(spark.range(3))
+        with scratch(spark):
+            stored(spark.range(4))
+            outer = kept(spark.range(5))
+        assert len(there() - before) == 2 and outer.count() == 5
+    assert there() == before
+
+
 def test_indexes_rename_once(spark):
     schema = "schema_name string, table_name string, index_name string, seq int, column_name string, non_unique boolean, prefix_length int, ordinal int"
     a = [("s", "t", n, 1, "x", True, 0, i) for i, n in enumerate(["one", "two", "three"])]
