@@ -33,5 +33,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir))
+        # What a stage stores on its way is deleted once its result is written.
+        with common.scratch(spark):
+            docs = common.kept(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

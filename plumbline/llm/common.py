@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.sources.shipping import mapped
-from plumbline.sources.staging import stored
+from plumbline.sources.staging import kept, scratch, stored
 
 #: The white space of all word definitions here: space, tab, newline, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 NO_ID = -(2**63)
 
 
-__all__ = ["NO_ID", "WORD", "arrow", "free", "held_out", "key", "mapped", "small_batches", "stored", "table", "texts", "unkey"]
+__all__ = ["NO_ID", "WORD", "arrow", "free", "held_out", "kept", "key", "mapped", "scratch", "small_batches", "stored", "table", "texts", "unkey"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
