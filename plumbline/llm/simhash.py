@@ -226,7 +226,9 @@ def _rooted(rows: DataFrame, distance: int, order: Column) -> DataFrame:
     """
     distinct = common.stored(rows.groupBy("fp").agg(F.min(order).alias("least")))
     roots = common.stored(components(links(distinct.select("fp"), distance)).withColumnRenamed("node", "fp"))
-    linked = common.stored(roots.join(distinct, "fp"))
+    # The roots aren't nodes of their own in `roots`, but they are members of their components.
+    members = roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
+    linked = common.stored(members.join(distinct, "fp"))
     firsts = common.stored(linked.groupBy("root").agg(F.min("least").alias("first")))
     named = linked.join(firsts, "root").select("fp", "first")
     return common.stored(distinct.join(named, "fp", "left").select("fp", "least", F.coalesce("first", "least").alias("first")))
