@@ -16,6 +16,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Callable, Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import common
 
-#: Entries of each memo of a worker; a full memo starts again, so its memory is bounded.
-MEMO = 1_200_000
+#: Bytes of the larger memo of a worker (of keys, values and about 100 for an entry's place); a full memo starts again.
+MEMO_BYTES = 240_000_000
+#: Bytes of the smaller one, of pre-tokens.
+TOKEN_BYTES = 20_000_000
 #: Pieces over this many characters aren't kept in a memo.
 MEMO_CHARS = 48
 #: Unicode White_Space but the space itself, the rest of the \s of the pre-token pattern (fixed values).
@@ -120,17 +123,20 @@ def merged(piece: bytes, ranks: dict[bytes, int], pairs: list[int | None]) -> li
 
 
 class Memo(dict):
-    """Values by key, made when first asked for; cleared when full."""
+    """Values by key, made when first asked for; cleared when their bytes are over the bound."""
 
     def __init__(self, make: Callable[[str], bytes], most: int):
-        self.make, self.most = make, most
+        self.make, self.most, self.held = make, most, 0
 
     def __missing__(self, k: str) -> bytes:
         v = self.make(k)
         if len(k) <= MEMO_CHARS:
-            if len(self) >= self.most:
+            size = getsizeof(k) + getsizeof(v) + 100
+            if self.held + size > self.most:
                 self.clear()
+                self.held = 0
             self[k] = v
+            self.held += size
         return v
 
 
@@ -138,7 +144,7 @@ class Chunks(Memo):
     """Ids of a chunk and the space before it. Of a word and its stop only the word is kept: they are two pre-tokens."""
 
     def __init__(self, codec: Codec):
-        super().__init__(lambda chunk: codec.token(" " + chunk) if chunk.isalpha() else codec.pieces(" " + chunk), MEMO)
+        super().__init__(lambda chunk: codec.token(" " + chunk) if chunk.isalpha() else codec.pieces(" " + chunk), MEMO_BYTES)
         self.stops = {c: codec.token(c) for c in ".,;:!?"}
 
     def __missing__(self, k: str) -> bytes:
@@ -160,7 +166,7 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.by_chunk = pattern == PRE_TOKENS
         self.bytes = {i: k for k, i in ranks.items()}
-        self.tokens = Memo(self.token, 100_000)
+        self.tokens = Memo(self.token, TOKEN_BYTES)
         self.chunks = Chunks(self)
 
     def token(self, token: str) -> bytes:

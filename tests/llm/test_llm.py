@@ -225,6 +225,16 @@ def test_bpe_is_what_tiktoken_gives(spark, sf_dir, odd):
     assert bpe.Codec(ranks, public_tokenizers.PATTERN + "|zzz").encode("a b  c") == codec.encode("a b  c")
 
 
+def test_memo_is_bounded_by_bytes():
+    memo = bpe.Memo(str.encode, 4000)
+    for i in range(500):
+        assert memo[f"{i:040d}"] == f"{i:040d}".encode()
+        assert memo.held <= 4000
+        assert 0 < len(memo) < 4000 / 140
+    long = "x" * (bpe.MEMO_CHARS + 1)
+    assert memo[long] == long.encode() and long not in memo
+
+
 # 4, 5, 10
 
 
