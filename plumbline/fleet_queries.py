@@ -303,12 +303,38 @@ def fleet_column_diff(spark, d):
     return D.column_mods(a, b).select(*D.COLUMN_KEY, F.col("old.column_type").alias("old_type"), F.col("new.column_type").alias("new_type"), "cosmetic")
 
 
+@query(
+    "fleet_supported",
+    _with(a=X.DESIRED_COLUMNS, b=X.ACTUAL_COLUMNS, w=X.ACTUAL_TABLES)
+    + f" SELECT b.schema_name, b.table_name, b.column_name, w.partition_method = '' AS supported FROM a JOIN b USING ({_KEY}) JOIN w ON w.schema_name = b.schema_name AND w.table_name = b.table_name WHERE {_DIFFERS}",
+)
+def fleet_supported(spark, d):
+    a, b = D._of_both(*columns(spark, d))
+    changes = D.column_mods(a, b).select(*D.COLUMN_KEY, F.lit(True).alias("supported"))
+    return D.mark_supported(changes, tables(spark, d)[1].withColumn("unsupported", F.col("partition_method") != ""))
+
+
 @query("fleet_moves")
 def fleet_moves(spark, d):
     a, b = D._of_both(*columns(spark, d))
     return D.column_moves(a, b).select(*D.COLUMN_KEY, "first", "after")
 
 
+@query(
+    "fleet_move_counts",
+    _COLS
+    + f""", r AS (SELECT schema_name, table_name, row_number() OVER (PARTITION BY schema_name, table_name ORDER BY a.ordinal) AS x, b.ordinal > 1000 AS late FROM a JOIN b USING ({_KEY})),
+/* A shard's order is two rising runs, columns in place and columns at the end: what stays is the first run up to a column and
+   the second run from there. */
+k AS (SELECT r.schema_name, r.table_name, v.x AS v, count(*) FILTER (WHERE CASE WHEN r.late THEN r.x > v.x ELSE r.x <= v.x END) AS stay, count(*) AS n
+  FROM r JOIN (SELECT schema_name, table_name, x FROM r UNION ALL SELECT DISTINCT schema_name, table_name, 0 FROM r) v ON r.schema_name = v.schema_name AND r.table_name = v.table_name GROUP BY 1, 2, 3)
+SELECT schema_name, table_name, max(n) - max(stay) AS n_moved FROM k GROUP BY 1, 2 HAVING max(n) > max(stay)""",
+)
+def fleet_move_counts(spark, d):
+    a, b = D._of_both(*columns(spark, d))
+    return D.column_moves(a, b).groupBy("schema_name", "table_name").agg(F.count("*").alias("n_moved"))
+
+
 @query("fleet_moved_tables", _COLS + f", r AS (SELECT schema_name, table_name, row_number() OVER (PARTITION BY schema_name, table_name ORDER BY a.ordinal) AS x, row_number() OVER (PARTITION BY schema_name, table_name ORDER BY b.ordinal) AS y FROM a JOIN b USING ({_KEY})) SELECT DISTINCT schema_name, table_name FROM r WHERE x <> y")
 def fleet_moved_tables(spark, d):
     return D.moved_tables(*columns(spark, d))

@@ -262,9 +262,23 @@ def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return run_checks(df, {c: null_fit(F.col(c)) for c in columns}).select(F.col("check_name").alias("column_name"), F.col("rows_affected").alias("nulls"), (F.col("rows_affected") == 0).alias("never_null"))
 
 
-def drop_impact(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column_name, rows_with_value and distinct_values (about, by HyperLogLog) that dropping a column would lose."""
-    row = df.agg(*[x for c in columns for x in (F.count(c).alias(f"{c}__n"), F.approx_count_distinct(c).alias(f"{c}__d"))])
+def check_violations(df: DataFrame, clauses: dict[str, tuple[str, bool]]) -> DataFrame:
+    """check_name, rows_total, rows_affected, enforced and gates of each clause, in one scan.
+
+    clauses: name -> (Spark SQL, whether it is enforced). All are counted, but only an enforced one with violations gates.
+    """
+    found = run_checks(df, {n: clause(F.expr(e)) for n, (e, _) in clauses.items()})
+    enforced = F.col("check_name").isin([n for n, (_, on) in clauses.items() if on])
+    return found.withColumn("enforced", enforced).withColumn("gates", F.col("enforced") & (F.col("rows_affected") > 0))
+
+
+def drop_impact(df: DataFrame, columns: list[str], exact: bool = False) -> DataFrame:
+    """column_name, rows_with_value and distinct_values that dropping a column would lose.
+
+    distinct_values is about right (by HyperLogLog, in one scan without a shuffle of values) unless it is to be exact.
+    """
+    distinct = F.count_distinct if exact else F.approx_count_distinct
+    row = df.agg(*[x for c in columns for x in (F.count(c).alias(f"{c}__n"), distinct(c).alias(f"{c}__d"))])
     rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"{c}__n").alias("rows_with_value"), F.col(f"{c}__d").alias("distinct_values")) for c in columns]
     return row.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
@@ -330,11 +344,30 @@ def candidate_keys(df: DataFrame, columns: list[str], k: int = 2) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "key_columns string, minimal boolean")
 
 
+#: Bytes of an item of an array of numbers.
+ITEM_BYTES = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8}
+
+
+def row_width(df: DataFrame) -> Column:
+    """Bytes of a row: values as text, arrays of numbers by their items, other nested values as JSON; NULL is 0."""
+    out = F.lit(0).cast("bigint")
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        if kind.startswith("array<") and kind[6:-1] in ITEM_BYTES:
+            width = F.when(c.isNotNull(), F.size(c)) * ITEM_BYTES[kind[6:-1]]
+        elif kind.startswith(("array<", "map<", "struct<")):
+            width = F.octet_length(F.to_json(c))
+        else:
+            width = F.octet_length(c.cast("string"))
+        out = out + F.coalesce(width, F.lit(0))
+    return out
+
+
 def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
-    """table_name, rows and bytes (of values as text; 0 when empty)."""
+    """table_name, rows and bytes (see row_width; 0 when empty)."""
     parts = []
     for name, df in tables.items():
-        width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c, kind in df.dtypes if not kind.startswith("array")), F.lit(0))
+        width = row_width(df)
         parts.append(df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(width), F.lit(0)).cast("bigint").alias("n_bytes")).select(F.lit(name).alias("table_name"), "n_rows", "n_bytes"))
     return _union(parts)
 

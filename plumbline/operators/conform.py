@@ -31,12 +31,14 @@ class Target:
 @dataclass(frozen=True)
 class Contract:
     """columns in their order and named check clauses in Spark SQL. zero_fill: whether a NOT NULL column that is added without
-    a default gets its type's zero value in existing rows (else such rows are rejected).
+    a default gets its type's zero value in existing rows (else such rows are rejected). unenforced: names of clauses that
+    are declared only and reject no row.
     """
 
     columns: list[Target]
     clauses: dict[str, str] = field(default_factory=dict)
     zero_fill: bool = True
+    unenforced: frozenset[str] = frozenset()
 
 
 def spark_type(text: str) -> str:
@@ -111,7 +113,7 @@ def reasons(df: DataFrame, contract: Contract) -> Column:
             out.append(F.when(bad, F.lit(f"{t.name}: type")))
         if not t.nullable:
             out.append(F.when(_value(t, df.columns, contract.zero_fill).isNull() & (F.col(source).isNull() if source in df.columns else F.lit(True)), F.lit(f"{t.name}: null")))
-    out += [F.when(checks.clause(F.expr(e)), F.lit(f"check {n}")) for n, e in contract.clauses.items()]
+    out += [F.when(checks.clause(F.expr(e)), F.lit(f"check {n}")) for n, e in contract.clauses.items() if n not in contract.unenforced]
     return F.array_compact(F.array(*out)) if out else F.array().cast("array<string>")
 
 
@@ -165,8 +167,7 @@ def fleet_plan(df: DataFrame, shard: str, changes: list[ColumnChange], limit: in
     """
     from plumbline.plans import safety
 
-    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c, k in df.dtypes if not k.startswith("array")), F.lit(0))
-    row = df.groupBy(shard).agg(F.count("*").alias("rows_total"), F.sum(width).cast("bigint").alias("n_bytes"), *[F.count_if(x.affected()).alias(f"_{i}") for i, x in enumerate(changes)])
+    row = df.groupBy(shard).agg(F.count("*").alias("rows_total"), F.sum(checks.row_width(df)).cast("bigint").alias("n_bytes"), *[F.count_if(x.affected()).alias(f"_{i}") for i, x in enumerate(changes)])
     unsafe = [safety.unsafe_type_change(x.old, x.new, x.charset, x.new_charset) for x in changes]
     skipped = F.lit(False)
     for i in range(len(changes)):

@@ -367,6 +367,20 @@ def test_conform(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1 and left.count() == 3
 
 
+def test_only_enforced_clauses_gate(spark):
+    df = spark.createDataFrame([(1,), (-1,), (None,)], "x int")
+    found = {r.check_name: r for r in V.check_violations(df, {"on": ("x > 0", True), "off": ("x > 0", False), "fine": ("x > -5", True)}).collect()}
+    assert {n: (r.rows_affected, r.enforced, r.gates) for n, r in found.items()} == {"on": (1, True, True), "off": (1, False, False), "fine": (0, True, False)}
+    contract = Contract([Target("x", "int")], {"on": "x > -5", "off": "x > 0"}, unenforced=frozenset({"off"}))
+    fit, rest = conform_split(df, contract)
+    assert fit.count() == 3 and rest.count() == 0
+
+
+def test_row_widths(spark):
+    df = spark.createDataFrame([("ab", [1.0, 2.0], [["x"]]), (None, None, None)], "`a.b` string, v array<float>, w array<array<string>>")
+    assert sorted(r.n for r in df.select(V.row_width(df).alias("n")).collect()) == [0, 2 + 8 + 7]
+
+
 def test_conform_stream(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "c")], "i int, s string")
     df.write.parquet(str(tmp_path / "in"))
