@@ -77,7 +77,10 @@ def _table() -> dict[int, str | None]:
     for i in (i for a, b in _RANGES for i in range(a, b)):
         c = chr(i)
         kind = unicodedata.category(c)
-        base = unicodedata.normalize("NFKD", c.lower()).lower()[:1]
+        form = unicodedata.normalize("NFKD", c.lower()).lower()
+        letters = [x for x in form if x.isalpha()]
+        # Circled, parenthesised and squared letters are signs by category: the one letter that they are made of counts.
+        base = letters[0] if len(letters) == 1 else form[:1]
         named = _NAMED.match(unicodedata.name(c, ""))
         digit = unicodedata.digit(c, None)
         if kind in ("Mn", "Me", "Cf"):
@@ -91,7 +94,7 @@ def _table() -> dict[int, str | None]:
             out[i] = _LOOK_ALIKES.get(letter, letter)
         elif digit is not None:
             out[i] = _LOOK_ALIKES.get(str(digit), str(digit))
-        elif c.isalnum() and base:
+        elif base and (c.isalnum() or (len(letters) == 1 and base != c)):
             out[i] = base
         elif kind[0] in "PSZC":
             out[i] = " "

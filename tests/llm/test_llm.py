@@ -654,6 +654,9 @@ def test_fitted_bands_separate(spark):
 def test_folding():
     for disguised in ("𝓘𝓭𝓲𝓸𝓽", "𝕚𝕕𝕚𝕠𝕥", "ɪᴅɪᴏᴛ", "ⓘⓓⓘⓞⓣ", "ｉｄｉｏｔ", "іԁіоt", "i\u200bdi\u0301ot", "1d10T"):
         assert toxicity.folded(disguised) == toxicity.folded("idiot"), disguised
+    for enclosed in ("🄸🄳🄸🄾🅃", "⒤⒟⒤⒪⒯", "🅘🅓🅘🅞🅣", "🅸🅳🅸🅾🆃"):
+        assert toxicity.folded(enclosed) == toxicity.folded("idiot"), enclosed
+    assert toxicity.folded("a™ b… c€") == " a b c "
     assert toxicity.folded("You 1d10t!! STUPID​, w0rthl3ss") == toxicity.folded("you idiot stupid worthless")
     assert toxicity.folded("Пaр idiοt") .endswith(toxicity.folded("idiot"))
 
