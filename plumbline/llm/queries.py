@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, fingerprint, html, licenses, mixing, quality, sharding, simhash, substring, toxicity
+from plumbline.llm import bpe, fingerprint, html, licenses, merkle, mixing, quality, sharding, simhash, substring, toxicity
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_sharding": sharding.op10_sharding,
+    "op11_merkle": merkle.op11_merkle,
 }
 
 ORACLES = {
     "op4_mixing": mixing.OP4_SQL,
     "op5_licenses": licenses.OP5_SQL,
     "op10_sharding": sharding.OP10_SQL,
+    "op11_merkle": merkle.OP11_SQL,
 }
