@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, fingerprint, html, licenses, merkle, mixing, quality, sharding, simhash, substring, toxicity
+from plumbline.llm import bpe, fingerprint, html, licenses, merkle, mixing, quality, sharding, simhash, substring, toxicity, trie
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_sharding": sharding.op10_sharding,
     "op11_merkle": merkle.op11_merkle,
+    "op13_trie": trie.op13_trie,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op5_licenses": licenses.OP5_SQL,
     "op10_sharding": sharding.OP10_SQL,
     "op11_merkle": merkle.OP11_SQL,
+    "op13_trie": trie.OP13_SQL,
 }

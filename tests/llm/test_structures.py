@@ -8,12 +8,12 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import merkle, queries, ranks
+from plumbline.llm import merkle, queries, ranks, trie
 from tests.helpers import rows_of, rows_of_sql
 from tests.llm.test_llm import SCHEMA, awkward, clashing, empty, odd  # noqa: F401
 
 
-@pytest.mark.parametrize("name", ["op11_merkle"])
+@pytest.mark.parametrize("name", ["op11_merkle", "op13_trie"])
 def test_sql(spark, sf_dir, duck, name):
     assert rows_of(queries.QUERIES[name](spark, sf_dir)) == rows_of_sql(duck, queries.ORACLES[name])
 
@@ -122,3 +122,88 @@ def test_paths_have_runs_of_siblings(spark):
     for r in merkle.proven(merkle.leaves(df)).collect():
         assert len(r["path"]) == 3 and all(len(s["before"]) + len(s["after"]) <= 15 * 64 for s in r["path"])
         assert r["verified"] and r["folded_root"] == r["root"] == r["subroot"]
+
+
+# 13
+
+CONVERSATIONS = "conv_id bigint, turn bigint, role string, text string"
+TRIE = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def slow_trie(rows, rebuild=True):
+    """Rows (conv_id, turn, role, text) -> rows of the trie, by dictionaries over whole prefixes."""
+    own = defaultdict(list)
+    for c, t, role, text in rows:
+        role, text = role or "", text or ""
+        if c is not None:
+            own[c].append(((t is not None, t or 0, hashlib.md5(f"{len(role.encode())}:{role}{text}".encode()).hexdigest()), (role, text)))
+    own = {c: [x for _, x in sorted(v)] for c, v in own.items()}
+    made = {}
+    for c, v in own.items():
+        h = zlib.crc32(str(c).encode()) % 4 if rebuild else 0
+        made[c] = own.get(c - c % 20, [])[:h] + v[h:]
+    members = defaultdict(list)
+    for c, v in made.items():
+        for d in range(len(v) + 1):
+            members[tuple(v[:d])].append(c)
+    kids, below = defaultdict(list), defaultdict(list)
+    for path in members:
+        if path:
+            kids[path[:-1]].append(path)
+        for d in range(len(path) + 1):
+            below[path[:d]].append(path)
+    white = {9, 10, 11, 12, 13, 32}
+    words = lambda t: len("".join(" " if ord(x) in white else x for x in t).split(" ")) - "".join(" " if ord(x) in white else x for x in t).split(" ").count("")
+    out = []
+    for path, cs in members.items():
+        saved = sum((len(members[p]) - 1) * words(p[-1][1]) for p in below[path] if p)
+        ends = ",".join(map(str, sorted(c for c in cs if len(made[c]) == len(path))))
+        out.append((min(cs), len(path), min(members[path[:-1]]) if path else None, len(cs), len(kids[path]), sum(not kids[p] for p in below[path]), saved, sha(ends)))
+    return sorted(out, key=str)
+
+
+def trie_rows(df):
+    return sorted((tuple(r[c] for c in TRIE) for r in df.collect()), key=str)
+
+
+def talk(rng, n, most, few):
+    """Conversations of few different turns, so that they share beginnings of all lengths."""
+    turn = lambda: (rng.choice(["user", "assistant", None]), rng.choice(["", None, "a", "b c", "d  e f\n g"][:few]))
+    rows = []
+    for c in rng.sample(range(3 * n), n):
+        rows += [(c, rng.choice([None, *range(most)]) if rng.random() < 0.1 else i, *turn()) for i in range(rng.randrange(1, most))]
+    return rows
+
+
+@pytest.mark.parametrize("seed, most, few, block, stretch", [(1, 4, 3, 4, 1024), (2, 14, 2, 4, 1024), (3, 30, 1, 2, 2), (4, 9, 5, 1, 3)])
+def test_trie(spark, monkeypatch, seed, most, few, block, stretch):
+    monkeypatch.setattr(trie, "BLOCK", block)
+    monkeypatch.setattr(trie, "STRETCH", stretch)
+    rows = talk(random.Random(seed), 90, most, few)
+    df = spark.createDataFrame(rows, CONVERSATIONS).repartition(5)
+    assert trie_rows(trie.trie(*trie.rebuilt(df))) == slow_trie(rows)
+    assert trie_rows(trie.built(df)) == slow_trie(rows, False)
+
+
+def test_trie_of_copies_and_awkward_rows(spark):
+    """Groups of copies, a long conversation and its copies, repeated rows, nulls, empty and long texts, negative ids."""
+    long = [("user", f"turn {i}") for i in range(150)]
+    rows = [(c, i, *t) for c in (5, 700, 701) for i, t in enumerate(long)] + [(c, 0, "user", "the same") for c in range(1000, 1300)]
+    rows += [(None, 0, "user", "of none"), (1, None, None, None), (1, None, None, None), (2, 0, "x", "w " * 100_000), (2, 0, "x", "w " * 100_000), (-7, 0, "a", ""), (-7, 3, "b", "\t"), (3, 0, "", "uuser")]
+    df = spark.createDataFrame(rows, CONVERSATIONS)
+    want = slow_trie(rows)
+    got = trie_rows(trie.trie(*trie.rebuilt(df.repartition(3))))
+    # Python's remainder of a negative id isn't Spark's; -7 has no family here either way.
+    assert got == want and len(got) > 150
+    clash = df.withColumns({c: F.lit("x") for c in ("d", "w", "i", "size", "j", "up", "k1", "depth", "n_convs", "_seq", "place", "part")})
+    assert trie_rows(trie.trie(*trie.rebuilt(clash))) == want
+    assert trie_rows(trie.trie(*trie.rebuilt(df.limit(0)))) == []
+
+
+def test_ends_are_streamed():
+    import pyarrow as pa
+
+    rows = [(1, 2, m) for m in range(40)] + [(1, 3, 7)] + [(9, 3, m) for m in range(5)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[a : a + 7], strict=True)], names=["conv_id", "depth", "member"]) for a in range(0, len(rows), 7)]
+    got = [tuple(r.values()) for b in trie._streamed(iter(batches)) for r in b.to_pylist()]
+    assert got == [(c, d, sha(",".join(str(m) for x, y, m in rows if (x, y) == (c, d)))) for c, d in ((1, 2), (1, 3), (9, 3))]
