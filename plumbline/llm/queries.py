@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, fingerprint, html, licenses, merkle, mixing, quality, sharding, simhash, substring, toxicity, trie
+from plumbline.llm import bpe, fingerprint, html, licenses, merkle, mixing, quality, sharding, simhash, substring, toxicity, trie, urls
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_sharding": sharding.op10_sharding,
     "op11_merkle": merkle.op11_merkle,
+    "op12_urls": urls.op12_urls,
     "op13_trie": trie.op13_trie,
 }
 
