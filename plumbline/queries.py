@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators import cascade as K
 from plumbline.operators import checks as V
+from plumbline.operators import collations as C
+from plumbline.operators import keys as M
 from plumbline.operators import partitions as P
 from plumbline.operators import relational as R
 from plumbline.operators.checks import ColumnChange
 from plumbline.operators.conform import Contract, Target, conform_dry_run, conform_split, fill_defaults, fleet_plan
+from plumbline.sources.staging import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -236,6 +241,73 @@ def fk_delete_impact(spark, d):
     return R.fk_delete_impact(_t(spark, d, "orders"), ["o_custkey"], gone, ["c_custkey"], rule)
 
 
+#: The keys of the supplied tables, the ones to a supplier cleared and the ones to a part blocking.
+LINKS = [
+    K.Link("fk_nation", "nation", ("n_regionkey",), "region", ("r_regionkey",), "CASCADE"),
+    K.Link("fk_customer", "customer", ("c_nationkey",), "nation", ("n_nationkey",), "CASCADE"),
+    K.Link("fk_supplier", "supplier", ("s_nationkey",), "nation", ("n_nationkey",), "SET NULL"),
+    K.Link("fk_orders", "orders", ("o_custkey",), "customer", ("c_custkey",), "CASCADE"),
+    K.Link("fk_line_order", "lineitem", ("l_orderkey",), "orders", ("o_orderkey",), "CASCADE"),
+    K.Link("fk_line_supplier", "lineitem", ("l_suppkey",), "supplier", ("s_suppkey",), "SET NULL"),
+]
+_NODES = """nodes(tab, key, up, upkey, rule) AS (
+  SELECT 'nation', n_nationkey, 'region', n_regionkey, 'fk_nation' FROM nation UNION ALL SELECT 'customer', c_custkey, 'nation', c_nationkey, 'fk_customer' FROM customer
+  UNION ALL SELECT 'orders', o_orderkey, 'customer', o_custkey, 'fk_orders' FROM orders)"""
+
+
+@query(
+    "fk_delete_cascade",
+    f"""
+WITH RECURSIVE {_NODES}, gone(tab, key, link, level) AS (
+  SELECT 'region', r_regionkey, NULL::VARCHAR, 0 FROM region WHERE r_regionkey IN (1, 3)
+  UNION SELECT n.tab, n.key, n.rule, g.level + 1 FROM nodes n JOIN gone g ON n.up = g.tab AND n.upkey = g.key),
+found AS (
+  SELECT tab, link, 'delete' AS effect, level FROM gone
+  UNION ALL SELECT 'lineitem', 'fk_line_order', 'delete', g.level + 1 FROM lineitem JOIN gone g ON g.tab = 'orders' AND g.key = l_orderkey
+  UNION ALL SELECT 'supplier', 'fk_supplier', 'set null', g.level + 1 FROM supplier JOIN gone g ON g.tab = 'nation' AND g.key = s_nationkey)
+SELECT tab AS table_name, link, effect, level, count(*) AS n_rows, false AS refused FROM found GROUP BY ALL
+""",
+)
+def fk_delete_cascade(spark, d):
+    tables = {t: _t(spark, d, t) for t in ("region", "nation", "customer", "supplier", "orders", "lineitem")}
+    return K.delete_effect(tables, LINKS, {"region": F.col("r_regionkey").isin(1, 3)})
+
+
+@query(
+    "fk_delete_refused",
+    f"""
+WITH RECURSIVE {_NODES}, gone(tab, key, link, level) AS (
+  SELECT 'customer', c_custkey, NULL::VARCHAR, 0 FROM customer WHERE c_acctbal < 0
+  UNION SELECT n.tab, n.key, n.rule, g.level + 1 FROM nodes n JOIN gone g ON n.up = g.tab AND n.upkey = g.key),
+found AS (
+  SELECT tab, link, 'delete' AS effect, level FROM gone
+  UNION ALL SELECT 'lineitem', 'fk_line_order', 'blocked', g.level + 1 FROM lineitem JOIN gone g ON g.tab = 'orders' AND g.key = l_orderkey)
+SELECT tab AS table_name, link, effect, level, count(*) AS n_rows, bool_or(bool_or(effect = 'blocked')) OVER () AS refused FROM found GROUP BY ALL
+""",
+)
+def fk_delete_refused(spark, d):
+    tables = {t: _t(spark, d, t) for t in ("customer", "orders", "lineitem")}
+    links = [x if x.name != "fk_line_order" else K.Link(x.name, x.child, x.columns, x.parent, x.keys, "RESTRICT") for x in LINKS if x.name in ("fk_orders", "fk_line_order")]
+    return K.delete_effect(tables, links, {"customer": F.col("c_acctbal") < 0})
+
+
+@query(
+    "fk_delete_cycle",
+    """
+WITH RECURSIVE e AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 7 = 0 THEN (o_orderkey // 70) * 70 + (o_orderkey + 7) % 70 WHEN o_orderkey > 0 THEN o_orderkey // 3 END AS up FROM orders),
+gone(key, level) AS (
+  SELECT key, 0 FROM e WHERE key % 1000 = 14
+  UNION SELECT e.key, g.level + 1 FROM e JOIN gone g ON e.up = g.key WHERE g.level < 60)
+SELECT 'orders' AS table_name, CASE WHEN level > 0 THEN 'fk_follows' END AS link, 'delete' AS effect, level, count(*) AS n_rows, false AS refused FROM (SELECT key, min(level) AS level FROM gone GROUP BY key) GROUP BY ALL
+""",
+)
+def fk_delete_cycle(spark, d):
+    """Orders that refer to orders: every seventh in rings of ten, the others in a tree."""
+    up = F.expr("CASE WHEN o_orderkey % 7 = 0 THEN (o_orderkey DIV 70) * 70 + (o_orderkey + 7) % 70 WHEN o_orderkey > 0 THEN o_orderkey DIV 3 END")
+    orders = _t(spark, d, "orders").select("o_orderkey", up.alias("o_follows"))
+    return K.delete_effect({"orders": orders}, [K.Link("fk_follows", "orders", ("o_follows",), "orders", ("o_orderkey",), "CASCADE")], {"orders": F.col("o_orderkey") % 1000 == 14})
+
+
 _CLAUSES = {"quantity over 1": "l_quantity > 1", "discount under 0.1": "l_discount < 0.1", "tax below discount": "l_tax <= l_discount", "unknown passes": "nullif(l_linenumber, 1) > 2"}
 
 
@@ -450,3 +522,70 @@ UNION ALL SELECT shard, 'modify c_mktsegment', true, c, rows_total, n_bytes, ski
 def fleet_plan_customer(spark, d):
     changes = [ColumnChange("c_custkey", "bigint(20)", "smallint(6)"), ColumnChange("c_name", "varchar(64)", "varchar(17)"), ColumnChange("c_mktsegment", "varchar(10)", "enum('BUILDING','MACHINERY','HOUSEHOLD','FURNITURE')")]
     return fleet_plan(_t(spark, d, "customer").withColumnRenamed("c_nationkey", "shard"), "shard", changes, 2000)
+
+
+_KEY_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"]
+
+
+def _minimal_keys_sql(table: str, columns: list[str], k: int) -> str:
+    """Counts every set of columns and keeps those that are unique and hold no smaller one."""
+    sets = [s for n in range(1, k + 1) for s in combinations(columns, n)]
+    unique = lambda s: f"count(*) = count(DISTINCT ({', '.join(s)}{', 0' if len(s) == 1 else ''})) AND {' AND '.join(f'count(*) = count({c})' for c in s)}"
+    counts = ", ".join(f"{unique(s)} AS u{i}" for i, s in enumerate(sets))
+    rows = ", ".join(f"('{','.join(s)}', {len(s)}, {sum(1 << columns.index(c) for c in s)}, u{i})" for i, s in enumerate(sets))
+    return f"""WITH c AS (SELECT {counts} FROM {table}), s AS (SELECT v.* FROM c, LATERAL (VALUES {rows}) v(key_columns, width, m, u))
+SELECT key_columns, width FROM s WHERE u AND NOT EXISTS (SELECT 1 FROM s o WHERE o.u AND o.m <> s.m AND o.m & s.m = o.m)"""
+
+
+@query("minimal_keys_lineitem", _minimal_keys_sql("lineitem", _KEY_COLUMNS, 5))
+def minimal_keys_lineitem(spark, d):
+    return M.minimal_keys(_t(spark, d, "lineitem"), _KEY_COLUMNS, 5)
+
+
+@query("minimal_keys_events", _minimal_keys_sql("(SELECT ts, user_id, event_type, value, nullif(event_id % 50, 7) AS slot, event_id // 3 AS third FROM events)", ["ts", "user_id", "event_type", "value", "slot", "third"], 4))
+def minimal_keys_events(spark, d):
+    events = _t(spark, d, "events").selectExpr("ts", "user_id", "event_type", "value", "nullif(event_id % 50, 7) AS slot", "event_id DIV 3 AS third")
+    return M.minimal_keys(events, ["ts", "user_id", "event_type", "value", "slot", "third"], 4)
+
+
+_WORDS = "unnest(regexp_extract_all(text, '[a-zA-ZÀ-ÖØ-öø-ÿ]+'))"
+#: How DuckDB folds what a collation holds equal: accents, case, trailing spaces.
+_FOLDS = {
+    "utf8mb4_0900_ai_ci": "strip_accents(lower(replace(v, 'ß', 'ss')))", "utf8mb4_0900_as_ci": "lower(v)", "utf8mb4_0900_as_cs": "v",
+    "utf8mb4_unicode_ci": "strip_accents(lower(replace(rtrim(v, ' '), 'ß', 'ss')))", "utf8mb4_bin": "rtrim(v, ' ')",
+}
+#: Words with their first letter as it is and upper, every fifth document's with a space at the end, ss as in the text and as ß.
+_SPELT = f"""SELECT CASE WHEN doc_id % 5 = 0 THEN w || ' ' WHEN doc_id % 7 = 0 AND NOT contains(w, 'ß') THEN upper(w) WHEN doc_id % 11 = 0 THEN replace(w, 'ss', 'ß') ELSE w END AS v
+FROM (SELECT doc_id, {_WORDS} AS w FROM documents)"""
+
+
+@query("collation_variants", " UNION ALL ".join(f"SELECT '{n}' AS collation, count(*) AS n_groups, CAST(sum(variants) AS BIGINT) AS n_variants, CAST(sum(n) AS BIGINT) AS n_rows FROM (SELECT count(DISTINCT v) AS variants, count(*) AS n FROM ({_SPELT}) GROUP BY {f} HAVING count(DISTINCT v) > 1)" for n, f in _FOLDS.items() if n != "utf8mb4_0900_as_cs"))
+def collation_variants(spark, d):
+    words = _t(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[a-zA-ZÀ-ÖØ-öø-ÿ]+"), 0)).alias("w"))
+    spelt = F.when(F.col("doc_id") % 5 == 0, F.concat("w", F.lit(" "))).when((F.col("doc_id") % 7 == 0) & ~F.col("w").contains("ß"), F.upper("w")).when(F.col("doc_id") % 11 == 0, F.replace("w", F.lit("ss"), F.lit("ß"))).otherwise(F.col("w"))
+    words = stored(words.groupBy(spelt.alias("v")).agg(F.count("*").alias("n")))
+    out = None
+    for name in _FOLDS:
+        if name == "utf8mb4_0900_as_cs":
+            continue
+        groups = words.groupBy(C.collated("v", name).alias("c")).agg(F.count("*").alias("variants"), F.sum("n").alias("n")).where("variants > 1")
+        row = groups.agg(F.count("*").alias("n_groups"), F.coalesce(F.sum("variants"), F.lit(0)).alias("n_variants"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows")).select(F.lit(name).alias("collation"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+_NAMED = "SELECT CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) WHEN p_partkey % 3 = 1 THEN replace(p_name, 'e', 'é') || ' ' ELSE p_name END AS p_name, p_brand FROM part"
+
+
+@query("collation_keys", "SELECT CAST(count(*) FILTER (WHERE n > 1) AS BIGINT) AS duplicate_groups, CAST(coalesce(sum(n - 1) FILTER (WHERE n > 1), 0) AS BIGINT) AS surplus_rows FROM (SELECT count(*) AS n FROM (" + _NAMED + ") GROUP BY strip_accents(lower(rtrim(p_name, ' '))), lower(p_brand))")
+def collation_keys(spark, d):
+    named = _t(spark, d, "part").selectExpr("CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) WHEN p_partkey % 3 = 1 THEN concat(replace(p_name, 'e', 'é'), ' ') ELSE p_name END AS p_name", "p_brand")
+    return C.key_violations(named, {"p_name": "utf8mb4_general_ci", "p_brand": "utf8mb4_0900_as_ci"})
+
+
+@query("collation_orphans", "WITH c AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) ELSE lower(c_mktsegment) || 'x' END AS seg, c_custkey FROM customer), p AS (SELECT DISTINCT lower(replace(c_mktsegment, 'I', 'í')) AS seg FROM customer) SELECT c_custkey FROM c WHERE strip_accents(lower(seg)) NOT IN (SELECT strip_accents(seg) FROM p)")
+def collation_orphans(spark, d):
+    customers = _t(spark, d, "customer")
+    child = customers.selectExpr("CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) ELSE concat(lower(c_mktsegment), 'x') END AS seg", "c_custkey")
+    parent = customers.selectExpr("lower(replace(c_mktsegment, 'I', 'í')) AS key_seg")
+    return C.orphans(child, "seg", parent, "key_seg", "utf8mb4_0900_ai_ci").select("c_custkey")
