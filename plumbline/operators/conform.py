@@ -14,6 +14,7 @@ from plumbline.functions import types as T
 from plumbline.operators import checks
 from plumbline.operators.checks import ColumnChange, Type
 from plumbline.operators.partitions import Scheme, route
+from plumbline.sources.staging import stored
 
 
 @dataclass(frozen=True)
@@ -175,3 +176,37 @@ def fleet_plan(df: DataFrame, shard: str, changes: list[ColumnChange], limit: in
     skipped = skipped & (F.col("n_bytes") >= limit)
     parts = [F.struct(F.lit(f"modify {x.column}").alias("clause"), unsafe[i].alias("unsafe"), F.col(f"_{i}").alias("rows_affected")) for i, x in enumerate(changes)]
     return row.select(shard, "rows_total", "n_bytes", skipped.alias("skipped"), F.explode(F.array(*parts)).alias("r")).select(shard, "r.*", "rows_total", "n_bytes", "skipped")
+
+
+def shard_fingerprints(df: DataFrame, shard: str) -> DataFrame:
+    """shard and fingerprint: the paths, sizes and times of the files that have its rows. Reads the shard's column alone."""
+    files = df.select(shard, F.concat_ws("|", "_metadata.file_path", F.col("_metadata.file_size").cast("string"), F.col("_metadata.file_modification_time").cast("string")).alias("_file")).distinct()
+    return files.groupBy(shard).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("_file")), ","), 256).alias("fingerprint"))
+
+
+def resumed_plan(df: DataFrame, shard: str, changes: list[ColumnChange], limit: int = 0, previous: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
+    """As fleet_plan, with fingerprint, signature and scanned, for a table that is read from files.
+
+    previous: a stored result of this function. Shards whose files and changes are as they were there aren't scanned again but
+    taken from it; shards that are gone have no rows. errors: shard and n_errors of a lint; a shard with any is skipped too.
+    What a scan found is kept apart from this gate, so errors may come and go between runs.
+    """
+    signature = F.sha2(F.lit(repr((sorted(map(repr, changes)), limit))), 256)
+    prints = stored(shard_fingerprints(df, shard).withColumn("signature", signature))
+    key = [shard, "fingerprint", "signature"]
+    out = [*key, "clause", "unsafe", "rows_total", "rows_affected", "n_bytes", "skipped_by_data"]
+    if previous is None:
+        todo, old = prints, None
+    else:
+        known = previous.select(*key).distinct()
+        todo, old = stored(prints.join(known, key, "left_anti")), previous.join(prints, key, "left_semi").select(*out)
+    # The shards to scan are a stored table of a row each: where they are few, Spark prunes the files of the others by it.
+    scanned = fleet_plan(df.join(todo.select(shard), shard, "left_semi"), shard, changes, limit).withColumnRenamed("skipped", "skipped_by_data").join(prints, shard).select(*out)
+    both = scanned.withColumn("scanned", F.lit(True))
+    if old is not None:
+        both = both.unionByName(old.withColumn("scanned", F.lit(False)))
+    n_errors = F.lit(0)
+    if errors is not None:
+        both = both.join(errors.select(shard, "n_errors"), shard, "left")
+        n_errors = F.coalesce("n_errors", F.lit(0))
+    return both.select(*out, "scanned", n_errors.cast("bigint").alias("n_errors"), (F.col("skipped_by_data") | (n_errors > 0)).alias("skipped"))

@@ -426,6 +426,17 @@ def diff_partitioning(a: DataFrame, b: DataFrame, mode: str = "modify") -> DataF
     return both.select(*TABLE_KEY, clause.alias("clause"), F.coalesce((clause != "modify partitions") | ordered, F.lit(True)).alias("supported")).where("clause is not null")
 
 
+def partition_changes(a: DataFrame, b: DataFrame, mode: str = "modify") -> DataFrame:
+    """As diff_partitioning, with n_dropped: the partitions of a's list whose names b's list lacks, where the list alone changes.
+
+    a and b have partition_list, an array of structs with a name.
+    """
+    names = [s.select(*TABLE_KEY, F.col("partition_list.name").alias(n)) for s, n in ((a, "_old"), (b, "_new"))]
+    gone = F.size(F.array_except(F.coalesce("_old", F.array().cast("array<string>")), F.coalesce("_new", F.array().cast("array<string>"))))
+    found = diff_partitioning(a, b, mode).join(names[0], TABLE_KEY).join(names[1], TABLE_KEY)
+    return found.select(*TABLE_KEY, "clause", "supported", F.when(F.col("clause") == "modify partitions", gone).otherwise(0).alias("n_dropped"))
+
+
 #: What a routine was created under; it counts only where metadata is compared.
 ROUTINE_METADATA = ("sql_mode", "collation")
 
@@ -566,3 +577,42 @@ def history(snapshots: DataFrame) -> DataFrame:
     old = F.col("_before.column_type")
     event = F.when(F.col("column_type").isNotNull() & old.isNull(), "appeared").when(F.col("column_type").isNull() & old.isNotNull(), "vanished").when(F.col("column_type") != old, "type changed")
     return rows.select("snapshot", *COLUMN_KEY, event.alias("event"), old.alias("old_type"), F.col("column_type").alias("new_type")).where("event is not null")
+
+
+# History as intervals
+
+_INTERVAL = [*COLUMN_KEY, "column_type", "valid_from", "valid_to"]
+
+
+def opened(snapshot: DataFrame, number: int) -> DataFrame:
+    """The intervals of a first snapshot: COLUMN_KEY, column_type, valid_from and valid_to (null: still so)."""
+    return snapshot.select(*COLUMN_KEY, "column_type", F.lit(number).alias("valid_from"), F.lit(None).cast("int").alias("valid_to"))
+
+
+def merged(intervals: DataFrame, snapshot: DataFrame, number: int) -> DataFrame:
+    """The intervals after one more snapshot, which is all that is read besides them; closed ones aren't joined.
+
+    Columns of tables that the snapshot has end or change their type at its number; columns of other tables go on.
+    """
+    past, now = intervals.where("valid_to is not null"), intervals.where("valid_to is null").withColumn("_there", F.lit(True))
+    seen = snapshot.select(*TABLE_KEY).distinct().withColumn("_seen", F.lit(True))
+    new = snapshot.select(*COLUMN_KEY, F.col("column_type").alias("_type"), F.lit(True).alias("_new"))
+    both = now.join(new, COLUMN_KEY, "full_outer").join(seen, TABLE_KEY, "left")
+    changed = F.coalesce("_there", F.lit(False)) & F.coalesce("_new", F.lit(False)) & ~F.col("column_type").eqNullSafe(F.col("_type"))
+    ends = changed | (F.col("_new").isNull() & F.coalesce("_seen", F.lit(False)))
+    old = F.when(F.col("_there"), F.struct("column_type", "valid_from", F.when(ends, F.lit(number)).alias("valid_to")))
+    begins = F.when(changed | F.col("_there").isNull(), F.struct(F.col("_type").alias("column_type"), F.lit(number).alias("valid_from"), F.lit(None).cast("int").alias("valid_to")))
+    rows = both.select(*COLUMN_KEY, F.explode(F.array_compact(F.array(old, begins))).alias("r")).select(*COLUMN_KEY, "r.*")
+    return past.select(*_INTERVAL).unionByName(rows.select(*_INTERVAL))
+
+
+def events(intervals: DataFrame) -> DataFrame:
+    """What `history` finds, from intervals: snapshot, COLUMN_KEY, event, old_type and new_type."""
+    order = Window.partitionBy(*COLUMN_KEY).orderBy("valid_from")
+    rows = intervals.withColumns({"_to": F.lag("valid_to").over(order), "_old": F.lag("column_type").over(order), "_next": F.lead("valid_from").over(order)})
+    goes_on = F.coalesce(F.col("valid_from") == F.col("_to"), F.lit(False))
+    null = F.lit(None).cast("string")
+    start = F.struct(F.col("valid_from").alias("snapshot"), F.when(goes_on, "type changed").otherwise("appeared").alias("event"), F.when(goes_on, F.col("_old")).alias("old_type"), F.col("column_type").alias("new_type"))
+    end = F.struct(F.col("valid_to").alias("snapshot"), F.lit("vanished").alias("event"), F.col("column_type").alias("old_type"), null.alias("new_type"))
+    stops = F.col("valid_to").isNotNull() & ~F.coalesce(F.col("_next") == F.col("valid_to"), F.lit(False))
+    return rows.select(*COLUMN_KEY, F.explode(F.array_compact(F.array(start, F.when(stops, end)))).alias("e")).select("e.snapshot", *COLUMN_KEY, "e.event", "e.old_type", "e.new_type")

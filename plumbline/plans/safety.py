@@ -102,6 +102,13 @@ def unsafe_objects(changes: DataFrame) -> DataFrame:
     return changes.withColumn("reason_code", code).withColumn("unsafe", F.col("reason_code").isNotNull())
 
 
+def schema_drops(schemas: DataFrame, tables: DataFrame, routines: DataFrame) -> DataFrame:
+    """Differences of schemas (see diff_schemas) with clause and n_objects: the tables and routines that a dropped schema holds."""
+    held = tables.select("schema_name").unionByName(routines.select("schema_name")).groupBy("schema_name").agg(F.count("*").alias("n_objects"))
+    gone = schemas.where("change = 'drop'").select("schema_name", F.lit("drop schema").alias("clause"))
+    return gone.join(held, "schema_name", "left").withColumn("n_objects", F.coalesce("n_objects", F.lit(0)))
+
+
 def unsafe_reasons(changes: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n_unsafe and the sorted reasons of each object with an unsafe change."""
     return changes.where("unsafe").groupBy(*keys).agg(F.count("*").alias("n_unsafe"), F.array_join(F.sort_array(F.collect_set("reason_code")), ",").alias("reasons"))
