@@ -1,11 +1,15 @@
 """Operator 7: main text of web pages from flat text blocks and a decision tree.
 
 A page becomes a flat list of text blocks. A block is described by its number of words and the share of them inside links, the
-same of the block before and after it, and one mark: 1 if the nearest element around it that says anything is a content
-element, -1 if it is a boilerplate element (by tag, or by a word of its class, id or role), 0 if none says anything. The
-nearest element decides, so what stands around an article never removes it. A decision tree, grown from the labelled table
-below, classifies blocks; the text of a page is that of its content blocks. One pass over Arrow batches, no shuffle; the tree
-is all that is sent.
+same of the block before and after it, and a mark from the elements around it: 2 in a content element by tag, 1 by a word of
+its class, id or role, 0 if none says anything, -1 in boilerplate by such a word, -2 by tag or among readers' comments. A
+decision tree, grown from the labelled table below, classifies blocks; the text of a page is that of its content blocks. Where a
+mark rests on words alone the table has rows of either class: words, links and neighbours decide. One pass over Arrow
+batches, no shuffle; the tree is all that is sent.
+
+The nearest element that says something decides, with these bounds. A name doesn't make content of what is inside boilerplate
+or comments; an article or main element does, if no other came before. A name that says boilerplate counts for nothing on an
+element that holds most of the page's words and its main heading, nor where it names the layout of a wrapper.
 """
 
 from __future__ import annotations
@@ -42,15 +46,26 @@ LABELLED: list[tuple[tuple[float, ...], int]] = [
     ((7, 0.2, 60, 0.0, 3, 1.0, 0), 0), ((3, 1.0, 2, 1.0, 60, 0.0, 0), 0), ((10, 0.8, 0, 0.0, 80, 0.0, 0), 0), ((20, 0.9, 6, 1.0, 50, 0.0, 0), 0), ((5, 0.8, 40, 0.0, 45, 0.1, 0), 0), ((1, 1.0, 0, 0.0, 30, 0.0, 0), 0),
     ((30, 0.9, 5, 1.0, 6, 1.0, 0), 0), ((12, 0.6, 4, 0.5, 4, 1.0, 0), 0), ((6, 0.0, 3, 0.0, 2, 0.0, 0), 0), ((3, 0.0, 0, 0.0, 5, 0.0, 0), 0), ((20, 0.7, 50, 0.0, 10, 0.9, 0), 0), ((2, 1.0, 70, 0.0, 3, 1.0, 0), 0),
     ((4, 0.5, 6, 1.0, 2, 1.0, 0), 0), ((2, 0.0, 2, 1.0, 1, 1.0, 0), 0), ((8, 1.0, 8, 1.0, 0, 0.0, 0), 0), ((14, 0.9, 90, 0.0, 16, 1.0, 0), 0), ((6, 0.3, 12, 0.9, 0, 0.0, 0), 0), ((3, 0.0, 4, 1.0, 0, 0.0, 0), 0),
-    # inside a content element: paragraphs, headings, one-word paragraphs, lists, lines of links
-    ((60, 0.0, 8, 0.0, 45, 0.0, 1), 1), ((8, 0.0, 9, 0.0, 60, 0.0, 1), 1), ((1, 0.0, 80, 0.0, 70, 0.0, 1), 1), ((2, 0.0, 1, 0.0, 40, 0.0, 1), 1), ((35, 0.1, 50, 0.0, 20, 0.0, 1), 1), ((12, 0.0, 12, 0.0, 12, 0.0, 1), 1),
-    ((90, 0.0, 30, 0.0, 11, 0.3, 1), 1), ((5, 0.0, 1, 1.0, 90, 0.0, 1), 1), ((3, 0.0, 25, 0.0, 9, 0.1, 1), 1), ((10, 0.4, 70, 0.0, 60, 0.0, 1), 1), ((4, 1.0, 40, 0.0, 40, 0.0, 1), 1), ((2, 1.0, 3, 1.0, 2, 1.0, 1), 1),
-    ((2, 0.0, 0, 0.0, 0, 0.0, 1), 1), ((6, 0.5, 2, 1.0, 5, 0.2, 1), 1), ((9, 0.0, 1, 1.0, 3, 0.0, 1), 1), ((12, 0.0, 5, 1.0, 0, 0.0, 1), 1), ((7, 0.0, 9, 0.1, 1, 1.0, 1), 1), ((400, 0.0, 5, 0.0, 6, 1.0, 1), 1),
-    ((9, 0.0, 1, 1.0, 12, 0.0, 1), 1), ((12, 0.0, 1, 1.0, 18, 0.0, 1), 1), ((8, 0.0, 2, 1.0, 10, 0.0, 1), 1), ((6, 0.0, 1, 1.0, 20, 0.0, 1), 1), ((4, 0.0, 1, 1.0, 5, 0.0, 1), 1), ((15, 0.0, 2, 1.0, 2, 0.0, 1), 1),
-    # inside a boilerplate element: menus, adverts, notices, sidebars, footers, comments, related links
+    # inside an element that names say is boilerplate: menus, adverts, notices, sidebars; long paragraphs among others are text
     ((1, 1.0, 1, 1.0, 1, 1.0, -1), 0), ((8, 0.0, 1, 1.0, 9, 0.0, -1), 0), ((25, 0.0, 6, 1.0, 5, 0.0, -1), 0), ((9, 0.1, 70, 0.0, 0, 0.0, -1), 0), ((60, 0.0, 3, 0.0, 40, 0.0, -1), 0), ((40, 0.2, 10, 0.5, 10, 0.5, -1), 0),
-    ((120, 0.0, 30, 0.0, 20, 0.0, -1), 0), ((30, 0.0, 4, 0.0, 25, 0.0, -1), 0), ((3, 1.0, 60, 0.0, 2, 1.0, -1), 0), ((80, 0.0, 3, 0.0, 50, 0.0, -1), 0), ((6, 0.0, 90, 0.0, 40, 0.0, -1), 0), ((15, 0.0, 15, 0.0, 0, 0.0, -1), 0),
-    ((45, 0.0, 2, 1.0, 60, 0.0, -1), 0), ((70, 0.0, 1, 1.0, 3, 1.0, -1), 0), ((50, 0.0, 60, 0.0, 55, 0.0, -1), 0), ((9, 0.0, 1, 1.0, 60, 0.0, -1), 0),
+    ((90, 0.0, 1, 1.0, 20, 0.0, -1), 0), ((30, 0.0, 4, 0.0, 25, 0.0, -1), 0), ((3, 1.0, 60, 0.0, 2, 1.0, -1), 0), ((80, 0.0, 3, 0.0, 50, 0.0, -1), 0), ((6, 0.0, 90, 0.0, 40, 0.0, -1), 0), ((15, 0.0, 15, 0.0, 0, 0.0, -1), 0),
+    ((45, 0.0, 2, 1.0, 60, 0.0, -1), 0), ((70, 0.0, 1, 1.0, 3, 1.0, -1), 0), ((50, 0.0, 60, 0.0, 55, 0.0, -1), 0), ((9, 0.0, 1, 1.0, 60, 0.0, -1), 0), ((110, 0.0, 2, 1.0, 2, 1.0, -1), 0), ((130, 0.4, 20, 0.6, 3, 1.0, -1), 0),
+    ((180, 0.0, 60, 0.0, 80, 0.0, -1), 1), ((220, 0.02, 90, 0.0, 45, 0.0, -1), 1), ((160, 0.0, 45, 0.0, 120, 0.0, -1), 1), ((300, 0.0, 70, 0.0, 60, 0.0, -1), 1), ((250, 0.05, 110, 0.0, 75, 0.0, -1), 1),
+    # inside an element that names say is content: as inside a content element, but lists of nothing but links
+    ((60, 0.0, 8, 0.0, 45, 0.0, 1), 1), ((8, 0.0, 9, 0.0, 60, 0.0, 1), 1), ((1, 0.0, 80, 0.0, 70, 0.0, 1), 1), ((2, 0.0, 1, 0.0, 40, 0.0, 1), 1), ((35, 0.1, 50, 0.0, 20, 0.0, 1), 1), ((12, 0.0, 12, 0.0, 12, 0.0, 1), 1),
+    ((4, 1.0, 40, 0.0, 40, 0.0, 1), 1), ((10, 0.4, 70, 0.0, 60, 0.0, 1), 1), ((9, 0.0, 1, 1.0, 12, 0.0, 1), 1), ((6, 0.0, 1, 1.0, 20, 0.0, 1), 1), ((2, 0.0, 0, 0.0, 0, 0.0, 1), 1), ((15, 0.0, 2, 1.0, 2, 0.0, 1), 1), ((9, 0.0, 30, 0.0, 4, 1.0, 1), 1),
+    ((2, 1.0, 3, 1.0, 2, 1.0, 1), 0), ((5, 1.0, 6, 1.0, 4, 1.0, 1), 0), ((3, 1.0, 9, 1.0, 5, 1.0, 1), 0), ((8, 1.0, 2, 1.0, 7, 1.0, 1), 0), ((1, 1.0, 1, 1.0, 1, 1.0, 1), 0),
+    # a page of one block
+    ((4, 0.0, 0, 0.0, 0, 0.0, 0), 1), ((9, 0.0, 0, 0.0, 0, 0.0, 0), 1), ((15, 0.1, 0, 0.0, 0, 0.0, 0), 1), ((20, 0.0, 0, 0.0, 0, 0.0, 0), 1), ((2, 0.0, 0, 0.0, 0, 0.0, 0), 1),
+    # inside a content element: paragraphs, headings, one-word paragraphs, lists, lines of links
+    ((60, 0.0, 8, 0.0, 45, 0.0, 2), 1), ((8, 0.0, 9, 0.0, 60, 0.0, 2), 1), ((1, 0.0, 80, 0.0, 70, 0.0, 2), 1), ((2, 0.0, 1, 0.0, 40, 0.0, 2), 1), ((35, 0.1, 50, 0.0, 20, 0.0, 2), 1), ((12, 0.0, 12, 0.0, 12, 0.0, 2), 1),
+    ((90, 0.0, 30, 0.0, 11, 0.3, 2), 1), ((5, 0.0, 1, 1.0, 90, 0.0, 2), 1), ((3, 0.0, 25, 0.0, 9, 0.1, 2), 1), ((10, 0.4, 70, 0.0, 60, 0.0, 2), 1), ((4, 1.0, 40, 0.0, 40, 0.0, 2), 1), ((2, 1.0, 3, 1.0, 2, 1.0, 2), 1),
+    ((2, 0.0, 0, 0.0, 0, 0.0, 2), 1), ((6, 0.5, 2, 1.0, 5, 0.2, 2), 1), ((9, 0.0, 1, 1.0, 3, 0.0, 2), 1), ((12, 0.0, 5, 1.0, 0, 0.0, 2), 1), ((7, 0.0, 9, 0.1, 1, 1.0, 2), 1), ((400, 0.0, 5, 0.0, 6, 1.0, 2), 1),
+    ((9, 0.0, 1, 1.0, 12, 0.0, 2), 1), ((12, 0.0, 1, 1.0, 18, 0.0, 2), 1), ((8, 0.0, 2, 1.0, 10, 0.0, 2), 1), ((6, 0.0, 1, 1.0, 20, 0.0, 2), 1), ((4, 0.0, 1, 1.0, 5, 0.0, 2), 1), ((15, 0.0, 2, 1.0, 2, 0.0, 2), 1),
+    # inside a boilerplate element or comments: menus, adverts, notices, sidebars, footers, comments, related links
+    ((1, 1.0, 1, 1.0, 1, 1.0, -2), 0), ((8, 0.0, 1, 1.0, 9, 0.0, -2), 0), ((25, 0.0, 6, 1.0, 5, 0.0, -2), 0), ((9, 0.1, 70, 0.0, 0, 0.0, -2), 0), ((60, 0.0, 3, 0.0, 40, 0.0, -2), 0), ((40, 0.2, 10, 0.5, 10, 0.5, -2), 0),
+    ((120, 0.0, 30, 0.0, 20, 0.0, -2), 0), ((30, 0.0, 4, 0.0, 25, 0.0, -2), 0), ((3, 1.0, 60, 0.0, 2, 1.0, -2), 0), ((80, 0.0, 3, 0.0, 50, 0.0, -2), 0), ((6, 0.0, 90, 0.0, 40, 0.0, -2), 0), ((15, 0.0, 15, 0.0, 0, 0.0, -2), 0),
+    ((45, 0.0, 2, 1.0, 60, 0.0, -2), 0), ((70, 0.0, 1, 1.0, 3, 1.0, -2), 0), ((50, 0.0, 60, 0.0, 55, 0.0, -2), 0), ((9, 0.0, 1, 1.0, 60, 0.0, -2), 0),
 ]
 
 #: Tags by role (fixed values).
@@ -75,6 +90,11 @@ _FRAME_WORDS = set(
 )
 #: Words that are the topic of a section as well: as an id inside content, one alone doesn't count.
 _TOPICS = set("navigation menu side foot ad ads promotion sponsor banner cookie cookies consent gdpr notice alert popup modal overlay subscription login signup search comment respond reply replies related share sharing social widget toolbar pagination advertising advertisement pager".split())
+#: Words of readers' comments (fixed values).
+_COMMENT = re.compile(r"(?:^|[\s_-])(?:comment|comments|commentlist|disqus|respond|reply|replies|feedback|discussion|guestbook)(?:$|[\s_-])")
+#: Words that name a wrapper and those that say where its columns are (fixed values).
+_WRAPPERS = set("page site wrapper wrap container layout body content main grid row columns outer inner".split())
+_SIDES = set("left right both none layout first second col cols column columns one two".split())
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _GOOD_WORD = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|article-body|post-content|entry-content)(?:$|[\s_-])")
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][\w:.-]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^>"'])*+|[^>]*)>""", re.S)
@@ -86,6 +106,7 @@ class Block:
     text: str
     words: int
     linked: int
+    #: While a page is read the number of the element around the block.
     mark: int
 
 
@@ -108,36 +129,83 @@ def _tokens(value: str) -> str:
     return " ".join(t for t in value.split() if re.split("[_-]", t, maxsplit=1)[0] not in _STATES or not re.search("[_-]", t))
 
 
+#: Grades of marks: by a tag, by a name, among comments.
+_TAG_MARK, _NAME_MARK, _COMMENTS = 2, 1, -3
+
+
+def _is_layout(words: str) -> bool:
+    """Whether a class names a wrapper and the sides of its columns, as in `page sidebar-left`."""
+    tokens = words.split()
+    return any(t in _WRAPPERS for t in tokens) and all(t in _WRAPPERS or not _BAD_WORD.search(t) or len(_SIDES.intersection(re.split("[_-]", t))) > 0 for t in tokens)
+
+
 def _mark(name: str, attrs: str, inside_content: bool) -> int:
-    """1 for an element that marks content, -1 for boilerplate, 0 if it says neither or both.
+    """What an element says of itself: 2 or -2 by its tag, 1 or -1 by a name, -3 for comments, 0 if it says neither or both.
 
-    Tags come first. A header inside content is the article's own. The id of a heading is made from its text and says nothing.
+    Tags come first, but an article of readers' comments. A header inside content is the article's own. The id of a heading is
+    made from its text and says nothing.
     """
-    if name in _CONTENT:
-        return 1
     if name in _BOILERPLATE or (name == "header" and not inside_content):
-        return -1
-    if not attrs or name in ("html", "body"):
-        return 0
-    good = bad = False
-    for m in _ATTR.finditer(attrs):
-        kind, words = m[1].lower(), _tokens((m[2] or m[3] or m[4] or "").lower())
-        if kind == "id" and name in _HEADINGS:
-            continue
-        for token in words.split():
-            b = _bad_inside(kind, token) if inside_content else bool(_BAD_WORD.search(token)) or (kind != "role" and "header" in re.split("[_-]", token))
-            g = bool(_GOOD_WORD.search(token))
-            if g and b:  # the last word says what it is: a social-post is a post, a post__share isn't
-                g = bool(_GOOD_WORD.fullmatch(re.split("[_-]", token)[-1]))
-                b = not g
-            good, bad = good or g, bad or b
-    return int(good) - int(bad)
+        return -_TAG_MARK
+    found = 0
+    if attrs and name not in ("html", "body"):
+        good = bad = comments = False
+        for m in _ATTR.finditer(attrs):
+            kind, words = m[1].lower(), _tokens((m[2] or m[3] or m[4] or "").lower())
+            if (kind == "id" and name in _HEADINGS) or (kind == "class" and _is_layout(words)):
+                continue
+            for token in words.split():
+                b = _bad_inside(kind, token) if inside_content else bool(_BAD_WORD.search(token)) or (kind != "role" and "header" in re.split("[_-]", token))
+                said = bool(_COMMENT.search(token))
+                if said and not b:  # such words of comments as the list of boilerplate lacks
+                    b = not inside_content or _COMMENT.fullmatch(token) is not None or token.split("-")[0] in ("reader", "readers", "user")
+                g = bool(_GOOD_WORD.search(token))
+                if g and b:  # the last word says what it is: a social-post is a post, a post__share isn't
+                    g = bool(_GOOD_WORD.fullmatch(re.split("[_-]", token)[-1]))
+                    b = not g
+                good, bad, comments = good or g, bad or b, comments or (said and b)
+        found = _COMMENTS if comments and not (good and name not in _CONTENT) else int(good) - int(bad)
+    if name in _CONTENT:
+        return _COMMENTS if found == _COMMENTS else _TAG_MARK
+    return found
+
+
+@dataclass
+class _Element:
+    name: str
+    attrs: str
+    parent: int
+    unread: bool
+    words: int = 0
+    heading: bool = False
+
+
+def _marks(elements: list[_Element]) -> list[int]:
+    """The mark of each element, in the order in which they begin: its own or that of what is around it."""
+    for e in reversed(elements[1:]):
+        around = elements[e.parent]
+        around.words += e.words
+        around.heading |= e.heading
+    out, content = [0], False
+    for e in elements[1:]:
+        around = out[e.parent]
+        own = _mark(e.name, e.attrs, around > 0)
+        if own == -_NAME_MARK and e.heading and 5 * e.words > 3 * elements[0].words:
+            own = 0  # most of the page with its main heading
+        if own == _TAG_MARK and around < 0 and content:
+            own = 0
+        elif own == _NAME_MARK and around < 0:
+            own = 0
+        content |= own == _TAG_MARK
+        out.append(own or around)
+    return [max(m, -_TAG_MARK) for m in out]
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in their order, markup, scripts, styles and form fields left out."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # open elements: name, the nearest mark, not to be read
+    elements = [_Element("", "", 0, False)]
+    stack = [0]  # open elements
     parts: list[tuple[str, bool]] = []
     links = 0
 
@@ -147,10 +215,11 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         if text:
             n = text.count(" ") + 1
-            out.append(Block(text, n, min(n, linked), stack[-1][1] if stack else 0))
+            out.append(Block(text, n, min(n, linked), stack[-1]))
+            elements[stack[-1]].words += n - min(n, linked)
 
     def say(text: str) -> None:
-        if text and not (stack and stack[-1][2]):
+        if text and not elements[stack[-1]].unread:
             parts.append((text, links > 0))
 
     at, end = 0, len(page)
@@ -175,20 +244,23 @@ def blocks(page: str) -> list[Block]:
         if name in _VOID or name in ("a", "p"):
             continue
         if m["end"]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            k = next((i for i in range(len(stack) - 1, 0, -1) if elements[stack[i]].name == name), None)
             if k is not None:
                 if name in _UNREAD:
                     parts.append((" ", False))
                 del stack[k:]
         elif name in _BREAKING or name in _UNREAD:
-            _, around, unread = stack[-1] if stack else ("", 0, False)
-            own = _mark(name, m["attrs"], around == 1)
             if not m["attrs"].endswith("/"):
-                stack.append((name, own or around, unread or name in _UNREAD))
+                around = stack[-1]
+                stack.append(len(elements))
+                elements.append(_Element(name, m["attrs"], around, elements[around].unread or name in _UNREAD, 0, name == "h1"))
             if name in _RAW:
                 close = re.compile(f"</{name}\\b", re.I).search(page, at)
                 at = close.start() if close else end
     flush()
+    marks = _marks(elements)
+    for b in out:
+        b.mark = marks[b.mark]
     return out
 
 

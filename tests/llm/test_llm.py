@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -555,6 +556,38 @@ def test_what_is_around_an_article_does_not_remove_it():
         assert html.main_text(f'<body><nav><a href="/">Home</a></nav><div {attrs}><p>{long}</p></div></body>', tree) == long.strip(), attrs
 
 
+def test_comments_and_frames_are_not_the_article():
+    tree = html.grown(html.LABELLED)
+    said = "A reader says a lot of things here, in many words and without any link at all."
+    frames = ['<section id="comments"><article class="comment"><p>{}</p></article></section>', '<div class="comments"><div class="post"><p>{}</p></div></div>', '<section class="reader-feedback"><p>{}</p></section>', '<section id="comments"><article><p>{}</p></article></section>',
+              '<aside><div class="entry"><p>{}</p></div></aside>', '<div role="dialog" class="gdpr-consent"><div class="content main"><p>{}</p></div></div>', '<div class="user-comments"><h1>Comments</h1><p>{}</p></div>']
+    for article in ("<article><h1>Title</h1><p>One two three.</p></article>", f'<div class="article-body"><h1>Title</h1><p>{"text " * 30}</p></div>'):
+        want = " ".join(re.sub("<[^>]+>", " ", article).split())
+        for frame in frames:
+            assert html.main_text(f'<body><nav><a href="/">Home</a></nav>{article}{frame.format(said)}<footer>End</footer></body>', tree) == want, frame
+
+
+def test_layout_words_on_wrappers():
+    tree = html.grown(html.LABELLED)
+    text = "<h1>The heading of it</h1>" + "".join(f"<p>{f'word{i} ' * 40}</p>" for i in range(4))
+    for wrapper in ('<div class="page sidebar-left"><div id="c">', '<div class="wrapper right-sidebar"><div>', '<div class="sidebar-wide"><div class="post-content">', '<div id="menu-page"><div>'):
+        page = f'<body><nav><a href="/">Home</a></nav>{wrapper}{text}</div></div><footer>End</footer></body>'
+        assert html.main_text(page, tree).split() == re.sub("<[^>]+>", " ", text).split(), wrapper
+    assert html.main_text("<p>Just one short line.</p>", tree) == "Just one short line."
+
+
+def test_features_decide_where_names_alone_mark(monkeypatch):
+    """Blocks decided against their mark: a long paragraph in a box named notice, a list of nothing but links in a post."""
+    tree = html.grown(html.LABELLED)
+    around = f"<p>{'one ' * 60}</p>"
+    notice = f'<div class="content"><h1>Head</h1>{around}<div class="notice"><p>{{}}</p></div>{around}</div>'
+    links = '<div class="post"><h1>Head</h1>' + around + "<ul>" + "".join(f'<li><a href="/{i}">Story number {i}</a></li>' for i in range(5)) + "</ul></div>"
+    marks = {b.text[:4]: b.mark for b in html.blocks(notice.format("two " * 200))}
+    assert marks == {"Head": 1, "one ": 1, "two ": -1}
+    assert "two" in html.main_text(notice.format("two " * 200), tree) and "two" not in html.main_text(notice.format("two " * 20), tree)
+    assert {b.mark for b in html.blocks(links)} == {1} and "number 2" not in html.main_text(links, tree) and "one" in html.main_text(links, tree)
+
+
 # 8
 
 
