@@ -186,17 +186,28 @@ def _marks(elements: list[_Element]) -> list[int]:
         around = elements[e.parent]
         around.words += e.words
         around.heading |= e.heading
-    out, content = [0], False
-    for e in elements[1:]:
+    out: list[int] = [0]
+    content: set[int] = set()
+
+    def elsewhere(e: _Element) -> bool:
+        """Whether content began before, in an element that isn't around this one."""
+        at, around = e.parent, 0
+        while at:
+            around += at in content
+            at = elements[at].parent
+        return len(content) > around
+
+    for i, e in enumerate(elements[1:], 1):
         around = out[e.parent]
         own = _mark(e.name, e.attrs, around > 0)
         if own == -_NAME_MARK and e.heading and 5 * e.words > 3 * elements[0].words:
             own = 0  # most of the page with its main heading
-        if own == _TAG_MARK and around < 0 and content:
+        if own == _TAG_MARK and around < 0 and elsewhere(e):
             own = 0
         elif own == _NAME_MARK and around < 0:
             own = 0
-        content |= own == _TAG_MARK
+        if own == _TAG_MARK or (own == _NAME_MARK and e.heading and e.words >= 20):
+            content.add(i)
         out.append(own or around)
     return [max(m, -_TAG_MARK) for m in out]
 

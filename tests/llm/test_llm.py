@@ -576,11 +576,11 @@ def test_layout_words_on_wrappers():
     assert html.main_text("<p>Just one short line.</p>", tree) == "Just one short line."
 
 
-def test_features_decide_where_names_alone_mark(monkeypatch):
+def test_features_decide_where_names_alone_mark():
     """Blocks decided against their mark: a long paragraph in a box named notice, a list of nothing but links in a post."""
     tree = html.grown(html.LABELLED)
     around = f"<p>{'one ' * 60}</p>"
-    notice = f'<div class="content"><h1>Head</h1>{around}<div class="notice"><p>{{}}</p></div>{around}</div>'
+    notice = f'<div class="post-content"><h1>Head</h1>{around}<div class="notice"><p>{{}}</p></div>{around}</div>'
     links = '<div class="post"><h1>Head</h1>' + around + "<ul>" + "".join(f'<li><a href="/{i}">Story number {i}</a></li>' for i in range(5)) + "</ul></div>"
     marks = {b.text[:4]: b.mark for b in html.blocks(notice.format("two " * 200))}
     assert marks == {"Head": 1, "one ": 1, "two ": -1}
