@@ -8,6 +8,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -67,15 +68,37 @@ def changed_tables(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, TABLE_KEY).where("_a <> _b").select(*TABLE_KEY)
 
 
+def _hashed(columns: DataFrame) -> Column:
+    """A 64-bit hash of a column's definition with its ordinal. Hashes skip nulls, so where these are is hashed as well."""
+    fields = ["ordinal", *T.EQUAL_FIELDS]
+    nulls = reduce(lambda x, y: x + y, [F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(fields)])
+    return F.xxhash64(*fields, nulls)
+
+
+def suspects(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Tables on both sides whose columns may differ: all that do, and those where only ordinals have other gaps.
+
+    One aggregate over both sides, combined before its shuffle; nothing is sorted. Stored. The columns of the other tables
+    needn't be looked at.
+    """
+    sides = [definitions(s).select(*TABLE_KEY, _hashed(s).alias("_h"), F.lit(i).alias("_side")) for i, s in enumerate((a, b))]
+    of = lambda i, c: F.when(F.col("_side") == i, c)
+    facts = [x.alias(f"_{n}{i}") for i in (0, 1) for n, x in (("x", F.bit_xor(of(i, F.col("_h")))), ("n", F.count(of(i, F.lit(1)))))]
+    tables = sides[0].unionByName(sides[1]).groupBy(*TABLE_KEY).agg(*facts)
+    return stored(tables.where("_n0 > 0 and _n1 > 0 and (_n0 <> _n1 or _x0 <> _x1)").select(*TABLE_KEY))
+
+
 def compared_columns(a: DataFrame, b: DataFrame) -> DataFrame:
     """What is needed to name each change of the columns of tables on both sides, stored: a row for each column that only one side
     has or that differs, and for each column of a table whose common columns changed their order.
 
     TABLE_KEY, column_name, old and new (definitions, null where a side lacks the column), old_rank and new_rank among the
     common columns, first and after (the place in the wanted order), inside (a column that exists follows there), equal,
-    reordered. Both sides go through one shuffle by table; what follows groups and ranks within it.
+    reordered. Tables that may differ go through one shuffle by table; what follows groups and ranks within it.
     """
     a, b = definitions(a), definitions(b)
+    tables = suspects(a, b)
+    a, b = a.join(tables, TABLE_KEY, "left_semi"), b.join(tables, TABLE_KEY, "left_semi")
     fields = [c for c in b.columns if c not in TABLE_KEY]
     none = F.lit(None).cast(b.select(F.struct(*fields).alias("s")).schema["s"].dataType)
     sides = a.select(*COLUMN_KEY, F.struct(*fields).alias("old"), none.alias("new")).unionByName(b.select(*COLUMN_KEY, none.alias("old"), F.struct(*fields).alias("new")))
@@ -92,9 +115,9 @@ def compared_columns(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _of_both(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The column definitions of the tables that differ, on both sides. They are stored: every kind of change reads them."""
+    """The column definitions of the tables that may differ, on both sides. They are stored: every kind of change reads them."""
     a, b = definitions(a), definitions(b)
-    changed = stored(changed_tables(a, b))
+    changed = suspects(a, b)
     return stored(a.join(changed, TABLE_KEY, "left_semi")), stored(b.join(changed, TABLE_KEY, "left_semi"))
 
 
@@ -550,18 +573,23 @@ def drift(columns: DataFrame) -> DataFrame:
     fields that the fingerprint doesn't cover are told apart by the hash of the whole definition in its place. A table's
     variants are counted before they are ranked, so a window holds the variants of a table, not its shards.
     """
-    prints = fingerprints(columns)
+    columns = definitions(columns)
+    made = stored(columns.select(*TABLE_KEY, _hashed(columns).alias("_h")).groupBy(*TABLE_KEY).agg(F.bit_xor("_h").alias("_h"), F.count("*").alias("_n")))
+    key = ["table_name", "_h", "_n"]
+    # A shard stands for each variant; only its definition is written out, sorted and hashed at length.
+    variants = stored(made.groupBy(*key).agg(F.count("*").alias("_shards"), F.min("schema_name").alias("schema_name")))
+    texts = fingerprints(columns.join(variants.select(*TABLE_KEY), TABLE_KEY, "left_semi")).withColumnRenamed("fingerprint", "_print")
+    variants = stored(variants.join(texts, TABLE_KEY).drop("schema_name"))
     variant = ["table_name", "_print", "definition"]
-    prints = prints.withColumnRenamed("fingerprint", "_print")
-    counts = prints.groupBy(*variant).agg(F.count("*").alias("shards"))
+    counts = variants.groupBy(*variant).agg(F.sum("_shards").alias("shards"))
     alone = F.count("*").over(Window.partitionBy("table_name", "_print")) == 1
     shown = counts.withColumn("fingerprint", F.when(alone, F.col("_print")).otherwise(F.col("definition")))
     order = Window.partitionBy("table_name").orderBy(F.desc("shards"), "fingerprint")
     ranked = shown.withColumn("_r", F.row_number().over(order))
     usual = ranked.where("_r = 1").select("table_name", F.col("fingerprint").alias("majority"))
     # Stored, so that the shards' side of the join below is a plain shuffle that can be split where a variant is frequent.
-    odd = stored(ranked.where("_r > 1").join(usual, "table_name"))
-    return prints.join(odd, variant).select(*TABLE_KEY, "fingerprint", "shards", "majority")
+    odd = stored(variants.join(ranked.where("_r > 1").join(usual, "table_name"), variant).select(*key, "fingerprint", "shards", "majority"))
+    return made.join(odd, key).select(*TABLE_KEY, "fingerprint", "shards", "majority")
 
 
 def history(snapshots: DataFrame) -> DataFrame:

@@ -148,7 +148,10 @@ INSTANCES = "SELECT CAST(n_nationkey AS VARCHAR(20)) AS instance, concat('dir',
 
 
 def derived(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
+    """The catalog of a statement. A customer becomes up to a hundred rows: customers are dealt to all cores before."""
     names = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation") if f"{{{t}}}" in statement}
+    if "customer" in names:
+        names["customer"] = names["customer"].select("c_custkey").repartition(spark.sparkContext.defaultParallelism)
     return spark.sql(statement, **names)
 
 
