@@ -323,7 +323,9 @@ def index_attributes() -> Column:
     pairs = F.map_from_entries(F.transform(given, lambda p: F.struct(F.upper(F.substring_index(p, "=", 1)).alias("k"), F.lower(F.regexp_replace(p, "^[^=]*=?", "")).alias("v"))))
     usual = F.create_map(*[F.lit(x) for kv in VECTOR_DEFAULTS.items() for x in kv])
     both = F.when(F.upper("index_type") == "VECTOR", F.map_zip_with(usual, pairs, lambda k, u, v: F.coalesce(v, u))).otherwise(pairs)
-    return F.array_sort(F.transform(F.map_entries(both), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    texts = F.array_sort(F.transform(F.map_entries(both), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    none = (F.coalesce("attributes", F.lit("")) == "") & (F.upper(F.coalesce("index_type", F.lit(""))) != "VECTOR")
+    return F.when(none, F.array().cast("array<string>")).otherwise(texts)
 
 
 def signature() -> Column:

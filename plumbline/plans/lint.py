@@ -8,7 +8,7 @@ allow-lists are policy, given by the caller.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import types as T
 from plumbline.plans.diff import COLUMN_KEY, clustered_key, index_attributes
 from plumbline.sources.catalog import TABLE_KEY, definitions
-from plumbline.sources.staging import once_a_value
+from plumbline.sources.staging import once_a_value, stored
 
 
 @dataclass
@@ -336,6 +336,9 @@ def lint(cat: Catalog, opts: Options | None = None, only: DataFrame | None = Non
     active = [n for n in rules() if opts.severity(n) != "ignore"]
     by_kind = {k: [n for n in active if _RULES[n].kind == k] for k in ("column", "table", "plan")}
     on_tables = {n: _RULES[n].decide(opts) for n in by_kind["table"]} | {n: f(opts) for n, f in _TABLE_PARTS.items() if n in active}
+    # Several rules look at indexes, and some compare them with each other: they are put together once.
+    if cat.indexes is not None and len({"dupe-index", "fk-parent", "pk", "pk-type"} & set(active)) > 1:
+        cat = replace(cat, indexes=stored(cat.indexes))
     parts = []
     if by_kind["column"]:
         parts.append(_of_columns(cat, opts, by_kind["column"]))
