@@ -777,6 +777,23 @@ def test_stages_on_awkward_rows(name, spark, odd, empty, sf_dir):
     assert STAGES[name](spark, empty, sf_dir).collect() == []
 
 
+def test_encode_stage_on_awkward_rows(spark, odd, empty, sf_dir):
+    """A row for each row of the input, repeated ones too; null texts are empty; other columns are ignored."""
+    import tiktoken
+
+    import corpus_pipeline
+    import public_tokenizers
+
+    tokenizer = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(_vocabulary()), special_tokens={})
+    got = sorted((tuple(r) for r in corpus_pipeline.encode(spark, clashing(odd), sf_dir).collect()), key=str)
+    want = []
+    for i, text, _, source, _ in awkward():
+        ids = tokenizer.encode_ordinary(text or "")
+        want.append((i, source, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+    assert got == sorted(want, key=str)
+    assert corpus_pipeline.encode(spark, empty, sf_dir).collect() == []
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage against brute force on its own input; the last against tiktoken."""
     import public_tokenizers
