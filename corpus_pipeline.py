@@ -12,7 +12,11 @@ from plumbline.llm import bpe, common, mixing, quality, simhash, substring
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage: doc_id and source with the ids of the byte-level BPE, their count and the digests of ids and decoded bytes."""
+    """Last stage: doc_id and source with the count of the ids of the byte-level BPE and the digests of ids and decoded bytes.
+
+    A row for each row of docs: null and repeated ids and repeated rows stay as they are. A null text is encoded as an empty
+    one. All other columns are left out, whatever their names.
+    """
     import public_tokenizers
 
     return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("doc_id", "source"), digest=True)
