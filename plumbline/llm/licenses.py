@@ -14,6 +14,7 @@ are read with it. Everything happens within a row: no shuffle, and the tables of
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -132,9 +133,9 @@ RULES: list[tuple[str, tuple[int, ...]]] = [
     ("EUPL-1.2", (104,)),
     ("GFDL-1.2-or-later", (120,)),
     ("GFDL-1.3-or-later", (119,)),
-    ("GPL-2.0-or-later", (23, 22)),
+    ("GPL-2.0-or-later", (23, 22)), ("GPL-2.0-or-later", (23,)),
     ("GPL-3.0-only", (20,)),
-    ("GPL-3.0-or-later", (21, 22)),
+    ("GPL-3.0-or-later", (21, 22)), ("GPL-3.0-or-later", (21,)),
     ("ISC", (70,)),
     ("ISC", (71,)),
     ("ISC", (72,)),
@@ -174,7 +175,7 @@ CONTAINS = [
 
 
 def _families() -> None:
-    """Sentences and rules of licences whose notices differ only in name and version: GNU's and Creative Commons'."""
+    """Sentences and rules that differ only in name and version: notices of GNU's and Creative Commons' licences, tags, read-me files."""
     number = 200
     names = {"GPL": "general public license", "LGPL": "lesser general public license", "AGPL": "affero general public license"}
     what = "free software you can redistribute it and or modify it under the terms of the gnu"
@@ -198,6 +199,18 @@ def _families() -> None:
                 SENTENCES[number] = sentence
                 RULES.append((f"CC-{short}-{version.replace(' ', '.')}", (number,)))
                 number += 1
+    # Tags of source files. The colon ends a sentence, over which a known one may go on.
+    for name in sorted({n for n, _ in RULES}):
+        SENTENCES[number] = f"spdx license identifier {' '.join(re.findall('[a-z0-9]+', name.lower()))}"
+        RULES.append((name, (number,)))
+        number += 1
+    # What read-me files say.
+    for spoken, name in (("mit", "MIT"), ("apache", "Apache-2.0"), ("apache 2 0", "Apache-2.0"), ("isc", "ISC"), ("bsd 3 clause", "BSD-3-Clause"), ("bsd 2 clause", "BSD-2-Clause"), ("mozilla public", "MPL-2.0")):
+        for file in ("license", "license md", "license txt", "copying"):
+            for ending in (f"see the {file} file for details", f"see the {file} file"):
+                SENTENCES[number] = f"this project is licensed under the {spoken} license {ending}"
+                RULES.append((name, (number,)))
+                number += 1
 
 
 _families()
@@ -218,6 +231,11 @@ class Catalogue:
     contains: list[tuple[str, str]] = field(default_factory=lambda: CONTAINS)
     hints: tuple[str, ...] = HINTS
 
+    def all_hints(self) -> list[str]:
+        """The hints, and the longest word of each sentence that has none of them: no known sentence is passed over."""
+        more = {max(s.split(), key=lambda w: (len(w), w)) for s in self.sentences.values() if not any(h in s for h in self.hints)}
+        return [*self.hints, *sorted(more)]
+
 
 def marked(text: Column) -> Column:
     """The normalised text with " | " between sentences, at its start and at its end.
@@ -267,7 +285,7 @@ def identifiers(text: Column, catalogue: Catalogue) -> Column:
     known = F.create_map(*[x for i, s in catalogue.sentences.items() for x in (F.lit(s), F.lit(i))])
     found = F.regexp_extract_all(marked(text), F.lit(_pattern(catalogue)), F.lit(0))
     ids = F.transform(found, lambda s: F.try_element_at(known, F.regexp_replace(s, r" \|", "")))
-    return F.when(text.rlike(f"(?i){'|'.join(catalogue.hints)}"), ids).otherwise(F.array().cast("array<int>"))
+    return F.when(text.rlike(f"(?i){'|'.join(map(re.escape, catalogue.all_hints()))}"), ids).otherwise(F.array().cast("array<int>"))
 
 
 def licences(ids: Column, catalogue: Catalogue) -> Column:

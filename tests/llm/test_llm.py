@@ -355,6 +355,26 @@ def test_short_sentences_of_licences_stand_alone(spark):
     assert [r["sentence_ids"] for r in got] == [""] * len(texts)
 
 
+def test_tags_and_single_notices(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version."
+    texts = {
+        "# SPDX-License-Identifier: MIT\nimport os\n": "MIT", "/* SPDX-License-Identifier: Apache-2.0 */": "Apache-2.0", "// SPDX-License-Identifier: GPL-3.0-or-later\nint x;": "GPL-3.0-or-later", "SPDX-License-Identifier: of another kind": "",
+        gpl.format(3): "GPL-3.0-or-later", gpl.format(2): "GPL-2.0-or-later", "## License\n\nThis project is licensed under the MIT License - see the [LICENSE](LICENSE) file for details.\n": "", "This project is licensed under the MIT License - see the LICENSE file for details.": "MIT",
+        "This project is licensed under the Apache License; see the LICENSE.txt file.": "Apache-2.0", "mit": "", "The MIT took it over.": "",
+    }
+    got = licenses.scanned(spark.createDataFrame(list(texts.items()), "text string, want string"), keep=("text", "want")).collect()
+    assert [(r["text"], r["licences"]) for r in got if r["licences"] != r["want"]] == []
+
+
+def test_sentences_of_a_caller_have_hints(spark):
+    """A catalogue whose sentences have none of the usual hints still finds them, in any case and over ends of lines."""
+    own = licenses.Catalogue({1: "you may do with this as you please", 2: "the house rules apply"}, [("Own", (1,)), ("House", (2,))], [])
+    assert set(own.all_hints()) - set(licenses.HINTS) == {"please", "rules"}
+    df = spark.createDataFrame([(1, "You may do with this\nas you PLEASE."), (2, "x\nThe house rules apply!\ny"), (3, "nothing"), (4, None)], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["licences"] for r in licenses.scanned(df, catalogue=own).collect()} == {1: "Own", 2: "House", 3: "", 4: ""}
+    assert licenses.Catalogue().all_hints() == list(licenses.HINTS)
+
+
 def test_shards_fit(spark, odd):
     rng = random.Random(2)
     rows = [(i if i % 3 else 7, "x" * rng.randrange(200)) for i in range(4000)] + [(9001, "y" * 5000), (None, "z" * 10)]
