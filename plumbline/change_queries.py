@@ -21,6 +21,7 @@ from plumbline.plans import safety as U
 from plumbline.sources import catalog as S
 from plumbline.sources import fleet as X
 from plumbline.sources.staging import shared_dir, stored
+from plumbline.streaming.keys import unique_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -286,3 +287,18 @@ def fleet_plan_resumed(spark, d):
     errors = customers.where("c_acctbal < -900 AND shard % 4 = 1").groupBy("shard").agg(F.count("*").alias("n_errors"))
     plan = resumed_plan(spark.read.parquet(path), "shard", changes, 2000, first, errors)
     return plan.select("shard", "clause", "rows_affected", "rows_total", "n_bytes", "n_errors", "skipped", "scanned")
+
+
+# Keys of a stream
+
+
+@query("key_stream_lineitem", "SELECT l_linenumber, count(DISTINCT l_orderkey) AS kept, count(*) - count(DISTINCT l_orderkey) AS quarantined FROM lineitem GROUP BY 1")
+def key_stream_lineitem(spark, d):
+    """The lines as a stream of six files, two a batch, with the key of order and line number."""
+    base = f"{shared_dir(spark).rstrip('/')}/plumbline-{uuid.uuid4().hex}"
+    lines = _t(spark, d, "lineitem")
+    lines.repartition(6).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    unique_stream(stream, ["l_orderkey", "l_linenumber"], ["l_shipdate"], f"{base}/kept", f"{base}/rest", f"{base}/seen", f"{base}/checkpoint").awaitTermination()
+    verdicts = spark.read.parquet(f"{base}/kept").select("l_linenumber", F.lit(1).alias("k")).unionByName(spark.read.parquet(f"{base}/rest").select("l_linenumber", F.lit(0).alias("k")))
+    return verdicts.groupBy("l_linenumber").agg(F.sum("k").alias("kept"), F.sum(1 - F.col("k")).alias("quarantined"))

@@ -101,3 +101,43 @@ def test_a_plan_scans_what_changed(spark, tmp_path):
     assert {(r["shard"], r["scanned"], r["rows_total"], r["rows_affected"], r["skipped"]) for r in second} == {(0, False, 30, 0, False), (1, True, 31, 1, True), (2, False, 30, 0, True)}
     other = resumed_plan(read(), "shard", [ColumnChange("x", "int(11)", "smallint(6)")], 0, first).collect()
     assert all(r["scanned"] for r in other) and len(other) == 3
+
+
+KEYED = "k int, l string, t timestamp, n int"
+
+
+def test_second_rows_of_keys_are_quarantined(spark, tmp_path):
+    """Any split into batches and a restart in between give as many kept and quarantined rows as one check of the whole."""
+    from datetime import datetime, timedelta
+
+    from plumbline.operators.relational import key_violations
+    from plumbline.streaming.keys import unique_stream
+
+    rng = random.Random(11)
+    start = datetime(2024, 1, 1)
+    rows = [(rng.choice([None, 1, *range(40)]), rng.choice([None, "a", "b"]), start + timedelta(days=i // 20), i) for i in range(200)]
+    files = [rows[:1], rows[1:90], rows[90:91], rows[91:]]
+
+    def run(name, primary, **more):
+        base = tmp_path / name
+        for part in (files[:2], files[2:]):
+            for f in part:
+                spark.createDataFrame(f, KEYED).coalesce(1).write.mode("append").parquet(str(base / "in"))
+            stream = spark.readStream.schema(KEYED).option("maxFilesPerTrigger", 1).parquet(str(base / "in"))
+            unique_stream(stream, ["k", "l"], ["n"], *[str(base / x) for x in ("kept", "rest", "seen", "checkpoint")], primary=primary, **more).awaitTermination()
+        return [spark.read.parquet(str(base / x)) for x in ("kept", "rest")]
+
+    whole = spark.createDataFrame(rows, KEYED)
+    for primary in (False, True):
+        kept, rest = run(f"p{primary}", primary)
+        want = key_violations(whole, ["k", "l"], primary).first()
+        reasons = {r["reason"]: r["count"] for r in rest.groupBy("reason").count().collect()}
+        assert reasons.get("repeated key", 0) == want["surplus_rows"] and reasons.get("null key", 0) == want["null_rows"]
+        assert kept.count() + rest.count() == len(rows)
+        first = {}
+        for k, lo, _, n in rows:
+            if k is not None and lo is not None:
+                first.setdefault((k, lo), n)
+        assert {(r["k"], r["l"]): r["n"] for r in kept.where("k is not null and l is not null").collect()} == first
+    forgetful, _ = run("expiry", False, at="t", expiry="2 days")
+    assert forgetful.count() > kept.count()
