@@ -7,11 +7,13 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline import change_queries
 from plumbline.operators import partitions as P
 from plumbline.operators import sketches as H
 from plumbline.operators.checks import ColumnChange
 from plumbline.operators.conform import resumed_plan
 from plumbline.plans import diff as D
+from tests.helpers import rows_of, rows_of_sql
 
 
 def lower(row, bound):
@@ -141,3 +143,9 @@ def test_second_rows_of_keys_are_quarantined(spark, tmp_path):
         assert {(r["k"], r["l"]): r["n"] for r in kept.where("k is not null and l is not null").collect()} == first
     forgetful, _ = run("expiry", False, at="t", expiry="2 days")
     assert forgetful.count() > kept.count()
+
+
+@pytest.mark.parametrize("name", list(change_queries.QUERIES))
+def test_sql(spark, sf_dir, duck, name):
+    got = rows_of(change_queries.QUERIES[name](spark, sf_dir))
+    assert got == rows_of_sql(duck, change_queries.ORACLES[name]) and got[1]
