@@ -164,14 +164,14 @@ def fleet_verify_broken(spark, d):
     changes = D.column_changes(a, b)
     wrong = (F.col("clause") == "modify column") & (F.pmod(F.col("schema_name").cast("int"), F.lit(3)) == 0)
     broken = changes.withColumn("new", F.when(wrong, F.col("new").withField("comment", F.lit("wrong"))).otherwise(F.col("new")))
-    return D.verify(a, b, broken).groupBy(*D.COLUMN_KEY, "problem").agg(F.count("*").alias("n"))
+    return D.verify(a, b, broken, X.partitions(spark, d)).groupBy(*D.COLUMN_KEY, "problem").agg(F.count("*").alias("n"))
 
 
 def _intervals(spark: SparkSession, d: str) -> DataFrame:
     a, b = columns(spark, d)
-    out = stored(D.opened(a, 1))
+    out = D.opened(a, 1)
     for n, snapshot in ((2, b), (3, a.where("ordinal % 5 <> 3"))):
-        out = stored(D.merged(out, snapshot, n))
+        out = D.merged(out, snapshot, n)
     return out
 
 

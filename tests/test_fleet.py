@@ -24,3 +24,41 @@ def test_a_display_width_under_lax_comments(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW customer AS SELECT * FROM '{d}/customer.parquet/*.parquet'")
     assert keys and rows_of(entry.queries()["fleet_modifiers"](spark, d)) == rows_of_sql(con, entry.oracle_sql()["fleet_modifiers"])
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["fleet_column_drops", "fleet_column_adds", "fleet_column_diff", "fleet_history", "fleet_history_merged", "fleet_table_diff", "fleet_attr_diff"])
+def test_sides_are_compared_within_shards(spark, tmp_path, name):
+    """Catalogs are dealt by shard once, as customers; nothing that is derived from them is shuffled. (Of very few customers Spark
+    would broadcast these.)"""
+    plan = plan_of(entry.queries()[name](spark, shards(spark, tmp_path, range(20_000))))
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_tasks_do_not_grow_with_the_fleet(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "SHARDS_A_TASK", 10)
+    d = shards(spark, tmp_path, range(500))
+    assert X.derived(spark, d, X.DESIRED_TABLES).rdd.getNumPartitions() == X.partitions(spark, d) == 50
+
+
+def test_orders_are_replayed_without_groups_in_pandas(spark, sf_dir, monkeypatch):
+    """A group in pandas for each table took milliseconds a table: 90,000 shards didn't end in time."""
+    from pyspark.sql import GroupedData
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda *a, **k: pytest.fail("a pandas frame for each table"))
+    assert entry.queries()["fleet_verify"](spark, sf_dir).first()[0] == 0
+
+
+def test_verification_counts_each_wrong_change(spark):
+    kind = "schema_name string, table_name string, column_name string, ordinal int, column_type string"
+    a = spark.createDataFrame([("s", "t", "a", 1, "int"), ("s", "t", "b", 2, "int"), ("s", "gone", "a", 1, "int")], kind)
+    b = spark.createDataFrame([("s", "t", "a", 1, "text"), ("s", "t", "b", 2, "int"), ("s", "t", "c", 3, "int")], kind)
+    changes = D.column_changes(a, b)
+    found = lambda c: sorted((r["column_name"], r["problem"]) for r in D.verify(a, b, c).collect())
+    assert found(changes) == [] and found(changes.where("member <> 'a'")) == [("a", "definition")] * 2
+    assert found(changes.unionByName(changes.where("member = 'a'"))) == [("a", "definition")]
+    assert found(changes.where("member <> 'c'")) == [("c", "definition")]
+    assert found(changes.withColumn("member", changes["member"].substr(1, 0))) and D.misplaced([{"column_name": "a", "old_at": 1, "new_at": 2, "steps": []}, {"column_name": "b", "old_at": 2, "new_at": 1, "steps": []}]) == ["b", "a"]
