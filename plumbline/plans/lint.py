@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import types as T
-from plumbline.plans.diff import COLUMN_KEY, clustered_key, index_attributes
+from plumbline.plans.diff import COLUMN_KEY, clustered_key, existence, index_attributes
 from plumbline.sources.catalog import TABLE_KEY, definitions
-from plumbline.sources.staging import once_a_value, stored
+from plumbline.sources.staging import once_a_value
 
 
 @dataclass
@@ -102,7 +102,9 @@ def _on_tables(found: DataFrame, member: str | Column = "") -> DataFrame:
 
 
 def _typed(cat: Catalog) -> DataFrame:
-    return once_a_value(definitions(cat.columns), "column_type", "_t", T.type_struct("column_type"))
+    """Definitions with their parsed types, which `lint` adds for all rules at once."""
+    given = cat.columns if "_t" in cat.columns.columns else once_a_value(cat.columns, "column_type", "_t", T.type_struct("column_type"))
+    return definitions(given)
 
 
 @rule("auto-inc", "warning", ["int unsigned", "bigint unsigned"], kind="column")
@@ -183,20 +185,25 @@ def _dupe_index(cat: Catalog, opts: Options) -> DataFrame | None:
         return None
     facts = ["index_name", "is_primary", "is_unique", "index_type", "invisible", "ordinal", "parts", "parser"]
     full = cat.indexes.withColumns({c: F.lit("") for c in ("parser", "attributes") if c not in cat.indexes.columns})
-    side = lambda n: full.select(*TABLE_KEY, F.struct(*facts, index_attributes().alias("attributes")).alias(n))
-    both = side("a").join(side("b"), TABLE_KEY).where("a.index_name <> b.index_name")
-    a, b = F.col("a"), F.col("b")
+    # The indexes of a table are one group; pairs are looked at inside it.
+    listed = full.groupBy(*TABLE_KEY).agg(F.collect_list(F.struct(*facts, index_attributes().alias("attributes"))).alias("_all")).where(F.size("_all") > 1)
+    a = F.col("a")
     shape = lambda p: F.struct(p["column_name"], p["expression"], p["prefix_length"], p["descending"])
-    same = F.transform(a["parts"], shape) == F.transform(b["parts"], shape)
     alike_part = lambda x, y: (x["column_name"] == y["column_name"]) & (x["expression"] == y["expression"]) & (x["descending"] == y["descending"])
     no_longer = lambda x, y: (y["prefix_length"] == 0) | ((x["prefix_length"] > 0) & (x["prefix_length"] <= y["prefix_length"]))
-    fits = F.forall(F.zip_with(a["parts"], F.slice(b["parts"], 1, F.greatest(F.size(a["parts"]), F.lit(1))), lambda x, y: alike_part(x, y) & no_longer(x, y)), lambda ok: F.coalesce(ok, F.lit(False)))
-    starts = (F.size(a["parts"]) <= F.size(b["parts"])) & fits & ((a["index_type"] != "FULLTEXT") | (F.size(a["parts"]) == F.size(b["parts"])))
-    same_attributes = a["attributes"] == b["attributes"]
-    shaped = F.when(a["is_unique"] & b["is_unique"], same).when(a["index_type"] == "VECTOR", same & same_attributes).otherwise(starts)
-    kinds = ~a["is_primary"] & ~(a["is_unique"] & ~b["is_unique"]) & (a["index_type"] == b["index_type"]) & a["parser"].eqNullSafe(b["parser"]) & (a["invisible"] | ~b["invisible"])
-    alike = same & same_attributes & (a["is_unique"] == b["is_unique"]) & (a["invisible"] == b["invisible"]) & ~b["is_primary"]
-    found = both.where(kinds & shaped).where(~alike | (a["ordinal"] > b["ordinal"]) | ((a["ordinal"] == b["ordinal"]) & (a["index_name"] > b["index_name"])))
+
+    def redundant(b: Column) -> Column:
+        same = F.transform(a["parts"], shape) == F.transform(b["parts"], shape)
+        fits = F.forall(F.zip_with(a["parts"], F.slice(b["parts"], 1, F.greatest(F.size(a["parts"]), F.lit(1))), lambda x, y: alike_part(x, y) & no_longer(x, y)), lambda ok: F.coalesce(ok, F.lit(False)))
+        starts = (F.size(a["parts"]) <= F.size(b["parts"])) & fits & ((a["index_type"] != "FULLTEXT") | (F.size(a["parts"]) == F.size(b["parts"])))
+        same_attributes = a["attributes"] == b["attributes"]
+        shaped = F.when(a["is_unique"] & b["is_unique"], same).when(a["index_type"] == "VECTOR", same & same_attributes).otherwise(starts)
+        kinds = (a["index_name"] != b["index_name"]) & ~(a["is_unique"] & ~b["is_unique"]) & (a["index_type"] == b["index_type"]) & a["parser"].eqNullSafe(b["parser"]) & (a["invisible"] | ~b["invisible"])
+        alike = same & same_attributes & (a["is_unique"] == b["is_unique"]) & (a["invisible"] == b["invisible"]) & ~b["is_primary"]
+        later = (a["ordinal"] > b["ordinal"]) | ((a["ordinal"] == b["ordinal"]) & (a["index_name"] > b["index_name"]))
+        return F.coalesce(kinds & shaped & (~alike | later), F.lit(False))
+
+    found = listed.select(*TABLE_KEY, F.explode(F.filter("_all", lambda x: ~x["is_primary"])).alias("a"), "_all").where(F.exists("_all", redundant))
     names = found.select(*TABLE_KEY, F.col("a.index_name").alias("index_name"))
     if opts.spatial_needs_srid and "srid" in cat.columns.columns:
         spatial = full.where("index_type = 'SPATIAL'").select(*TABLE_KEY, "index_name", F.explode("parts.column_name").alias("column_name"))
@@ -216,13 +223,16 @@ def _fk_parent(cat: Catalog, opts: Options) -> DataFrame | None:
         return None
     own = cat.foreign_keys.where(F.col("parent_schema").isNull() | (F.col("parent_schema") == F.col("schema_name")))
     keys = own.withColumn("_cols", F.concat_ws(",", "parent_columns"))
-    tables = cat.tables.select("schema_name", F.col("table_name").alias("parent_table"))
-    missing = keys.join(tables, ["schema_name", "parent_table"], "left_anti")
-    there = keys.join(tables, ["schema_name", "parent_table"], "left_semi")
+    parent = ["schema_name", "parent_table"]
+    tables = cat.tables.select("schema_name", F.col("table_name").alias("parent_table"), F.lit(True).alias("_there"))
     unique = cat.indexes.where("is_unique").where(~F.exists("parts", lambda p: (p["prefix_length"] > 0) | (p["expression"] != ""))) if cat.indexes is not None else None
+    rows = keys.select(*parent, "_cols", "table_name", "fk_name").unionByName(tables, allowMissingColumns=True)
+    missing = ~F.coalesce(F.max("_there").over(Window.partitionBy(*parent)), F.lit(False))
     if unique is not None:
-        exact = unique.select("schema_name", F.col("table_name").alias("parent_table"), F.array_join(F.transform("parts", lambda p: p["column_name"]), ",").alias("_cols")).distinct()
-        missing = missing.unionByName(there.join(exact, ["schema_name", "parent_table", "_cols"], "left_anti"))
+        exact = unique.select("schema_name", F.col("table_name").alias("parent_table"), F.array_join(F.transform("parts", lambda p: p["column_name"]), ",").alias("_cols"), F.lit(True).alias("_exact"))
+        rows = rows.unionByName(exact, allowMissingColumns=True)
+        missing = missing | ~F.coalesce(F.max("_exact").over(Window.partitionBy(*parent, "_cols")), F.lit(False))
+    missing = rows.withColumn("_missing", missing).where("fk_name is not null and _missing")
     return _on_tables(missing, "fk_name")
 
 
@@ -275,7 +285,7 @@ def _nullable(opts: Options) -> Column:
 def _pk(cat: Catalog, opts: Options) -> DataFrame | None:
     if cat.indexes is None:
         return None
-    return _on_tables(cat.tables.join(cat.indexes.where("is_primary").select(*TABLE_KEY), TABLE_KEY, "left_anti"))
+    return _on_tables(existence(cat.indexes.where("is_primary"), cat.tables, TABLE_KEY).where("change = 'create'"))
 
 
 @rule("pk-type", "ignore", ["tinyint", "smallint", "mediumint", "int", "bigint", "binary", "varbinary"])
@@ -284,7 +294,8 @@ def _pk_type(cat: Catalog, opts: Options) -> DataFrame | None:
     if cat.indexes is None:
         return None
     parts = cat.indexes.where("is_primary").select(*TABLE_KEY, F.posexplode("parts").alias("pos", "p")).select(*TABLE_KEY, "pos", F.col("p.column_name").alias("column_name"))
-    bad = parts.join(_typed(cat), COLUMN_KEY).where(~F.col("_t.base").isin(*opts.allowed("pk-type")))
+    wrong = _typed(cat).where(~F.col("_t.base").isin(*opts.allowed("pk-type"))).select(*COLUMN_KEY, F.lit(True).alias("_wrong"))
+    bad = parts.unionByName(wrong, allowMissingColumns=True).groupBy(*COLUMN_KEY).agg(F.min("pos").alias("pos"), F.max("_wrong").alias("_wrong")).where("pos is not null and _wrong")
     return _on_tables(once_a_table(bad, "pos"), "column_name")
 
 
@@ -321,12 +332,13 @@ def _scanned(rows: DataFrame, member: Column, conditions: dict[str, Column], opt
 def _of_columns(cat: Catalog, opts: Options, names: list[str]) -> DataFrame:
     rows = _typed(cat)
     if {"auto-inc", "charset"} & set(names):
+        # The row of the table itself stands beside its columns: one window over both.
         tables = cat.tables.select(*TABLE_KEY, F.col("table_collation").alias("_table_collation"), F.col("next_auto_inc").alias("_next_auto_inc"), F.lit(True).alias("_in_table"))
-        rows = rows.join(tables, TABLE_KEY, "left").withColumn("_in_table", F.coalesce("_in_table", F.lit(False)))
-        if "auto-inc" in names:
-            # Auto-increment columns are few; only they are ranked.
-            first = T.first_by(definitions(cat.columns).where("auto_inc"), TABLE_KEY, "ordinal").select(*COLUMN_KEY, F.lit(True).alias("_first_auto_inc"))
-            rows = rows.join(first, COLUMN_KEY, "left").withColumn("_first_auto_inc", F.coalesce("_first_auto_inc", F.lit(False)))
+        table = Window.partitionBy(*TABLE_KEY)
+        facts = {c: F.max(c).over(table) for c in ("_table_collation", "_next_auto_inc")} | {"_in_table": F.coalesce(F.max("_in_table").over(table), F.lit(False))}
+        first = F.min(F.when(F.col("auto_inc"), F.struct("ordinal", "column_name"))).over(table)["column_name"]
+        facts["_first_auto_inc"] = F.coalesce(F.col("auto_inc") & (first == F.col("column_name")), F.lit(False))
+        rows = rows.unionByName(tables, allowMissingColumns=True).withColumns(facts).where("column_name is not null")
     return _scanned(rows, F.col("column_name"), {n: _RULES[n].decide(opts) for n in names}, opts)
 
 
@@ -336,9 +348,8 @@ def lint(cat: Catalog, opts: Options | None = None, only: DataFrame | None = Non
     active = [n for n in rules() if opts.severity(n) != "ignore"]
     by_kind = {k: [n for n in active if _RULES[n].kind == k] for k in ("column", "table", "plan")}
     on_tables = {n: _RULES[n].decide(opts) for n in by_kind["table"]} | {n: f(opts) for n, f in _TABLE_PARTS.items() if n in active}
-    # Several rules look at indexes, and some compare them with each other: they are put together once.
-    if cat.indexes is not None and len({"dupe-index", "fk-parent", "pk", "pk-type"} & set(active)) > 1:
-        cat = replace(cat, indexes=stored(cat.indexes))
+    if by_kind["column"] or "pk-type" in active:
+        cat = replace(cat, columns=once_a_value(cat.columns, "column_type", "_t", T.type_struct("column_type")))
     parts = []
     if by_kind["column"]:
         parts.append(_of_columns(cat, opts, by_kind["column"]))
@@ -355,7 +366,9 @@ def lint(cat: Catalog, opts: Options | None = None, only: DataFrame | None = Non
         parts = [cat.tables.sparkSession.createDataFrame([], "schema_name string, object_type string, object_name string, rule string, member string, severity string")]
     out = reduce(DataFrame.unionByName, parts)
     if only is not None:
-        out = out.join(only.select("schema_name", "object_name").distinct(), ["schema_name", "object_name"], "left_semi")
+        key = ["schema_name", "object_name"]
+        marked = out.unionByName(only.select(*key, F.lit(True).alias("_only")), allowMissingColumns=True)
+        out = marked.withColumn("_only", F.max("_only").over(Window.partitionBy(*key))).where("_only and rule is not null").select(*out.columns)
     return out
 
 

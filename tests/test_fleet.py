@@ -30,7 +30,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["fleet_column_drops", "fleet_column_adds", "fleet_column_diff", "fleet_history", "fleet_history_merged", "fleet_table_diff", "fleet_attr_diff"])
+@pytest.mark.parametrize("name", ["fleet_column_drops", "fleet_column_adds", "fleet_column_diff", "fleet_history", "fleet_history_merged", "fleet_table_diff", "fleet_attr_diff", "lint_all", "lint_ordered"])
 def test_sides_are_compared_within_shards(spark, tmp_path, name):
     """Catalogs are dealt by shard once, as customers; nothing that is derived from them is shuffled. (Of very few customers Spark
     would broadcast these.)"""
