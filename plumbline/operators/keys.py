@@ -1,9 +1,11 @@
 """Minimal candidate keys of any width, by a level-wise search of the lattice of column sets.
 
-A level's sets are checked in one scan by grouping sets. Most are never looked at: a set that holds a key isn't minimal; a set
-of which some rows agree in all columns can't be a key, and groups that repeat a value show such rows for many sets at once;
-and a set whose columns have too few values to tell all rows apart can't be one either. What reaches the driver are facts of
-column sets, never values.
+Most sets are never looked at: a set that holds a key isn't minimal; a set of which some rows agree in all columns can't be a
+key, and groups that repeat a value show such rows for many sets at once; and a set whose columns have too few values to tell all
+rows apart can't be one either. Single columns are checked in one scan by grouping sets. Wider sets are first checked on the rows
+of a slice of the values of one of their columns, where their groups are whole: a group of several rows there rules a set out. Only
+sets that this leaves are grouped over all rows, one at a time and by their own columns alone. What reaches the driver are facts
+of column sets, never values.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Sets that one scan checks at most: a scan multiplies its rows by the sets before they are combined.
 SETS_A_SCAN = 24
+#: One of how many slices of a column's values is looked at first.
+SLICES = 64
 
 
 def _bit(columns: list[str], name: str) -> int:
@@ -56,7 +60,7 @@ def minimal_keys(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     """key_columns (comma-joined, in the order of `columns`) and width of each minimal set of at most k columns that is unique and
     never NULL. An empty table has every column as a key.
 
-    Needs a scan a level, more where a level has over SETS_A_SCAN sets left. Columns with a NULL are in no key. Rows that agree
+    Needs a scan of a slice for each level and column that has the most values in a set, and a scan for each set that is left. Columns with a NULL are in no key. Rows that agree
     in a set are found by values; what else they agree in by 64-bit hashes, where two different values that hash alike could
     hide a key with a chance of about 2**-64 a pair.
     """
@@ -74,12 +78,31 @@ def minimal_keys(df: DataFrame, columns: list[str], k: int) -> DataFrame:
             m = _mask(columns, s)
             if not any(m & o == o for o in keys) and not any(m & o == m for o in dead) and _enough(values, columns, s, total):
                 todo.append(s)
-        while todo:
-            sizes, agree = _checked(df, columns, todo[:SETS_A_SCAN])
-            values.update(sizes)
-            keys += [m for m, groups in sizes.items() if groups == total]
-            dead = _largest(dead | set(agree) | {m for m, groups in sizes.items() if groups < total})
-            todo = [s for s in todo[SETS_A_SCAN:] if not any(_mask(columns, s) & o == _mask(columns, s) for o in dead)]
+        open_ = lambda: [s for s in todo if not any(_mask(columns, s) & o == _mask(columns, s) for o in dead)]
+        if level == 1:
+            while todo:
+                sizes, agree = _checked(df, columns, todo[:SETS_A_SCAN])
+                values.update(sizes)
+                keys += [m for m, groups in sizes.items() if groups == total]
+                dead = _largest(dead | set(agree) | {m for m, groups in sizes.items() if groups < total})
+                todo = todo[SETS_A_SCAN:]
+            continue
+        most = lambda s: max(s, key=lambda c: (values[_bit(columns, c)], c))
+        for c in sorted({most(s) for s in todo}):
+            some = df.where(F.pmod(F.xxhash64(F.col(f"`{c}`")), F.lit(SLICES)) == 0)
+            sets = [s for s in open_() if most(s) == c]
+            while sets:
+                dead = _largest(dead | set(_checked(some, columns, sets[:SETS_A_SCAN])[1]))
+                left = open_()
+                sets = [s for s in sets[SETS_A_SCAN:] if s in left]
+        while todo := open_():
+            s = todo.pop(0)
+            m = _mask(columns, s)
+            values[m] = df.groupBy(*[F.col(f"`{c}`") for c in s]).agg(F.count(F.lit(1)).alias("_n")).count()
+            if values[m] == total:
+                keys.append(m)
+            else:
+                dead = _largest(dead | {m})
     return _listed(df.sparkSession, columns, keys)
 
 

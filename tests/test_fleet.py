@@ -62,3 +62,21 @@ def test_verification_counts_each_wrong_change(spark):
     assert found(changes.unionByName(changes.where("member = 'a'"))) == [("a", "definition")]
     assert found(changes.where("member <> 'c'")) == [("c", "definition")]
     assert found(changes.withColumn("member", changes["member"].substr(1, 0))) and D.misplaced([{"column_name": "a", "old_at": 1, "new_at": 2, "steps": []}, {"column_name": "b", "old_at": 2, "new_at": 1, "steps": []}]) == ["b", "a"]
+
+
+def test_wide_sets_are_first_checked_on_slices(spark, monkeypatch):
+    """Grouping sets multiply the rows they scan: over the whole table they are for single columns alone."""
+    from plumbline.operators import keys as K
+
+    rows = spark.range(4000).selectExpr("id % 80 AS a", "id DIV 80 AS b", "id % 50 AS c", "id % 7 AS e")
+    scans, checked = [], K._checked
+
+    def recorded(df, columns, sets):
+        scans.append((len(sets[0]), df.count()))
+        return checked(df, columns, sets)
+
+    monkeypatch.setattr(K, "_checked", recorded)
+    found = {r["key_columns"] for r in K.minimal_keys(rows, ["a", "b", "c", "e"], 3).collect()}
+    n = {s: rows.select(*s.split(",")).distinct().count() for s in ("a,b", "b,c", "a,c,e", "a,b,c")}
+    assert "a,b" in found and all((s in found) == (n[s] == 4000) for s in ("b,c", "a,c,e"))
+    assert any(width > 1 for width, _ in scans) and all(count < 1000 for width, count in scans if width > 1)
