@@ -145,6 +145,35 @@ def test_second_rows_of_keys_are_quarantined(spark, tmp_path):
     assert forgetful.count() > kept.count()
 
 
+def test_whole_rows_of_a_batch_are_shuffled_once(spark, sf_dir, tmp_path, monkeypatch):
+    """Twice or thrice, as texts too wide to compress show, and shuffled only from some size on, what is shuffled outgrew the input."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from plumbline.streaming.keys import unique_stream
+
+    def shuffled():
+        store = spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, *[getattr(store, f"stageList$default${i}")() for i in (2, 3, 4, 5)])
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    rng = random.Random(3)
+    rows = [(i % 1500, rng.randbytes(1000)) for i in range(2000)]
+    spark.createDataFrame(rows, "k int, wide binary").coalesce(1).write.parquet(str(tmp_path / "in"))
+    for threshold in ("-1", "10m"):
+        monkeypatch.setattr(DataFrame, "repartition", lambda *a, **k: pytest.fail("rows of the input are shuffled as they are"))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            before = shuffled()
+            stream = spark.readStream.schema("k int, wide binary").parquet(str(tmp_path / "in"))
+            unique_stream(stream, ["k"], ["k"], *[str(tmp_path / threshold / x) for x in ("kept", "rest", "seen", "checkpoint")]).awaitTermination()
+            assert 2_000_000 < shuffled() - before < 3_000_000
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        kept, rest = (spark.read.parquet(str(tmp_path / threshold / x)) for x in ("kept", "rest"))
+        assert kept.count() == 1500 and sorted((r["k"], bytes(r["wide"])) for r in kept.select("k", "wide").unionByName(rest.select("k", "wide")).collect()) == sorted(rows)
+    assert change_queries.QUERIES["key_stream_lineitem"](spark, sf_dir).count() == 7
+
+
 @pytest.mark.parametrize("name", list(change_queries.QUERIES))
 def test_sql(spark, sf_dir, duck, name):
     got = rows_of(change_queries.QUERIES[name](spark, sf_dir))
