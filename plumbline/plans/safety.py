@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import types as T
+from plumbline.sources.staging import once_a_value
 
 #: Texts that convert without loss to and from types for addresses and identifiers (fixed values).
 CONVENIENCE = {
@@ -72,16 +73,22 @@ def unsafe_type_change(old: str, new: str, charset: str = "utf8mb4", new_charset
 def unsafe_modify(changes: DataFrame) -> DataFrame:
     """changes with unsafe and reason_code. Needs clause, old and new (column definitions) and in_unique.
 
-    Dropped columns are unsafe unless virtual; added and moved ones are safe; modified ones follow the type rules.
+    Dropped columns are unsafe unless virtual; added and moved ones are safe; modified ones follow the type rules, which are worked
+    out once for each pair of definitions: a fleet has millions of changes and few pairs.
     """
-    old, new = (T.type_struct(f"{s}.column_type") for s in ("old", "new"))
-    modified = unsafe_reason(old, new, F.col("old.charset"), F.col("new.charset"), F.col("old.collation"), F.col("new.collation"), F.col("old.is_virtual"), F.col("in_unique"), F.col("old.srid"), F.col("new.srid"))
+    fields = ["column_type", "charset", "collation", "is_virtual", "srid"]
+    pair = F.struct("in_unique", *[F.struct(*[F.col(f"{s}.{f}").alias(f) for f in fields]).alias(s) for s in ("old", "new")])
+    rows = changes.withColumn("_pair", F.when(F.col("clause") == "modify column", pair))
+    of = lambda side, f: F.col(f"_pair.{side}.{f}")
+    old, new = (T.type_struct(of(s, "column_type")) for s in ("old", "new"))
+    modified = unsafe_reason(old, new, *(of(s, f) for f in ("charset", "collation") for s in ("old", "new")), of("old", "is_virtual"), F.col("_pair.in_unique"), of("old", "srid"), of("new", "srid"))
+    rows = once_a_value(rows, "_pair", "_modified", modified)
     code = (
         F.when(F.col("clause") == "drop column", F.when(~F.coalesce(F.col("old.is_virtual"), F.lit(False)), F.lit("column dropped")))
-        .when(F.col("clause") == "modify column", modified)
+        .when(F.col("clause") == "modify column", F.col("_modified"))
         .otherwise(F.lit(None).cast("string"))
     )
-    return changes.withColumn("reason_code", code).withColumn("unsafe", F.col("reason_code").isNotNull())
+    return rows.withColumn("reason_code", code).drop("_pair", "_modified").withColumn("unsafe", F.col("reason_code").isNotNull())
 
 
 def unsafe_objects(changes: DataFrame) -> DataFrame:

@@ -80,3 +80,25 @@ def test_wide_sets_are_first_checked_on_slices(spark, monkeypatch):
     n = {s: rows.select(*s.split(",")).distinct().count() for s in ("a,b", "b,c", "a,c,e", "a,b,c")}
     assert "a,b" in found and all((s in found) == (n[s] == 4000) for s in ("b,c", "a,c,e"))
     assert any(width > 1 for width, _ in scans) and all(count < 1000 for width, count in scans if width > 1)
+
+
+def test_indexes_are_put_together_where_collations_change(spark, tmp_path, monkeypatch):
+    """Few tables ask for their indexes, and few pairs of definitions for the type rules; what is found is the same."""
+    from plumbline import fleet_queries as Q
+    from plumbline.plans import safety as U
+    from plumbline.sources import catalog as S
+
+    second = f"SELECT {X._SHARD}, t AS table_name, 'u' AS index_name, 1 AS seq, c2 AS column_name, false AS non_unique, 0 AS prefix_length, 1 AS ordinal FROM {{customer}} c CROSS JOIN {X._FIRST}"
+    monkeypatch.setattr(X, "DESIRED_INDEXES", second)
+    monkeypatch.setattr(X, "ACTUAL_INDEXES", f"{second} WHERE c.c_custkey % 5 <> 0")
+    d = shards(spark, tmp_path, range(800))
+    all_, grouped, load = D.in_unique_constraint(*Q.indexes(spark, d)), [], S.load_indexes
+    monkeypatch.setattr(S, "load_indexes", lambda parts: grouped.append(parts.count()) or load(parts))
+    found = Q._changes(spark, d)
+    names = ["schema_name", "table_name", "member", "clause", "reason_code", "unsafe"]
+    rows = rows_of(found.select(*names))
+    asked = found.where("clause = 'modify column' and not old.collation <=> new.collation")
+    codes = {(r["in_unique"], r["reason_code"]) for r in asked.where("old.charset = new.charset and old.column_type = new.column_type").collect()}
+    assert codes == {(True, "collation"), (False, None)}
+    assert len(grouped) == 2 and all(0 < n < 800 * len(X.TABLES) // 10 for n in grouped)
+    assert rows == rows_of(U.unsafe_modify(D.column_changes(*Q.columns(spark, d), all_)).select(*names))
