@@ -102,3 +102,69 @@ def test_indexes_are_put_together_where_collations_change(spark, tmp_path, monke
     assert codes == {(True, "collation"), (False, None)}
     assert len(grouped) == 2 and all(0 < n < 800 * len(X.TABLES) // 10 for n in grouped)
     assert rows == rows_of(U.unsafe_modify(D.column_changes(*Q.columns(spark, d), all_)).select(*names))
+
+
+def test_an_order_that_no_change_names_is_found(spark):
+    """Tables used to be replayed only if a change placed a column, so a forgotten move left no trace."""
+    kind = "schema_name string, table_name string, column_name string, ordinal int, column_type string"
+    a, b = (spark.createDataFrame([("s", "t", c, i, "int") for i, c in enumerate(x)], kind) for x in ("abc", "cab"))
+    changes = D.column_changes(a, b)
+    assert D.verify(a, b, changes).count() == 0
+    assert {(r["column_name"], r["problem"]) for r in D.verify(a, b, changes.limit(0)).collect()} == {(c, "order") for c in "abc"}
+
+
+@pytest.fixture(scope="module")
+def whole(spark, tmp_path_factory):
+    """Both sides' tables of a small fleet, without columns, and their changes."""
+    from plumbline import fleet_queries as Q
+    from plumbline.sources.staging import stored
+
+    both = next(k for k in range(150, 59 * 61 * 11) if any((k * 11 + t * 17) % (59 * 61) == 0 for t in range(1, 15)))  # a new name and another uniqueness
+    d = shards(spark, tmp_path_factory.mktemp("whole"), [*range(150), both])
+    sides = [D.Parts(*[stored(getattr(s, n)) for n in ("tables", "indexes", "foreign_keys", "checks")]) for s in Q.parts(spark, d)]
+    return d, *sides, stored(D.table_changes(*sides))
+
+
+def test_verification_covers_what_tables_have_besides_columns(spark, whole):
+    _, a, b, changes = whole
+    left = lambda c: {r["kind"] for r in D.verify_tables(a, b, c).collect()}
+    assert left(changes) == set()
+    found = {
+        "drop primary key": "index", "add primary key": "index", "drop index": "index", "add index": "index", "modify index": "index", "rename index": "index", "drop foreign key": "foreign key", "add foreign key": "foreign key",
+        "drop check": "check", "add check": "check", "alter check": "enforcement", "engine": "engine", "comment": "comment", "charset": "charset", "next_auto_inc": "next_auto_inc", "option": "option", "partition by": "partitioning",
+    }
+    assert {r["clause"] for r in changes.select("clause").distinct().collect()} == found.keys()
+    n = {c: D.verify_tables(a, b, changes.where(f"clause <> '{c}'")) for c in found}
+    for c, rows in n.items():
+        assert found[c] in {r["kind"] for r in rows.collect()}, c
+
+
+def test_verification_counts_wrong_changes_of_tables(spark, whole):
+    from pyspark.sql import functions as F
+
+    _, a, b, changes = whole
+    engines = changes.where("clause = 'engine'")
+    wrong = changes.withColumn("made", F.when(changes["clause"] == "engine", F.lit("Aria")).otherwise(changes["made"]))
+    n = engines.count()
+    kinds = lambda c: [r["kind"] for r in D.verify_tables(a, b, c).collect()]
+    assert n > 0 and kinds(wrong) == ["engine"] * 2 * n
+    assert kinds(changes.unionByName(engines)) == ["engine"] * n
+    # A change of what is alike on both sides is wrong as well, also where it is the table's only one.
+    one = a.tables.join(b.tables, D.TABLE_KEY).join(changes, D.TABLE_KEY, "left_anti").select(*D.TABLE_KEY).limit(1)
+    more = one.selectExpr(*D.TABLE_KEY, "'drop primary key' AS clause", "'index' AS kind", "'PRIMARY' AS name", "false AS wanted", "CAST(NULL AS STRING) AS source", "CAST(NULL AS STRING) AS made")
+    assert kinds(changes.unionByName(more)) == ["index"]
+
+
+def test_fleet_verify_verifies_whole_tables(spark, whole, monkeypatch):
+    """The query used to verify columns alone: without any change of the rest it still said that nothing is left over."""
+    make, verify, kinds = D.table_changes, D.verify_tables, []
+
+    def recorded(*args):
+        left = verify(*args)
+        kinds.extend(r["kind"] for r in left.collect())
+        return left
+
+    monkeypatch.setattr(D, "table_changes", lambda a, b: make(a, b).limit(0))
+    monkeypatch.setattr(D, "verify_tables", recorded)
+    assert entry.queries()["fleet_verify"](spark, whole[0]).first()[0] == len(kinds) > 0
+    assert set(kinds) == {"index", "foreign key", "check", "enforcement", "engine", "comment", "charset", "next_auto_inc", "option", "partitioning"}
